@@ -267,6 +267,21 @@ def confidence_from_number(number: Column) -> Column:
 # ---------------------------------------------------------------- small formats
 
 
+def to_fixed(number: Column, digits: int) -> Column:
+    """A non-negative number with one or two (or no) decimals.
+
+    Rounds half up on the exact binary value: 1.15 is a little less than it looks
+    and gives 1.1, where ``format_string`` rounds its decimal spelling to 1.2.
+    """
+    scale = 10**digits
+    whole = F.floor(number)
+    binary = ((number - whole) * float(2**55)).cast("bigint")
+    part = F.shiftright(binary * scale + 2**54, 55)
+    total = whole * scale + part
+    left = F.floor(total / scale).cast("string") if digits else total.cast("string")
+    return F.concat(left, F.lit("."), F.lpad((total % scale).cast("string"), digits, "0")) if digits else left
+
+
 def region_flag(region: Column) -> Column:
     return (
         F.when(region == "US", "🇺🇸").when(region == "CA", "🇨🇦")

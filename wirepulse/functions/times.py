@@ -6,6 +6,8 @@ from datetime import datetime
 
 from pyspark.sql import Column, functions as F
 
+from wirepulse.functions.text import to_fixed
+
 ZONE = "America/New_York"
 
 
@@ -63,8 +65,8 @@ def age_text(ms: Column) -> Column:
     return (
         F.when(ms.isNull(), "unknown")
         .when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m")))
-        .when(minutes < 1440, F.concat(F.format_string("%.1f", minutes / F.lit(60.0)), F.lit("h")))
-        .otherwise(F.concat(F.format_string("%.1f", minutes / F.lit(1440.0)), F.lit("d")))
+        .when(minutes < 1440, F.concat(to_fixed(minutes / F.lit(60.0), 1), F.lit("h")))
+        .otherwise(F.concat(to_fixed(minutes / F.lit(1440.0), 1), F.lit("d")))
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wirepulse import config
+from wirepulse.functions import text as tx
 
 EVENT_SCHEMA = "event string, icon string, label string, enabled boolean, min_confidence double, window_hours int"
 
@@ -28,13 +29,14 @@ def gate_verdicts(
     threshold = F.greatest(F.coalesce("min_confidence", F.lit(global_floor)), F.lit(global_floor))
     allowed = F.coalesce("enabled", F.lit(False))
     passes = F.coalesce(F.col("relevant") & allowed & (F.col("confidence") >= threshold), F.lit(False))
-    shown = F.regexp_replace(F.format_number(threshold, "0.####"), r"\.$", "")
     why = (
         F.when(~F.col("is_fintech"), "not fintech")
         .when(F.col("region") == "other", "region other")
         .when(F.col("event").isNull(), "not a tracked event")
         .when(~allowed, F.concat(F.lit("event "), F.col("event"), F.lit(" is disabled")))
-        .otherwise(F.concat(F.format_string("confidence %.2f below ", F.col("confidence")), shown))
+        .otherwise(
+            F.concat(F.lit("confidence "), tx.to_fixed(F.col("confidence"), 2), F.lit(" below "), threshold.cast("string"))
+        )
     )
     reason = F.when(~passes, why).when(F.lit(paused), "paused")
     return joined.select(

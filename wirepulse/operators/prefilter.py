@@ -27,10 +27,11 @@ def _family_of(text: Column, families: Mapping[str, Sequence[str]]) -> Column:
     return found
 
 
-def _pattern_of(family: Column, text: Column, families: Mapping[str, Sequence[str]]) -> Column:
+def _pattern_of(lists: Mapping[str, Sequence[str]]) -> Column:
+    """Name the first pattern of list ``_list`` that occurs in ``_text``."""
     found = F.lit(None).cast("string")
-    for name, terms in families.items():
-        found = F.when(family == name, first_pattern(text, terms)).otherwise(found)
+    for name, terms in lists.items():
+        found = F.when(F.col("_list") == name, first_pattern(F.col("_text"), terms)).otherwise(found)
     return found
 
 
@@ -61,56 +62,52 @@ def keyword_match(items: DataFrame, families: Mapping[str, Sequence[str]]) -> Da
     )
 
 
-def _news(families: Mapping[str, Sequence[str]]) -> Column:
-    """Outcome struct for news items; expects the ``keyword_match`` columns."""
+def _outcome(
+    hit: Column | None, reason: Column | str, named: str | Column | None = None, text: Column | None = None,
+    strong: Column | None = None, after: str = "",
+) -> Column:
+    """Outcome struct. ``named`` is the list whose pattern completes the reason."""
+    none = F.lit(None).cast("string")
+
+    def column(value) -> Column:
+        return none if value is None else F.lit(value) if isinstance(value, str) else value
+
+    return F.struct(
+        F.lit(hit is not None).alias("pass"), column(hit).alias("hit"),
+        (F.lit(False) if strong is None else strong).alias("strong"),
+        column(reason).alias("_before"), column(named).alias("_list"), column(text).alias("_text"), F.lit(after).alias("_after"),
+    )
+
+
+def _news() -> Column:
+    """Outcome for news items; expects the ``keyword_match`` columns."""
     hit, haystack = F.col("hit"), F.col("haystack")
     money = contains_any(padded(F.col("title")), (config.MONEY,))
     return (
-        F.when(hit.isNull(), _outcome(None, F.lit("no tracked event language")))
-        .when(
-            contains_any(haystack, config.VETO),
-            _outcome(None, F.concat(F.lit("vetoed by "), first_pattern(haystack, config.VETO))),
-        )
+        F.when(hit.isNull(), _outcome(None, "no tracked event language"))
+        .when(contains_any(haystack, config.VETO), _outcome(None, "vetoed by ", "veto", haystack))
         .otherwise(
             _outcome(
-                hit,
-                F.concat(F.lit("matched "), _pattern_of(hit, F.col("scope"), families)),
+                hit, "matched ", hit, F.col("scope"),
                 F.col("in_title") & hit.isin("funding", "acquisition") & money,
             )
         )
     )
 
 
-def _outcome(hit: Column | None, reason: Column, strong: Column | None = None) -> Column:
-    return F.struct(
-        F.lit(hit is not None).alias("pass"),
-        (F.lit(None).cast("string") if hit is None else hit).alias("hit"),
-        reason.alias("reason"),
-        (F.lit(False) if strong is None else strong).alias("strong"),
-    )
-
-
 def _current_report() -> Column:
     """8-K: item 2.01 passes; 1.01 needs deal words beyond its own caption."""
     haystack = F.col("haystack")
     rest = F.regexp_replace(haystack, "(?i)" + config.ITEM_101_CAPTION, " ")
+    passed = F.lit("sec-8k")
     return (
         F.when(
-            ~contains_any(haystack, (config.ITEM_101, config.ITEM_201)),
-            _outcome(None, F.lit("8-K without item 1.01 or 2.01")),
-        )
-        .when(
-            contains_any(haystack, (config.ITEM_201,)),
-            _outcome(F.lit("sec-8k"), F.lit("8-K item 2.01 (completed acquisition)")),
-        )
-        .when(
-            contains_any(rest, config.ACQUISITION),
-            _outcome(F.lit("sec-8k"), F.concat(F.lit("8-K item 1.01 + "), first_pattern(rest, config.ACQUISITION))),
+            ~contains_any(haystack, (config.ITEM_101, config.ITEM_201)), _outcome(None, "8-K without item 1.01 or 2.01")
         )
+        .when(contains_any(haystack, (config.ITEM_201,)), _outcome(passed, "8-K item 2.01 (completed acquisition)"))
+        .when(contains_any(rest, config.ACQUISITION), _outcome(passed, "8-K item 1.01 + ", "deal", rest))
         .otherwise(
-            _outcome(
-                None, F.lit("8-K item 1.01 with no acquisition or merger language beyond the standard caption")
-            )
+            _outcome(None, "8-K item 1.01 with no acquisition or merger language beyond the standard caption")
         )
     )
 
@@ -121,16 +118,13 @@ def _offering_notice() -> Column:
     return (
         F.when(
             contains_any(name, config.FILER_VEHICLE),
-            _outcome(
-                None,
-                F.concat(F.lit("Form D from an investment vehicle ("), first_pattern(name, config.FILER_VEHICLE), F.lit(")")),
-            ),
+            _outcome(None, "Form D from an investment vehicle (", "vehicle", name, after=")"),
         )
         .when(
             contains_any(name, config.FILER_HINT),
-            _outcome(F.lit("sec-form-d"), F.concat(F.lit("Form D, name matches "), first_pattern(name, config.FILER_HINT))),
+            _outcome(F.lit("sec-form-d"), "Form D, name matches ", "hint", name),
         )
-        .otherwise(_outcome(None, F.lit("Form D with no fintech signal in the name")))
+        .otherwise(_outcome(None, "Form D with no fintech signal in the name"))
     )
 
 
@@ -145,8 +139,10 @@ def prefilter(
     """
     families = enabled_families() if families is None else dict(families)
     matched = keyword_match(items, families)
-    decision = _news(families)
+    lists = {"veto": config.VETO, **families}
+    decision = _news()
     if "sec_form_type" in items.columns:
+        lists |= {"deal": config.ACQUISITION, "vehicle": config.FILER_VEHICLE, "hint": config.FILER_HINT}
         form = F.upper(F.nullif("sec_form_type", F.lit("")))
         decision = (
             F.when(form.isNull(), decision)
@@ -154,9 +150,13 @@ def prefilter(
             .when(form.isin("D", "D/A"), _offering_notice())
             .otherwise(_outcome(None, F.concat(F.lit("SEC form "), form, F.lit(" is not tracked"))))
         )
-    # A generator is a barrier: a filter on the outcome stays above it instead of
-    # being copied, patterns and all, below the projection that computes it.
-    return matched.select(*items.columns, F.inline(F.array(decision)))
+    # A generator is a barrier: a filter on the outcome runs right above it, before
+    # reasons are spelled out, and is not copied - patterns and all - below it.
+    decided = matched.select(*items.columns, F.inline(F.array(decision)))
+    named = F.coalesce(_pattern_of(lists), F.lit(""))
+    return decided.select(
+        *items.columns, "pass", "hit", F.concat("_before", named, "_after").alias("reason"), "strong"
+    )
 
 
 def category_filter(items: DataFrame, sources: DataFrame) -> DataFrame:

@@ -241,7 +241,7 @@ def daily_digest(
         F.count_if(F.coalesce(tm.ms_between(c("last_success_at"), moment) <= config.STALE_SECONDS * 1000, F.lit(False))).alias("healthy"),
     )
     mark = lambda p: F.when(c(p) > config.WARN_PERCENT, "⚠️").otherwise("✅")
-    whole = lambda p: F.format_string("%.0f", c(p))
+    whole = lambda p: tx.to_fixed(c(p), 0)
     sections = [
         _lines(count, "alerts", F.lit(0), F.concat(F.lit("<b>Alerts (24h): "), text("n"), F.lit("</b>"))),
         _lines(count.where("n = 0"), "alerts", F.lit(1), F.lit("<i>No qualifying deals. Quiet day, or worth checking /sources.</i>")),
@@ -264,7 +264,7 @@ def daily_digest(
         _lines(projection, "budget", F.lit(0), F.concat(F.lit("avg cycle: "), text("avg_wall_ms"), F.lit("ms wall · "), text("avg_cpu_ms"), F.lit("ms cpu"))),
         _lines(
             projection, "budget", F.lit(1),
-            F.concat(mark("cpu_percent"), F.lit(" CPU "), F.format_string("%.2f", c("cpu_hours")), F.lit(f"h / {config.CPU_HOURS_LIMIT}h ("), whole("cpu_percent"), F.lit("%)")),
+            F.concat(mark("cpu_percent"), F.lit(" CPU "), tx.to_fixed(c("cpu_hours"), 2), F.lit(f"h / {config.CPU_HOURS_LIMIT}h ("), whole("cpu_percent"), F.lit("%)")),
         ),
         _lines(
             projection, "budget", F.lit(2),

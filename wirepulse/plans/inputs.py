@@ -153,17 +153,17 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fetch_log(spark: SparkSession, sf_dir: str, healthy: str = "event_type <> 'error'") -> DataFrame:
     """``events`` read as source checks: errors are failures, the rest successes."""
     return event_log(spark, sf_dir).selectExpr(
         "concat('src', user_id % 30) as source_id", "event_id as check_id", "ts",
-        "event_type <> 'error' as ok",
+        f"{healthy} as ok",
         "case event_type when 'error' then 'error' when 'view' then 'not-modified' else 'ok' end as status",
         "case when event_id % 3 = 0 then concat('e', cast(value as bigint)) end as etag",
         "case when event_id % 5 = 0 then concat('m', event_id) end as last_modified",
         "case when event_type not in ('error', 'view') then props end as body_hash",
         "case when event_type not in ('error', 'view') then props end as body",
-        "case when event_type = 'error' then concat('HTTP ', 500 + event_id % 5) end as error",
+        f"case when not ({healthy}) then concat('HTTP ', 500 + event_id % 5) end as error",
     )
 
 

@@ -173,7 +173,13 @@ def duration(ms: str) -> str:
 
 
 def ms_between(start: str, end: str) -> str:
-    return f"(epoch_ms({end}) - epoch_ms({start}))"
+    return f"(epoch_us({end}) // 1000 - epoch_us({start}) // 1000)"
+
+
+def to_fixed(x: str, digits: int) -> str:
+    """printf rounds exact ties to even; nudge those up."""
+    steps = {1: 4, 2: 8}[digits]
+    return f"printf('%.{digits}f', CASE WHEN {x} * {steps} = floor({x} * {steps}) THEN nextafter({x}, CAST('inf' AS DOUBLE)) ELSE {x} END)"
 
 
 def ago(ts: str, now: str) -> str:
