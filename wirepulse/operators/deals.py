@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -151,22 +152,58 @@ def source_counts(reports: DataFrame) -> DataFrame:
     )
 
 
-def emitted_deals(reported: DataFrame) -> DataFrame:
+def emitted_deals(reported: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """Alerts out of ``deal_cooldown`` rows, with the sources merged so far.
 
     ``n_sources`` counts the distinct sources of all reports of the deal up to
-    and including the alert. First reports are counted per emission interval,
-    then summed over a deal's emissions, which are a window apart.
+    and including the alert; ``prior`` holds sources recorded by earlier runs.
+    First reports are counted per emission interval, then summed over a deal's
+    emissions, which are a window apart. Rows without ``emit_ts`` precede them.
     """
     firsts = reported.groupBy("deal_key", *SOURCE).agg(
         F.min(F.struct("reported_at", "report_id", "emit_ts", "emitted")).alias("_f")
-    ).select("deal_key", "_f.*")
-    opening = F.count_if("emitted")
-    per_emit = firsts.groupBy("deal_key", "emit_ts").agg(F.count("*").alias("_all"), opening.alias("_opening"))
-    alerts = reported.where("emitted").join(per_emit, ["deal_key", "emit_ts"], "left")
+    )
+    base = None
+    if prior is not None:
+        known = prior.select("deal_key", *SOURCE).distinct()
+        old = known.select(*[F.col(c).alias(f"_{c}") for c in known.columns])
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in known.columns])
+        firsts = firsts.join(old, same, "left_anti")
+        base = known.groupBy("deal_key").agg(F.count("*").alias("_base"))
+    firsts = firsts.select("deal_key", "_f.*")
+    per_emit = firsts.where("emit_ts is not null").groupBy("deal_key", "emit_ts").agg(
+        F.count("*").alias("_all"), F.count_if("emitted").alias("_opening")
+    )
+    early = firsts.where("emit_ts is null").groupBy("deal_key").agg(F.count("*").alias("_early"))
     before = Window.partitionBy("deal_key").orderBy("emit_ts").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.sum(F.coalesce("_all", F.lit(0))).over(before), F.lit(0))
-    return alerts.withColumn("n_sources", (earlier + F.coalesce("_opening", F.lit(0))).cast("bigint")).drop("_all", "_opening")
+    alerts = (
+        reported.where("emitted").join(per_emit, ["deal_key", "emit_ts"], "left")
+        .withColumn("_sum", F.sum("_all").over(before)).join(early, "deal_key", "left")
+    )
+    counts = ["_sum", "_opening", "_early"]
+    if base is not None:
+        alerts, counts = alerts.join(base, "deal_key", "left"), [*counts, "_base"]
+    total = reduce(Column.__add__, [F.coalesce(c, F.lit(0)) for c in counts])
+    return alerts.select(*reported.columns, total.cast("bigint").alias("n_sources"))
+
+
+def cooldown_after(reports: DataFrame, events: DataFrame, history: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
+    """``deal_cooldown`` of new reports, given the alerts of earlier runs.
+
+    ``history`` has (deal_key, emit_ts). Reports inside the window of the deal's
+    last alert are suppressed; for the rest that alert no longer matters, so the
+    rule starts afresh with them.
+    """
+    last = history.groupBy("deal_key").agg(F.max("emit_ts").alias("_last"))
+    windows = events.select("event", (F.col("window_hours").cast("bigint") * 3_600_000).alias("_w"))
+    joined = reports.join(last, "deal_key", "left").join(F.broadcast(windows), "event")  # one row per event type
+    due = F.col("_last").isNull() | (F.unix_millis("reported_at") - F.unix_millis("_last") >= F.col("_w"))
+    held = joined.where(~due).select(
+        *reports.columns, F.lit(False).alias("emitted"), F.lit(None).cast("timestamp").alias("emit_ts")
+    )
+    return deal_cooldown(joined.where(due).select(*reports.columns), events, fold_rows).select(
+        *reports.columns, "emitted", "emit_ts"
+    ).unionByName(held)
 
 
 def route_alerts(

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from wirepulse import config
 from wirepulse.functions import text as tx
@@ -45,7 +46,7 @@ def _balanced(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def balanced_json(texts: pd.Series) -> pd.Series:
     return texts.map(_balanced, na_action="ignore")
 

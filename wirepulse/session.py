@@ -30,19 +30,24 @@ def use_utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the cluster's shared checkpoint folder.
+def scratch_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder for checkpoints and intermediate tables.
 
-    The folder comes from ``spark.checkpoint.dir``; a temporary one is used only
-    where none is configured and the session is local (tests).
+    It comes from ``spark.checkpoint.dir``; a temporary one is used only where
+    none is configured and the session is local (tests).
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+            folder = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared checkpoint folder; survives lost executors."""
+    scratch_folder(df.sparkSession)
     return df.checkpoint(eager=True)
