@@ -16,6 +16,19 @@ from wirepulse import config
 from wirepulse.functions.patterns import SPACE
 
 
+# The characters other text tools trim; plain ``trim`` only knows the space.
+BLANKS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A column used in several places is otherwise computed in each of them, and
+    inside conditions the optimizer cannot share it.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space (of any kind) to one space, ends trimmed."""
     return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
@@ -23,7 +36,11 @@ def squeeze(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim white space of any kind from both ends."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def is_ascii(text: Column) -> Column:
+    return F.length(text) == F.octet_length(text)
 
 
 def short_hash(text: Column) -> Column:
@@ -40,38 +57,45 @@ def canonical_url(raw: Column) -> Column:
     tracking parameters, the remaining parameters in key order, no closing
     slash except on a bare origin. Anything else is only trimmed and lowered.
     """
-    text = strip(raw)
-    pattern = r"^(?i:https?)://(?:[^/?#@]*@)?([^/?#:@]+)(:\d*)?([^?#]*)(\?[^#]*)?(?:#[\s\S]*)?$"
-    host = F.regexp_replace(F.lower(F.regexp_extract(text, pattern, 1)), r"^www\.", "")
-    port = F.regexp_extract(text, pattern, 2)
-    path = F.regexp_extract(text, pattern, 3)
-    query = F.substring(F.regexp_extract(text, pattern, 4), 2, 1 << 30)
-    origin = F.concat(F.lit("https://"), host, F.when(port.isin("", ":", ":80", ":443"), "").otherwise(port))
+    mark = "\u0001"
+    address = r"^(?i:https?)://(?:[^/?#@]*@)?([^/?#:@]+)(:\d*)?([^?#]*)(?:\?([^#]*))?(?:#[\s\S]*)?$"
+
+    def rebuilt(parts: Column) -> Column:
+        host = F.regexp_replace(F.lower(F.get(parts, F.lit(0))), r"^www\.", "")
+        port, path, query = (F.get(parts, F.lit(i)) for i in (1, 2, 3))
+        origin = F.concat(F.lit("https://"), host, F.when(port.isin("", ":", ":80", ":443"), "").otherwise(port))
+        params = F.when(query == "", "").otherwise(_kept_params(query))
+        # The slash goes only when it ends the whole address and is not the root.
+        bare = F.when((params == "") & path.endswith("/"), F.regexp_replace(path, "/$", "")).otherwise(path)
+        return F.concat(
+            origin, F.when(path.isin("", "/"), "/").otherwise(bare),
+            F.when(params == "", "").otherwise(F.concat(F.lit("?"), params)),
+        )
+
+    def spelled(text: Column) -> Column:
+        parts = F.split(F.regexp_replace(text, address, f"$1{mark}$2{mark}$3{mark}$4"), mark)
+        return let(parts, lambda p: F.when(F.size(p) == 4, rebuilt(p)).otherwise(F.lower(text)))
+
+    return let(strip(raw), spelled)
+
+
+def _kept_params(query: Column) -> Column:
+    """Query parameters without the tracking ones, in key order."""
     tracking = F.array(*[F.lit(p) for p in config.TRACKING_PARAMS])
 
-    def key(pair):
+    def key(pair: Column) -> Column:
         return F.substring_index(pair, "=", 1)
 
-    # Sorting whole structs (key, position, pair) keeps equal keys in order.
     kept = F.filter(
         F.split(query, "&"), lambda p: (p != "") & ~F.array_contains(tracking, F.lower(key(p)))
     )
+    # Sorting whole structs (key, position, pair) keeps equal keys in order.
     ordered = F.array_sort(F.transform(kept, lambda p, i: F.struct(key(p).alias("k"), i.alias("i"), p.alias("p"))))
     # A parameter without "=" is written back with an empty value.
-    params = F.array_join(
+    return F.array_join(
         F.transform(ordered, lambda s: F.when(s["p"].contains("="), s["p"]).otherwise(F.concat(s["p"], F.lit("=")))),
         "&",
     )
-    full = F.concat(
-        origin,
-        F.when(path == "", "/").otherwise(path),
-        F.when(params == "", "").otherwise(F.concat(F.lit("?"), params)),
-    )
-    # The slash goes only when it ends the whole address and is not the root.
-    trimmed = F.when(
-        full.endswith("/") & ~path.isin("", "/"), F.regexp_replace(full, "/$", "")
-    ).otherwise(full)
-    return F.when(text.rlike(pattern) & (host != ""), trimmed).otherwise(F.lower(text))
 
 
 def url_key(raw: Column) -> Column:
@@ -116,28 +140,31 @@ def fold_accents(text: Column) -> Column:
     source, target, multi = _compatibility_forms()
     expanding = "[" + "".join(multi) + "]"
     lookup = F.from_json(F.lit(json.dumps(multi)), "map<string,string>")
+
+    def expanded(folded: Column) -> Column:
+        letters = F.transform(F.split(folded, ""), lambda c: F.coalesce(F.element_at(lookup, c), c))
+        return F.when(folded.rlike(expanding), F.array_join(letters, "")).otherwise(folded)
+
     folded = F.translate(F.regexp_replace(text, r"[\x{300}-\x{36F}]", ""), source, target)
-    expanded = F.array_join(
-        F.transform(F.split(folded, ""), lambda c: F.coalesce(F.element_at(lookup, c), c)), ""
-    )
-    return F.when(text.rlike(r"^[\x00-\x7f]*$"), text).otherwise(
-        F.when(folded.rlike(expanding), expanded).otherwise(folded)
-    )
+    return F.when(is_ascii(text), text).otherwise(let(folded, expanded))
 
 
 def normalize_title(raw: Column) -> Column:
     """Headline in a form that syndicated copies share."""
     prefix = f"^(?:{'|'.join(config.TITLE_PREFIXES)})[{SPACE}]*[:\\-–—][{SPACE}]*"
-    text = strip(F.lower(fold_accents(raw)))
-    text = F.regexp_replace(F.regexp_replace(text, prefix, ""), prefix, "")
-    text = F.regexp_replace(text, "[‘’“”]", "")
-    return F.trim(F.regexp_replace(text, "[^a-z0-9$%+]+", " "))
+
+    def bare(text: Column) -> Column:
+        text = F.regexp_replace(F.regexp_replace(text, prefix, ""), prefix, "")
+        return F.trim(F.regexp_replace(F.translate(text, "‘’“”", ""), "[^a-z0-9$%+]+", " "))
+
+    return bare(strip(F.lower(let(raw, fold_accents))))
 
 
 def title_key(raw: Column) -> Column:
     """Hash of the normalized headline; null when too short to identify one."""
-    title = normalize_title(raw)
-    return F.when(F.length(title) >= config.MIN_TITLE_KEY_CHARS, short_hash(title))
+    return let(
+        normalize_title(raw), lambda title: F.when(F.length(title) >= config.MIN_TITLE_KEY_CHARS, short_hash(title))
+    )
 
 
 def deal_key(company: Column, event: Column) -> Column:
@@ -152,10 +179,13 @@ def deal_key(company: Column, event: Column) -> Column:
 
 def _splice(text: Column, pattern: str, group: int, decode) -> Column:
     """Replace each match of ``pattern`` by ``decode(match)``, in one pass."""
-    gaps = F.split(text, pattern, -1)
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), decode)
-    pieces = F.zip_with(gaps, found, lambda gap, value: F.concat(gap, F.coalesce(value, F.lit(""))))
-    return F.when(text.rlike(pattern), F.array_join(pieces, "")).otherwise(text)
+
+    def spliced(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(group)), decode)
+        pieces = F.zip_with(F.split(t, pattern, -1), found, lambda gap, value: F.concat(gap, F.coalesce(value, F.lit(""))))
+        return F.when(t.contains("&") & t.rlike(pattern), F.array_join(pieces, "")).otherwise(t)
+
+    return let(text, spliced)
 
 
 def _character(code: Column) -> Column:
@@ -189,16 +219,19 @@ def strip_html(text: Column) -> Column:
 
 def article_text(html: Column) -> Column:
     """Main text of a page, or null when there are not more than 200 characters."""
-    article, body = r"(?i)<article[^>]*>([\s\S]*?)</article>", r"(?i)<body[^>]*>([\s\S]*?)</body>"
-    main = (
-        F.when(html.rlike(article), F.regexp_extract(html, article, 1))
-        .when(html.rlike(body), F.regexp_extract(html, body, 1))
-        .otherwise(html)
-    )
+
+    def first_block(tag: str, otherwise: Column) -> Column:
+        block = rf"(?i)<{tag}[^>]*>([\s\S]*?)</{tag}>"
+        whole = F.regexp_extract(html, block, 0)
+        return let(whole, lambda w: F.when(w == "", otherwise).otherwise(F.regexp_extract(w, block, 1)))
+
+    main = first_block("article", first_block("body", html))
     for tag in ("nav", "header", "footer", "aside"):
         main = F.regexp_replace(main, rf"(?i)<{tag}[\s\S]*?</{tag}>", " ")
-    text = strip_html(main)
-    return F.when(F.length(text) > config.MIN_ARTICLE_CHARS, F.substring(text, 1, config.SUMMARY_CHARS))
+    return let(
+        strip_html(main),
+        lambda text: F.when(F.length(text) > config.MIN_ARTICLE_CHARS, F.substring(text, 1, config.SUMMARY_CHARS)),
+    )
 
 
 def escape_html(text: Column) -> Column:

@@ -71,15 +71,15 @@ def extract_json(responses: DataFrame, body: str = "body") -> DataFrame:
 
 def _entries(json: Column) -> Column:
     """The verdict list: the value itself, or its ``verdicts`` member."""
-    bare = F.schema_of_variant(json).startswith("ARRAY")
     member = F.try_variant_get(json, "$.verdicts", "variant")
-    wrapped = F.schema_of_variant(json).startswith("OBJECT") & F.schema_of_variant(member).startswith("ARRAY")
-    return F.when(bare, json).when(wrapped, member).try_cast("array<variant>")
+    # Only arrays cast; anything else gives null.
+    return F.coalesce(json.try_cast("array<variant>"), member.try_cast("array<variant>"))
 
 
 def verdict_entries(extracted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(entries, errors): one row per verdict; unusable responses go to errors."""
-    listed = extracted.withColumn("_list", _entries(F.col("json")))
+    # A generator keeps the filters below from recomputing the list.
+    listed = extracted.select(key, "json_error", F.inline(F.array(F.struct(_entries(F.col("json")).alias("_list")))))
     error = F.coalesce(
         "json_error",
         F.when(F.col("_list").isNull(), "response was neither an array nor an object with a verdicts array"),
@@ -89,23 +89,20 @@ def verdict_entries(extracted: DataFrame, key: str) -> tuple[DataFrame, DataFram
     return entries, errors
 
 
-def _kind(entry: Column, name: str) -> Column:
-    """Type of a field: missing, VOID, STRING, BOOLEAN, BIGINT, DECIMAL.., ARRAY.., OBJECT.."""
-    return F.coalesce(F.schema_of_variant(F.try_variant_get(entry, f"$.{name}", "variant")), F.lit("missing"))
-
-
-def _text(entry: Column, name: str) -> Column:
-    return F.try_variant_get(entry, f"$.{name}", "string")
+FIELDS = (
+    *REQUIRED_TEXT, *OPTIONAL_TEXT, "event", "region", "relevant", "is_fintech", "confidence",
+    "lead_investors", "other_investors",
+)
 
 
-def _strings(entry: Column, name: str) -> Column:
-    kind = _kind(entry, name)
-    parts = F.try_variant_get(entry, f"$.{name}", "array<variant>")
-    texts = F.filter(parts, lambda v: F.schema_of_variant(v) == "STRING")
+def _strings(value: Column, kind: Column) -> Column:
+    """Non-blank strings of an array, parts of a comma-joined string, else none."""
+    texts = F.filter(value.try_cast("array<variant>"), lambda v: F.schema_of_variant(v) == "STRING")
     texts = F.filter(F.transform(texts, lambda v: v.try_cast("string")), lambda s: tx.strip(s) != "")
     none = F.array().cast("array<string>")
-    return F.coalesce(
-        F.when(kind.startswith("ARRAY"), texts).when(kind == "STRING", tx.comma_list(_text(entry, name))), none
+    return (
+        F.when(kind.startswith("ARRAY"), texts)
+        .when(kind == "STRING", tx.comma_list(value.try_cast("string"))).otherwise(none)
     )
 
 
@@ -114,35 +111,41 @@ def _is_number(kind: Column) -> Column:
 
 
 def parse_entries(entries: DataFrame) -> DataFrame:
-    """Add the verdict fields and ``problems`` (null when the entry is valid)."""
-    e = F.col("entry")
-    kinds = {n: _kind(e, n) for n in (*REQUIRED_TEXT, *OPTIONAL_TEXT, "event", "region", "relevant", "is_fintech", "confidence")}
-    number = F.try_variant_get(e, "$.confidence", "double")
-    confidence = F.when(
-        kinds["confidence"] == "STRING", tx.confidence_from_text(_text(e, "confidence"))
-    ).when(_is_number(kinds["confidence"]), tx.confidence_from_number(number))
-
-    fields: dict[str, Column] = {n: F.when(kinds[n] == "STRING", _text(e, n)) for n in REQUIRED_TEXT}
-    fields |= {n: F.when(kinds[n] == "STRING", tx.null_text(_text(e, n))) for n in (*OPTIONAL_TEXT, "event")}
-    fields |= {n: F.when(kinds[n] == "BOOLEAN", F.try_variant_get(e, f"$.{n}", "boolean")) for n in ("relevant", "is_fintech")}
-    fields["region"] = F.when(kinds["region"] == "STRING", _text(e, "region"))
-    fields["confidence"] = confidence
-    fields["lead_investors"] = _strings(e, "lead_investors")
-    fields["other_investors"] = _strings(e, "other_investors")
+    """Add the verdict fields and ``problems`` (null when the entry is valid).
+
+    Each field is fetched once together with its type; the rest are conditions
+    on those two columns.
+    """
+    fetched = entries.withColumns({f"_v_{n}": F.try_variant_get("entry", f"$.{n}", "variant") for n in FIELDS})
+    fetched = fetched.withColumns({f"_k_{n}": F.coalesce(F.schema_of_variant(f"_v_{n}"), F.lit("missing")) for n in FIELDS})
+    value = {n: F.col(f"_v_{n}") for n in FIELDS}
+    kind = {n: F.col(f"_k_{n}") for n in FIELDS}
+    text = {n: F.when(kind[n] == "STRING", value[n].try_cast("string")) for n in FIELDS}
+
+    fields: dict[str, Column] = {n: text[n] for n in (*REQUIRED_TEXT, "region")}
+    fields |= {n: tx.null_text(text[n]) for n in (*OPTIONAL_TEXT, "event")}
+    fields |= {n: F.when(kind[n] == "BOOLEAN", value[n].try_cast("boolean")) for n in ("relevant", "is_fintech")}
+    fields["confidence"] = F.when(kind["confidence"] == "STRING", tx.confidence_from_text(text["confidence"])).when(
+        _is_number(kind["confidence"]), tx.confidence_from_number(value["confidence"].try_cast("double"))
+    )
+    fields |= {n: _strings(value[n], kind[n]) for n in ("lead_investors", "other_investors")}
+    parsed = fetched.withColumns(fields)
 
     def wrong(condition: Column, name: str, message: str) -> Column:
         return F.when(condition, f"{name}: {message}")
 
-    optional = lambda k: k.isin("STRING", "VOID", "missing")
-    events = [t.id for t in config.EVENTS]
-    checks = [wrong(kinds[n] != "STRING", n, "expected string") for n in REQUIRED_TEXT]
-    checks += [wrong(kinds[n] != "BOOLEAN", n, "expected boolean") for n in ("relevant", "is_fintech")]
-    checks += [wrong(~optional(kinds[n]), n, "expected string or null") for n in OPTIONAL_TEXT]
-    checks.append(wrong(~optional(kinds["event"]) | ~F.coalesce(fields["event"].isin(events), F.lit(True)), "event", "not a known event"))
-    checks.append(wrong(~F.coalesce(fields["region"].isin(*config.REGIONS), F.lit(False)), "region", "not a known region"))
-    checks.append(wrong(~F.coalesce(confidence.between(0, 1), F.lit(False)), "confidence", "expected a number from 0 to 1"))
+    optional = {n: kind[n].isin("STRING", "VOID", "missing") for n in (*OPTIONAL_TEXT, "event")}
+    known = F.coalesce(F.col("event").isin([t.id for t in config.EVENTS]), F.lit(True))
+    checks = [wrong(kind[n] != "STRING", n, "expected string") for n in REQUIRED_TEXT]
+    checks += [wrong(kind[n] != "BOOLEAN", n, "expected boolean") for n in ("relevant", "is_fintech")]
+    checks += [wrong(~optional[n], n, "expected string or null") for n in OPTIONAL_TEXT]
+    checks.append(wrong(~optional["event"] | ~known, "event", "not a known event"))
+    checks.append(wrong(~F.coalesce(F.col("region").isin(*config.REGIONS), F.lit(False)), "region", "not a known region"))
+    in_range = F.coalesce(F.col("confidence").between(0, 1), F.lit(False))
+    checks.append(wrong(~in_range, "confidence", "expected a number from 0 to 1"))
     problems = F.nullif(F.concat_ws("; ", *checks), F.lit(""))
-    return entries.withColumns(fields).withColumn("problems", problems)
+    # A generator, so that filtering on problems does not repeat the parsing.
+    return parsed.select(*entries.columns, *fields, F.inline(F.array(F.struct(problems.alias("problems")))))
 
 
 def validate_verdicts(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
