@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wirepulse import config
 from wirepulse.functions import text as tx, times as tm
-from wirepulse.session import checkpointed
+from wirepulse.session import broadcast_if, checkpointed
 
 FOLD_ROWS = 50_000
 SLOTS_PER_WINDOW = 1024
@@ -55,36 +55,32 @@ def cooldown(
 def emissions(moments: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Emission times per key, from distinct times: (k, w, t in ms).
 
-    Keys whose times span less than a window emit once. Of the others, keys with
-    up to ``fold_rows`` times are folded in place; longer ones are split over
-    the cluster by ``_hot_emissions``, which gives the same answer.
+    Keys with up to ``fold_rows`` times are folded in place. Longer ones, if
+    there are any, are split over the cluster by ``_hot_emissions``, which gives
+    the same answer.
     """
-    spans = checkpointed(
+    long = checkpointed(
         moments.groupBy("k", "w").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n"))
+        .where(F.col("n") > fold_rows)
     )
-    wide = (F.col("hi") - F.col("lo")) >= F.col("w")
-    single = spans.where(~wide).select("k", "w", F.col("lo").alias("t"))
-    foldable = spans.where(wide & (F.col("n") <= fold_rows)).select("k")
-    hot = spans.where(wide & (F.col("n") > fold_rows))
+    n_long = long.count()
+    if not n_long:
+        return _folded(moments)
+    keys = broadcast_if(long.select("k"), n_long)
+    return _folded(moments.join(keys, "k", "left_anti")).unionByName(
+        _hot_emissions(moments.join(keys, "k", "left_semi"), long)
+    )
+
 
-    def step(state: Column, t: Column, w: Column) -> Column:
-        due = F.element_at(state, -1) + w <= t
+def _folded(moments: DataFrame) -> DataFrame:
+    """The recurrence as a fold over each key's sorted times."""
+
+    def step(state: Column, t: Column) -> Column:
+        due = F.element_at(state, -1) + F.col("w") <= t
         return F.when(due, F.concat(state, F.array(t))).otherwise(state)
 
-    folded = (
-        moments.join(foldable, "k", "left_semi")
-        .groupBy("k", "w").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-        .select(
-            "k", "w",
-            F.explode(
-                F.aggregate("ts", F.slice("ts", 1, 1), lambda state, t: step(state, t, F.col("w")))
-            ).alias("t"),
-        )
-    )
-    result = single.unionByName(folded)
-    if hot.isEmpty():
-        return result
-    return result.unionByName(_hot_emissions(moments.join(hot.select("k"), "k", "left_semi"), hot))
+    times = moments.groupBy("k", "w").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    return times.select("k", "w", F.explode(F.aggregate("ts", F.slice("ts", 1, 1), step)).alias("t"))
 
 
 def _hot_emissions(moments: DataFrame, spans: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wirepulse.functions import text as tx
-from wirepulse.session import checkpointed
+from wirepulse.session import broadcast_if, checkpointed
 
 
 def with_keys(items: DataFrame) -> DataFrame:
@@ -42,6 +42,19 @@ def anti_seen(items: DataFrame, seen: DataFrame) -> DataFrame:
     ).select(*items.columns)
 
 
+def touching(seen: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``seen`` that share a key with a (small) batch of items.
+
+    A long history is then filtered where it lies: the batch's keys are counted
+    and broadcast, and only the matches go on to the join.
+    """
+    def known(key: str) -> DataFrame:
+        keys = items.select(key).distinct()
+        return seen.join(broadcast_if(keys, keys.count()), key, "left_semi").select("url_key", "title_key")
+
+    return known("url_key").unionByName(known("title_key"))
+
+
 def insert_if_absent(target: DataFrame, updates: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """``target`` plus the first update of every key it does not have yet."""
     fresh = first_per_key(updates, [key], order).join(target.select(key), key, "left_anti")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wirepulse import config
 from wirepulse.functions import times as tm
-from wirepulse.operators.ordered import failure_streaks, previous
+from wirepulse.operators.ordered import failure_streaks, previous, side_by_side
 
 
 def state_asof(log: DataFrame, now) -> DataFrame:
@@ -169,7 +169,7 @@ def status_summary(
 ) -> DataFrame:
     """One row: last cycle and stall flag, today's counters, queue, health.
 
-    Each part is a one-row aggregate; they meet on a constant key.
+    Each part is a one-row aggregate.
     """
     moment = tm.instant(now)
     c = F.col
@@ -185,10 +185,8 @@ def status_summary(
             F.count_if(F.coalesce(_silent_ms(now) < config.STALE_SECONDS * 1000, F.lit(False))).alias("sources_healthy"),
         ),
     ]
-    row = parts[0].withColumn("_one", F.lit(1))
-    for part in parts[1:]:
-        row = row.join(part.withColumn("_one", F.lit(1)), "_one")
+    row = side_by_side(*parts)
     gap = tm.ms_between(c("last_cycle_at"), moment)
-    return row.drop("_one").withColumn("last_cycle", tm.ago(c("last_cycle_at"), moment)).withColumn(
+    return row.withColumn("last_cycle", tm.ago(c("last_cycle_at"), moment)).withColumn(
         "stalled", F.coalesce(gap > config.GAP_SECONDS * 1000, F.lit(False))
     )

@@ -10,6 +10,7 @@ per key and slice, are ever ordered per key.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -144,26 +145,37 @@ def nearest_rank(df: DataFrame, value: str, percents: Sequence[int]) -> DataFram
     """
     base = df.select(F.col(value).alias("v")).where(F.col("v") >= 0)
     total = base.agg(F.count("v").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"))
-    wanted = total.select(
-        F.explode(F.array(*[F.lit(p) for p in percents])).alias("p"), F.col("count").alias("n")
-    ).select(
-        "p", F.greatest(F.ceil(F.col("p") * F.col("n") / 100.0), F.lit(1)).cast("bigint").alias("rank"),
-        F.lit(0).cast("bigint").alias("prefix"),
-    ).where("n > 0")
-    for low in (42, 21, 0):
+
+    # Leading bits first: every percentile looks at the same blocks.
+    everything = Window.partitionBy(F.lit(1))
+    blocks = base.groupBy(F.shiftright("v", 42).alias("block")).count()
+    blocks = blocks.withColumn("n", F.sum("count").over(everything)).withColumn("p", F.explode(F.array(*map(F.lit, percents))))
+    rank = F.greatest(F.ceil(F.col("p") * F.col("n") / 100.0), F.lit(1)).cast("bigint")
+    wanted = _at_rank(blocks.withColumn("rank", rank))
+    for low in (21, 0):
         # One row per percentile, so the broadcast is of a fixed size.
         blocks = (
-            base.withColumn("prefix", F.shiftright("v", low + 21) if low < 42 else F.lit(0).cast("bigint"))
+            base.withColumn("prefix", F.shiftright("v", low + 21))
             .join(F.broadcast(wanted), "prefix")
             .groupBy("p", "rank", F.shiftright("v", low).alias("block"))
             .count()
         )
-        upto = Window.partitionBy("p").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ranked = blocks.withColumn("upto", F.sum("count").over(upto))
-        hit = (F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("count") < F.col("rank"))
-        wanted = ranked.where(hit).select(
-            "p", (F.col("rank") - (F.col("upto") - F.col("count"))).alias("rank"), F.col("block").alias("prefix")
-        )
+        wanted = _at_rank(blocks)
     picked = wanted.agg(*[F.max(F.when(F.col("p") == p, F.col("prefix"))).alias(f"p{p}") for p in percents])
-    # Two one-row results side by side.
-    return total.withColumn("_one", F.lit(1)).join(picked.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return side_by_side(total, picked)
+
+
+def _at_rank(blocks: DataFrame) -> DataFrame:
+    """Per percentile the block its rank falls in, and the rank inside it."""
+    upto = Window.partitionBy("p").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = blocks.withColumn("upto", F.sum("count").over(upto))
+    before = F.col("upto") - F.col("count")
+    return ranked.where((F.col("upto") >= F.col("rank")) & (before < F.col("rank"))).select(
+        "p", (F.col("rank") - before).alias("rank"), F.col("block").alias("prefix")
+    )
+
+
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """Several one-row tables as one row: stacked, then folded. No join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(app: str = "wirepulse", master: str | None = None, **conf) -> SparkSession:
@@ -16,6 +16,8 @@ def build_session(app: str = "wirepulse", master: str | None = None, **conf) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Split skewed joins even where the result then needs another shuffle.
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
@@ -51,3 +53,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder; survives lost executors."""
     scratch_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast for a counted table of at most ``limit`` narrow rows.
+
+    Larger ones are left to the planner (shuffle join, skew handling).
+    """
+    return F.broadcast(df) if rows <= limit else df

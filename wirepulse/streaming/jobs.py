@@ -106,7 +106,7 @@ def process_batch(
     accepted = appended(spark, f"{out}/accepted", ACCEPTED, before=batch_id)
     known = appended(spark, f"{out}/sources", "source_id string", before=batch_id).distinct()
     remembered = accepted.where(F.col("fetched_at") > tm.shift(tm.instant(now), -seen_days * 86_400))
-    kept = dedupe.dedupe_two_key(keyed, flow.ORDER, seen=remembered.select("url_key", "title_key"))
+    kept = dedupe.dedupe_two_key(keyed, flow.ORDER, seen=dedupe.touching(remembered, keyed))
     append_once(kept.select(*keyed.columns), f"{out}/accepted", batch_id)
     append_once(keyed.select("source_id").distinct(), f"{out}/sources", batch_id)
 
