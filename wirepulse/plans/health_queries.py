@@ -243,7 +243,31 @@ def source_probe(spark, d):
     return ntz(reports.source_probe(items, I.NOW_ITEMS))
 
 
-@query()
+_N = f"TIMESTAMP '{I.NOW_ITEMS}'"
+_MARK = "CASE WHEN {0} > 70 THEN '⚠️' ELSE '✅' END"
+
+
+@query(V.query(*_S, V.HEADLINES, V.VERDICTS, V.REPORTS, V.DEALS, V.CANDIDATES, V.CYCLES, V.CALLS, _DAYS, _MODELS, f"""
+recent AS (SELECT * FROM deals WHERE alert_state = 'sent' AND alerted_at >= {_N} - INTERVAL 1 DAY),
+top AS (SELECT *, row_number() OVER (ORDER BY alerted_at DESC, deal_key) AS rn, nullif(round, '') AS r, COALESCE(amount, deal_value) AS m FROM recent JOIN events_cfg USING (event)),
+lat AS (SELECT {V.ms_between('published_at', 'alerted_at')} AS ms FROM deals WHERE alert_state = 'sent' AND alerted_at >= {_N} - INTERVAL 7 DAY),
+stats AS (SELECT count(*) AS n, CAST(quantile_disc(ms, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(ms, 0.95) AS BIGINT) AS p95 FROM lat WHERE ms >= 0),
+today AS (SELECT *, wall_ms / CAST(cycles AS DOUBLE) AS w, cpu_ms / CAST(cycles AS DOUBLE) AS c FROM days WHERE day = '{I.NOW_EVENTS[:10]}'),
+cost AS (SELECT w, c, c * 43200 / 1000 / 3600 AS ch, w * 43200 / 1000 / 3600 * 2 AS gh, c * 43200 / 1000 / 3600 / 4 * 100 AS cp, w * 43200 / 1000 / 3600 * 2 / 360 * 100 AS mp FROM today)""",
+    select=f"""
+SELECT 'alerts' AS section, 0 AS ord, '<b>Alerts (24h): ' || count(*) || '</b>' AS line FROM recent
+UNION ALL SELECT 'alerts', 1, '<i>No qualifying deals. Quiet day, or worth checking /sources.</i>' FROM recent HAVING count(*) = 0
+UNION ALL SELECT 'alerts', rn, icon || ' <b>' || {V.escape('company')} || '</b>' || CASE WHEN r IS NULL AND m IS NULL THEN '' ELSE ' — ' || {V.escape("concat_ws(' · ', r, m)")} END FROM top WHERE rn <= 10
+UNION ALL SELECT 'alerts', 11, '<i>…and ' || (count(*) - 10) || ' more</i>' FROM recent HAVING count(*) > 10
+UNION ALL SELECT 'pipeline', 0, 'Cycles: ' || cycles || ' · items seen: ' || items_seen FROM today
+UNION ALL SELECT 'pipeline', 1, 'Candidates: ' || candidates FROM today
+UNION ALL SELECT 'pipeline', 2, 'Pending now: ' || count(*) FROM candidates WHERE status = 'pending'
+UNION ALL SELECT 'latency', 0, 'p50 ' || ({V.duration('p50')}) || ' · p95 ' || ({V.duration('p95')}) || ' (' || n || ' alerts)' FROM stats
+UNION ALL SELECT 'sources', 0, '<b>Sources: ' || count_if(last_success_at IS NOT NULL AND {V.ms_between('last_success_at', _N)} <= 900000) || '/' || count(*) || ' healthy</b>' FROM registry LEFT JOIN state USING (source_id) WHERE enabled
+UNION ALL SELECT 'models', CASE WHEN model = 'model-0_5' THEN 0 ELSE 1 END, replace(model, '_', '.') || ': ' || requests || '/900' FROM models WHERE day = '{I.NOW_EVENTS[:10]}'
+UNION ALL SELECT 'budget', 0, 'avg cycle: ' || CAST(floor(w + 0.5) AS BIGINT) || 'ms wall · ' || CAST(floor(c + 0.5) AS BIGINT) || 'ms cpu' FROM cost
+UNION ALL SELECT 'budget', 1, {_MARK.format('cp')} || ' CPU ' || printf('%.2f', ch) || 'h / 4h (' || printf('%.0f', cp) || '%)' FROM cost
+UNION ALL SELECT 'budget', 2, {_MARK.format('mp')} || ' Memory ' || printf('%.0f', gh) || ' / 360 GB-h (' || printf('%.0f', mp) || '%)' FROM cost"""))
 def daily_digest(spark, d):
     now = I.NOW_ITEMS
     usage = reports.daily_counters(I.cycles(spark, d)).where(F.col("day") == I.NOW_EVENTS[:10])

@@ -32,6 +32,11 @@ def read_fetch_log(spark: SparkSession, path: str, streaming: bool = False, fmt:
     return spark.read.schema(schemas.FETCH_LOG).format(fmt).load(path)
 
 
+def _once(*columns: Column) -> list[Column]:
+    """Columns computed by a generator, so that filters on them do not repeat them."""
+    return [F.inline(F.array(F.struct(*columns)))]
+
+
 def _or_else(*texts: Column) -> Column:
     """First text that is neither null nor empty."""
     return F.coalesce(*[F.nullif(t, F.lit("")) for t in texts])
@@ -67,7 +72,7 @@ def parse_feeds(docs: DataFrame, sources: DataFrame, now) -> tuple[DataFrame, Da
 
     r = lambda name: F.col("it")[name]
     rss_items = parsed.select("source_id", "check_id", "ts", "_type", F.posexplode("rss.channel.item").alias("position", "it")).select(
-        "source_id", "check_id", "position",
+        "source_id", "check_id", "position", *_once(
         tx.strip_html(r("title")).alias("title"),
         tx.strip(F.try_element_at(r("link"), F.lit(1))).alias("link"),
         _summary(_or_else(r("content:encoded"), r("description"))),
@@ -76,13 +81,13 @@ def parse_feeds(docs: DataFrame, sources: DataFrame, now) -> tuple[DataFrame, Da
         _categories(r("category")).alias("categories"),
         F.lit(None).cast("string").alias("sec_form_type"),
         F.col("ts").alias("fetched_at"),
-    )
+    ))
     alternate = F.filter(r("link"), lambda l: F.coalesce(l["_rel"], F.lit("alternate")) == "alternate")
     link = F.coalesce(F.try_element_at(alternate, F.lit(1)), F.try_element_at(r("link"), F.lit(1)))["_href"]
     terms = F.transform(r("category"), lambda c: F.struct(c["_term"].alias("term"), c["_label"].alias("label")))
     title = tx.strip_html(r("title"))
     atom_items = parsed.select("source_id", "check_id", "ts", "_type", F.posexplode("atom.entry").alias("position", "it")).select(
-        "source_id", "check_id", "position",
+        "source_id", "check_id", "position", *_once(
         title.alias("title"),
         tx.strip(link).alias("link"),
         _summary(_or_else(r("content"), r("summary"))),
@@ -91,7 +96,7 @@ def parse_feeds(docs: DataFrame, sources: DataFrame, now) -> tuple[DataFrame, Da
         _categories(F.transform(r("category"), lambda c: _or_else(c["_VALUE"], c["_term"]))).alias("categories"),
         F.when(F.col("_type") == "sec", tx.sec_form_type(terms, title)).alias("sec_form_type"),
         F.col("ts").alias("fetched_at"),
-    )
+    ))
     items = rss_items.unionByName(atom_items).where(
         (F.coalesce("title", F.lit("")) != "") & (F.coalesce("link", F.lit("")) != "")
     )
