@@ -31,7 +31,13 @@ def let(value: Column, body) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Runs of white space (of any kind) to one space, ends trimmed."""
-    return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
+    # The full class is several times slower, and most text does not need it.
+    return let(
+        text,
+        lambda t: F.trim(
+            F.when(is_ascii(t), F.regexp_replace(t, r"\s+", " ")).otherwise(F.regexp_replace(t, f"[{SPACE}]+", " "))
+        ),
+    )
 
 
 def strip(text: Column) -> Column:
@@ -183,7 +189,7 @@ def _splice(text: Column, pattern: str, group: int, decode) -> Column:
     def spliced(t: Column) -> Column:
         found = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(group)), decode)
         pieces = F.zip_with(F.split(t, pattern, -1), found, lambda gap, value: F.concat(gap, F.coalesce(value, F.lit(""))))
-        return F.when(t.contains("&") & t.rlike(pattern), F.array_join(pieces, "")).otherwise(t)
+        return F.when(t.rlike(pattern), F.array_join(pieces, "")).otherwise(t)
 
     return let(text, spliced)
 
@@ -201,6 +207,10 @@ def _from_hex(digits: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Decimal, then hexadecimal, then named references; unknown names stay."""
+    return let(text, lambda t: F.when(t.contains("&"), _decoded(t)).otherwise(t))
+
+
+def _decoded(text: Column) -> Column:
     decimal = _splice(text, r"&#(\d+);", 1, lambda d: _character(d.try_cast("bigint")))
     hexa = _splice(decimal, r"&#[xX]([0-9a-fA-F]+);", 1, lambda h: _character(_from_hex(h)))
     names = F.create_map(*[F.lit(x) for pair in config.NAMED_ENTITIES.items() for x in pair])
@@ -212,9 +222,13 @@ def decode_entities(text: Column) -> Column:
 
 def strip_html(text: Column) -> Column:
     """Plain text of a fragment: no scripts, styles, tags or references."""
-    bare = F.regexp_replace(text, r"(?i)<script[\s\S]*?</script>", " ")
-    bare = F.regexp_replace(bare, r"(?i)<style[\s\S]*?</style>", " ")
-    return squeeze(decode_entities(F.regexp_replace(bare, "<[^>]+>", " ")))
+
+    def untagged(t: Column) -> Column:
+        bare = F.regexp_replace(t, r"(?i)<script[\s\S]*?</script>", " ")
+        bare = F.regexp_replace(bare, r"(?i)<style[\s\S]*?</style>", " ")
+        return F.when(t.contains("<"), F.regexp_replace(bare, "<[^>]+>", " ")).otherwise(t)
+
+    return squeeze(decode_entities(let(text, untagged)))
 
 
 def article_text(html: Column) -> Column:

@@ -12,7 +12,7 @@ from wirepulse import config
 from wirepulse.functions import text as tx, times as tm
 from wirepulse.session import broadcast_if, checkpointed
 
-FOLD_ROWS = 50_000
+FOLD_ROWS = 200_000
 SLOTS_PER_WINDOW = 1024
 
 
