@@ -18,11 +18,11 @@ def classify(spark):
 @pytest.mark.parametrize(
     "title, hit, strong",
     [
-        ("Orchid raises $200M Series E", "funding", True),
-        ("Orchid secures $750-million CAD credit facility", "funding", True),
+        ("Orchid raises $30M Series C", "funding", True),
+        ("Orchid gets $30 million term loan", "funding", True),
         ("Orchid raising money", "funding", False),
-        ("Visor to acquire Featherspace in $935M deal", "acquisition", True),
-        ("PayCo buys rival processor", "acquisition", False),
+        ("Larch to acquire Rowan in $70M deal", "acquisition", True),
+        ("Larch buys Rowan", "acquisition", False),
         ("Orchid launches a card and raises $20M", "funding", True),
         ("Orchid launches a $20M card", "launch", False),
         ("Weiss expands to Canada", "expansion", False),
@@ -36,7 +36,7 @@ def test_families(classify, title, hit, strong):
     assert row["reason"].startswith("matched ")
 
 
-@pytest.mark.parametrize("title", ["a background check", "buysides disagree", "seeded players", "relaunchable", "a fundraiser"])
+@pytest.mark.parametrize("title", ["groundwork", "debuyser", "reseeding", "relaunchable", "a fundraiser"])
 def test_substrings_do_not_count(classify, title):
     assert classify([(title,)])[0]["reason"] == "no tracked event language"
 
@@ -62,9 +62,9 @@ def test_filings(classify):
         ("8-K - ACME", "Item 1.01 Entry into a Material Definitive Agreement", "8-k"),
         ("8-K - ACME", "Item 1.01 Entry into a Material Definitive Agreement for a merger", "8-K"),
         ("8-K - ACME", "Item 5.02", "8-K"),
-        ("D - Acme Payments Inc (0001234567) (Filer)", "", "D"),
-        ("D/A - Acme Capital Fund II, L.P. (0001234567) (Filer)", "", "D/A"),
-        ("D - Platinum Metals Corp. (0001609436) (Filer)", "", "D"),
+        ("D - Willow Payments Inc (0009876543) (Filer)", "", "D"),
+        ("D/A - Willow Capital Fund II, L.P. (0009876543) (Filer)", "", "D/A"),
+        ("D - Willow Mining Corp. (0009876544) (Filer)", "", "D"),
         ("10-Q - ACME", "raises money", "10-Q"),
         ("Orchid raises $5M", "", ""),
     ])

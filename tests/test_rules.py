@@ -23,9 +23,9 @@ DEAL = (
 
 def render(spark, **fields):
     base = dict(
-        event="funding", region="US", company="Orchid", round="Series E", amount="$200M", deal_value=None, lead_investors=["Alpha"],
+        event="funding", region="US", company="Orchid", round="Series C", amount="$30M", deal_value=None, lead_investors=["Alpha"],
         other_investors=[], acquirer=None, target=None, summary="Cards & more.", source_name="Wire", link="https://x.com/?a=1&b=2",
-        published_at=datetime(2026, 9, 22, 18, 32), latency_ms=134000, unverified=False, n_sources=1,
+        published_at=datetime(2026, 9, 22, 15, 5), latency_ms=601000, unverified=False, n_sources=1,
     )
     row = spark.createDataFrame([tuple((base | fields).values())], DEAL)
     return dl.render_alert(row, gate.event_table(spark)).first().alert_html
@@ -33,8 +33,8 @@ def render(spark, **fields):
 
 def test_render_full_alert(spark):
     assert render(spark).split("\n") == [
-        "💰 <b>FUNDING</b> · 🇺🇸", "<b>Orchid</b> — Series E · $200M", "Led by: Alpha", "Cards &amp; more.",
-        "<i>Wire · published 14:32 ET · detected in 2m 14s</i>", '<a href="https://x.com/?a=1&amp;b=2">Read source →</a>',
+        "💰 <b>FUNDING</b> · 🇺🇸", "<b>Orchid</b> — Series C · $30M", "Led by: Alpha", "Cards &amp; more.",
+        "<i>Wire · published 11:05 ET · detected in 10m 1s</i>", '<a href="https://x.com/?a=1&amp;b=2">Read source →</a>',
     ]
 
 

@@ -21,7 +21,7 @@ from wirepulse.functions.patterns import contains_any, first_pattern, java_patte
         ("https://example.com/?a=2&a=1&b", "https://example.com/?a=2&a=1&b="),
         ("https://example.com/a?hsCtaTracking=1&REF=z&q=1", "https://example.com/a?q=1"),
         ("  https://example.com/x ", "https://example.com/x"),
-        ("Not a URL at all", "not a url at all"),
+        ("Plain Words", "plain words"),
         ("mailto:Someone@Example.com", "mailto:someone@example.com"),
         ("", ""),
     ],
@@ -39,13 +39,13 @@ def test_url_key_joins_variants_of_one_address(evaluate):
 
 def test_normalize_title(evaluate):
     cases = {
-        "Exclusive: Acme raises $25M": "acme raises $25m",
-        "UPDATE: Exclusive - Acme raises $25M": "acme raises $25m",
+        "Scoop: Willow wins $9M": "willow wins $9m",
+        "BREAKING: Scoop - Willow wins $9M": "willow wins $9m",
         "Editor's Pick: Update: Exclusive: three": "exclusive three",
-        "Société raises $5M": "societe raises $5m",
+        "Café Zürich nets 3%": "cafe zurich nets 3%",
         "Société": "societe",
-        "Acme’s “round”": "acmes round",
-        "Acme's round": "acme s round",
+        "Willow’s “plan”": "willows plan",
+        "Willow's plan": "willow s plan",
         "20% premium + more": "20% premium + more",
         "ﬁne №5 ½ Ｆｕｌｌ": "fine no5 1 2 full",
         "東京の会社": "",
@@ -55,12 +55,12 @@ def test_normalize_title(evaluate):
 
 
 def test_title_key_is_null_for_short_titles(evaluate):
-    short, a, b = evaluate(tx.title_key, ["Update", "Exclusive: Ramp raises $200M", "Ramp raises $200M"])
+    short, a, b = evaluate(tx.title_key, ["Scoop", "Report: Willow wins $9M prize", "Willow wins $9M prize"])
     assert short is None and a == b is not None
 
 
 def test_deal_key_ignores_suffixes(spark):
-    rows = [("Nuvei Corporation", "acquisition"), ("Nuvei", "acquisition"), ("Nuvei", "funding"), ("Coinco", "funding"), ("Coin", "funding")]
+    rows = [("Willow Technologies GmbH", "launch"), ("Willow", "launch"), ("Willow", "rebrand"), ("Coinco", "funding"), ("Coin", "funding")]
     frame = spark.createDataFrame(rows, "c string, e string")
     a, b, c, d, e = [r[0] for r in frame.select(tx.deal_key(F.col("c"), F.col("e"))).collect()]
     assert a == b != c and d != e
@@ -68,12 +68,12 @@ def test_deal_key_ignores_suffixes(spark):
 
 def test_html_to_text(evaluate):
     cases = {
-        "<p>Raised &amp; closed <b>$25M</b></p>": "Raised & closed $25M",
-        "<style>.a{}</style>Hi<SCRIPT x>evil()\n</script>": "Hi",
-        "raises &#163;7.5 million": "raises £7.5 million",
-        "raises &#x20AC;5M &#X1F600;": "raises €5M 😀",
-        "a &pound;5 &MDASH; b &hellip;": "a £5 — b …",
-        "&notarealentity; x": "&notarealentity; x",
+        "<h2>Salt &amp; <i>pepper</i></h2>": "Salt & pepper",
+        "<style>p{x:1}</style>Kept<SCRIPT x>gone()\n</script>": "Kept",
+        "costs &#165;900": "costs ¥900",
+        "costs &#x20AC;2 &#X1F600;": "costs €2 😀",
+        "&yen;1 &MDASH; &cent;2&hellip;": "¥1 — ¢2…",
+        "&madeup; y": "&madeup; y",
         "&amp;lt; &amp;#163;": "&lt; &#163;",
         "x&#99999999999999999999;y&#x110000;z": "xyz",
         "a&nbsp;&nbsp; b": "a b",
@@ -98,7 +98,7 @@ def test_escape_and_plain_text(evaluate):
 
 
 def test_filings(evaluate):
-    assert evaluate(tx.sec_filer_name, ["D - Acme Payments Inc (0001234567) (Filer)", "8-K - X (Subject) Y"]) == ["Acme Payments Inc", "X Y"]
+    assert evaluate(tx.sec_filer_name, ["D - Willow Pay Inc (0009876543) (Filer)", "8-K - X (Subject) Y"]) == ["Willow Pay Inc", "X Y"]
 
 
 def test_lenient_values(evaluate):
@@ -109,14 +109,14 @@ def test_lenient_values(evaluate):
 
 
 def test_formats(evaluate):
-    assert evaluate(tm.format_duration, [0, 45000, 134000, 3600000, -500, 7384000], "bigint") == ["0s", "45s", "2m 14s", "1h 0m", "0s", "2h 3m"]
+    assert evaluate(tm.format_duration, [0, 31000, 601000, 7200000, -1, 7384000], "bigint") == ["0s", "31s", "10m 1s", "2h 0m", "0s", "2h 3m"]
     assert evaluate(tm.age_text, [59 * 60000, 69 * 60000, 75 * 60000, 2 * 86400000, None], "bigint") == ["59m", "1.1h", "1.3h", "2.0d", "unknown"]
     assert evaluate(lambda x: tx.to_fixed(x, 2), [0.7, 0.145, 0.125, 0.999, 12.0], "double") == ["0.70", "0.14", "0.13", "1.00", "12.00"]
 
 
 def test_eastern_time(evaluate):
     to_ts = lambda c: tm.format_et_datetime(c.cast("timestamp"))
-    assert evaluate(to_ts, ["2026-09-23 18:32:00", "2026-01-05 18:32:00"]) == ["Sep 23, 14:32", "Jan 5, 13:32"]
+    assert evaluate(to_ts, ["2025-07-04 15:05:00", "2025-12-09 15:05:00"]) == ["Jul 4, 11:05", "Dec 9, 10:05"]
 
 
 def test_feed_dates(evaluate):

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, functions as F
 
-from wirepulse.functions.text import to_fixed
+from wirepulse.functions.text import let, to_fixed
 
 ZONE = "America/New_York"
 
@@ -28,14 +28,29 @@ def ms_between(start: Column, end: Column) -> Column:
     return F.unix_millis(end) - F.unix_millis(start)
 
 
+# Zone names RFC-822 dates may end with. They mean a fixed offset;
+# Java would read "EST" in summer as daylight saving time.
+ZONE_OFFSETS = {
+    "UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600",
+    "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
+}
+
+
 def parse_feed_date(text: Column) -> Column:
     """RFC-822 or ISO-8601 text to a timestamp, null when it is neither."""
-    bare = F.trim(F.regexp_replace(text, r"^\s*[A-Za-z]{3,9},\s*", ""))
-    bare = F.regexp_replace(bare, r"\s+", " ")
-    forms = ("d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm z", "d MMM yyyy HH:mm Z",
-             "d MMM yyyy HH:mm:ss", "d MMM yyyy")
-    iso = F.when(bare.rlike(r"^\d{4}-\d{2}-\d{2}"), bare.try_cast("timestamp"))
-    return F.coalesce(iso, *[F.try_to_timestamp(bare, F.lit(f)) for f in forms])
+    offsets = F.create_map(*[F.lit(x) for pair in ZONE_OFFSETS.items() for x in pair])
+    forms = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d MMM yyyy")
+
+    def with_offset(bare: Column) -> Column:
+        offset = F.element_at(offsets, F.upper(F.regexp_extract(bare, "([A-Za-z]+)$", 1)))
+        return F.when(offset.isNotNull(), F.concat(F.regexp_replace(bare, "[A-Za-z]+$", ""), offset)).otherwise(bare)
+
+    def read(bare: Column) -> Column:
+        rfc = let(with_offset(bare), lambda t: F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in forms]))
+        return F.when(bare.rlike(r"^\d{4}-\d{2}-\d{2}"), bare.try_cast("timestamp")).otherwise(rfc)
+
+    bare = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), "^[A-Za-z]{3,9}, *", "")
+    return let(bare, read)
 
 
 def no_future(ts: Column, now, seconds: int = 3600) -> Column:
