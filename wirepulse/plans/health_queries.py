@@ -33,7 +33,7 @@ FROM (SELECT *, count_if(ok) OVER (PARTITION BY {key} ORDER BY ts, {tie}) AS isl
 
 
 @query(V.query(V.FETCH_LOG, f"runs AS ({_ISLANDS.format(key='source_id', tie='check_id', log='fetch_log')})", select="""
-SELECT check_id, source_id, CASE WHEN ok THEN 0 ELSE streak END AS streak,
+SELECT check_id, source_id, CAST(CASE WHEN ok THEN 0 ELSE streak END AS BIGINT) AS streak,
   CASE WHEN NOT ok THEN min(ts) FILTER (NOT ok) OVER (PARTITION BY source_id, island) END AS streak_since FROM runs"""))
 def error_streak(spark, d):
     return ntz(health.error_streak(I.fetch_log(spark, d)).select("check_id", "source_id", "streak", "streak_since"))
@@ -41,7 +41,7 @@ def error_streak(spark, d):
 
 @query(V.query(V.CALLS, select=f"""
 SELECT c.model, min(c.ts) FILTER (NOT ok AND (g IS NULL OR c.ts > g)) AS failing_since,
-  count_if(NOT ok AND (g IS NULL OR c.ts > g)) AS failures,
+  CAST(count_if(NOT ok AND (g IS NULL OR c.ts > g)) AS BIGINT) AS failures,
   {V.ms_between("min(c.ts) FILTER (NOT ok AND (g IS NULL OR c.ts > g))", T)} AS offline_ms
 FROM calls c JOIN (SELECT model, max(ts) FILTER (ok) AS g FROM calls WHERE ts <= {T} GROUP BY model) s USING (model) WHERE c.ts <= {T} GROUP BY c.model"""))
 def failing_since(spark, d):
@@ -49,7 +49,7 @@ def failing_since(spark, d):
 
 
 @query(V.query(V.CALLS, f"runs AS ({_ISLANDS.format(key='model', tie='call_id', log='calls')})", select=f"""
-SELECT call_id, streak, make_timestamp(1000 * (epoch_us(ts) // 1000 + wait)) AS next_at, {T} >= make_timestamp(1000 * (epoch_us(ts) // 1000 + wait)) AS due
+SELECT call_id, CAST(streak AS BIGINT) AS streak, make_timestamp(1000 * (epoch_us(ts) // 1000 + wait)) AS next_at, {T} >= make_timestamp(1000 * (epoch_us(ts) // 1000 + wait)) AS due
 FROM (SELECT call_id, ts, CASE WHEN ok THEN 0 ELSE streak END AS streak,
         CASE WHEN ok THEN 180000 ELSE CAST(least(60000 * power(2, streak - 1), 600000) AS BIGINT) END AS wait FROM runs)"""))
 def backoff_schedule(spark, d):
@@ -220,8 +220,8 @@ def model_choice(spark, d):
 
 
 @query(V.query(V.FETCH_LOG, select="""
-SELECT strftime(ts, '%Y-%m-%d %H') AS cycle, count(*) AS sources_due, count_if(status = 'ok') AS sources_ok, count_if(status = 'not-modified') AS sources_not_modified,
-  count_if(status = 'error') AS sources_failed, CAST(sum(check_id % 12) AS BIGINT) AS items_seen, CAST(sum(check_id % 5) AS BIGINT) AS items_new,
+SELECT strftime(ts, '%Y-%m-%d %H') AS cycle, count(*) AS sources_due, CAST(count_if(status = 'ok') AS BIGINT) AS sources_ok, CAST(count_if(status = 'not-modified') AS BIGINT) AS sources_not_modified,
+  CAST(count_if(status = 'error') AS BIGINT) AS sources_failed, CAST(sum(check_id % 12) AS BIGINT) AS items_seen, CAST(sum(check_id % 5) AS BIGINT) AS items_new,
   CAST(sum(check_id % 3) AS BIGINT) AS candidates_added FROM fetch_log GROUP BY 1"""))
 def cycle_report(spark, d):
     fetches = I.fetch_log(spark, d).selectExpr(

@@ -83,8 +83,8 @@ def prefilter_form_d(spark, d):
 
 
 @query(V.query(V.HEADLINES, V.OUTCOME, select="""
-SELECT count(*) AS n, count_if(pass AND e) AS tp, count_if(pass AND NOT e) AS fp, count_if(NOT pass AND e) AS fn,
-  count_if(NOT pass AND NOT e) AS tn, count_if(pass AND e) / CAST(count_if(pass) AS DOUBLE) AS precision,
+SELECT count(*) AS n, CAST(count_if(pass AND e) AS BIGINT) AS tp, CAST(count_if(pass AND NOT e) AS BIGINT) AS fp, CAST(count_if(NOT pass AND e) AS BIGINT) AS fn,
+  CAST(count_if(NOT pass AND NOT e) AS BIGINT) AS tn, count_if(pass AND e) / CAST(count_if(pass) AS DOUBLE) AS precision,
   count_if(pass AND e) / CAST(count_if(e) AS DOUBLE) AS recall
 FROM (SELECT pass, k % 16 NOT IN (10, 11, 14, 15) AS e FROM outcome)"""))
 def prefilter_eval(spark, d):
