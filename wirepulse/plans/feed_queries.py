@@ -97,7 +97,7 @@ def _items(docs):
 
 
 @query(V.query(V.HEADLINES, select=f"""
-SELECT 'src' || (k // 20 % 10) AS source_id, k // 20 AS check_id, k % 20 AS position, title, link,
+SELECT 'src' || (k // 20 % 10) AS source_id, k // 20 AS check_id, CAST(k % 20 AS INT) AS position, title, link,
   CASE WHEN k % 3 = 0 THEN 'Full: ' ELSE '' END || summary AS summary, {_PUBLISHED} AS published_at, 'urn:' || k AS guid,
   'fintech,' || source_id AS categories, CAST(NULL AS VARCHAR) AS sec_form_type
 FROM headlines WHERE k // 20 % 5 <> 0 AND k % 11 <> 0"""))
@@ -106,7 +106,7 @@ def feed_rss_items(spark, d):
 
 
 @query(V.query(V.HEADLINES, select=f"""
-SELECT 'src' || (k // 20 % 10) AS source_id, k // 20 AS check_id, k % 20 AS position, form || ' - ' || title AS title, link,
+SELECT 'src' || (k // 20 % 10) AS source_id, k // 20 AS check_id, CAST(k % 20 AS INT) AS position, form || ' - ' || title AS title, link,
   CASE WHEN k % 3 = 0 THEN 'Full: ' ELSE '' END || summary AS summary, {_PUBLISHED} AS published_at, 'urn:' || k AS guid,
   CASE WHEN k % 4 <> 0 THEN lower(form) ELSE '' END AS categories, CASE WHEN k // 20 % 10 < 5 THEN form END AS sec_form_type
 FROM (SELECT *, {V.pick(I.FORMS, "k % 6")} AS form FROM headlines) WHERE k // 20 % 5 <> 0 AND k % 11 <> 0"""))
@@ -171,7 +171,7 @@ _PROBLEMS = """concat_ws('; ', CASE WHEN k % 4 = 3 THEN 'event: not a known even
 
 
 @query(V.query(V.HEADLINES, select=f"""
-SELECT k // 5 AS request_id, k % 5 AS position, CASE WHEN {_PROBLEMS} = '' THEN {_PROBLEMS} ELSE {_PROBLEMS} END AS problems,
+SELECT k // 5 AS request_id, CAST(k % 5 AS INT) AS position, CASE WHEN {_PROBLEMS} = '' THEN {_PROBLEMS} ELSE {_PROBLEMS} END AS problems,
   CASE WHEN {_PROBLEMS} = '' THEN CASE k % 4 WHEN 0 THEN 'funding' WHEN 2 THEN 'launch' END END AS event,
   CASE WHEN {_PROBLEMS} = '' THEN CASE WHEN k % 3 = 2 THEN '$5M' END END AS amount,
   CASE WHEN {_PROBLEMS} = '' THEN CASE k % 4 WHEN 0 THEN 'A|B|C' WHEN 1 THEN 'A|B' ELSE '' END END AS leads,

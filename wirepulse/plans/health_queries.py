@@ -193,7 +193,7 @@ _PROJECT = """projected AS (SELECT day, cycles, wall_ms / CAST(greatest(cycles,
 
 @query(V.query(V.CYCLES, _DAYS, _PROJECT, select="""
 SELECT day, cycles, CAST(floor(w + 0.5) AS BIGINT) AS avg_wall_ms, CAST(floor(c + 0.5) AS BIGINT) AS avg_cpu_ms,
-  c * 43200 / 1000 / 3600 AS cpu_hours, w * 43200 / 1000 / 3600 * 2 AS gb_hours, 43200 AS invocations,
+  c * 43200 / 1000 / 3600 AS cpu_hours, w * 43200 / 1000 / 3600 * 2 AS gb_hours, CAST(43200 AS BIGINT) AS invocations,
   c * 43200 / 1000 / 3600 / 4 * 100 AS cpu_percent, w * 43200 / 1000 / 3600 * 2 / 360 * 100 AS memory_percent, CAST(4.32 AS DOUBLE) AS invocation_percent,
   c * 43200 / 1000 / 3600 / 4 * 100 > 70 OR w * 43200 / 1000 / 3600 * 2 / 360 * 100 > 70 AS warn FROM projected"""))
 def usage_projection(spark, d):
@@ -201,7 +201,7 @@ def usage_projection(spark, d):
 
 
 @query(V.query(V.CALLS, _MODELS, select="""
-SELECT day, l.model, requests, daily_limit, greatest(daily_limit - requests, 0) AS remaining
+SELECT day, l.model, requests, CAST(daily_limit AS BIGINT) AS daily_limit, greatest(daily_limit - requests, 0) AS remaining
 FROM models m JOIN (VALUES ('model-0.5', 4), ('model-1.5', 900)) AS l(model, daily_limit) ON replace(l.model, '.', '_') = m.model"""))
 def quota_usage(spark, d):
     limits = spark.createDataFrame([("model-0.5", 4), ("model-1.5", 900)], "model string, daily_limit bigint")
@@ -255,6 +255,7 @@ stats AS (SELECT count(*) AS n, CAST(quantile_disc(ms, 0.5) AS BIGINT) AS p50, C
 today AS (SELECT *, wall_ms / CAST(cycles AS DOUBLE) AS w, cpu_ms / CAST(cycles AS DOUBLE) AS c FROM days WHERE day = '{I.NOW_EVENTS[:10]}'),
 cost AS (SELECT w, c, c * 43200 / 1000 / 3600 AS ch, w * 43200 / 1000 / 3600 * 2 AS gh, c * 43200 / 1000 / 3600 / 4 * 100 AS cp, w * 43200 / 1000 / 3600 * 2 / 360 * 100 AS mp FROM today)""",
     select=f"""
+SELECT section, CAST(ord AS INT) AS ord, line FROM (
 SELECT 'alerts' AS section, 0 AS ord, '<b>Alerts (24h): ' || count(*) || '</b>' AS line FROM recent
 UNION ALL SELECT 'alerts', 1, '<i>No qualifying deals. Quiet day, or worth checking /sources.</i>' FROM recent HAVING count(*) = 0
 UNION ALL SELECT 'alerts', rn, icon || ' <b>' || {V.escape('company')} || '</b>' || CASE WHEN r IS NULL AND m IS NULL THEN '' ELSE ' — ' || {V.escape("concat_ws(' · ', r, m)")} END FROM top WHERE rn <= 10
@@ -267,7 +268,7 @@ UNION ALL SELECT 'sources', 0, '<b>Sources: ' || count_if(last_success_at IS NOT
 UNION ALL SELECT 'models', CASE WHEN model = 'model-0_5' THEN 0 ELSE 1 END, replace(model, '_', '.') || ': ' || requests || '/900' FROM models WHERE day = '{I.NOW_EVENTS[:10]}'
 UNION ALL SELECT 'budget', 0, 'avg cycle: ' || CAST(floor(w + 0.5) AS BIGINT) || 'ms wall · ' || CAST(floor(c + 0.5) AS BIGINT) || 'ms cpu' FROM cost
 UNION ALL SELECT 'budget', 1, {_MARK.format('cp')} || ' CPU ' || printf('%.2f', ch) || 'h / 4h (' || printf('%.0f', cp) || '%)' FROM cost
-UNION ALL SELECT 'budget', 2, {_MARK.format('mp')} || ' Memory ' || printf('%.0f', gh) || ' / 360 GB-h (' || printf('%.0f', mp) || '%)' FROM cost"""))
+UNION ALL SELECT 'budget', 2, {_MARK.format('mp')} || ' Memory ' || printf('%.0f', gh) || ' / 360 GB-h (' || printf('%.0f', mp) || '%)' FROM cost)"""))
 def daily_digest(spark, d):
     now = I.NOW_ITEMS
     usage = reports.daily_counters(I.cycles(spark, d)).where(F.col("day") == I.NOW_EVENTS[:10])
