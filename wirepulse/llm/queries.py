@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wirepulse.llm import licenses, secrets
+from wirepulse.llm import licenses, neardup, quality, secrets, tiling, toxicity, urls
 from wirepulse.llm.rows import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,13 +18,48 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and block list over every url of ``pages``; the list comes from page contents."""
+    pages = table(spark, sf_dir, "pages")
+    return urls.filter_urls(pages, urls.listed_urls(pages))
+
+
+ORACLES["op1_url_filter"] = urls.ORACLE
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold, in any order of their parts."""
+    found = tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "covered", "n_words", F.size("tiles").cast("long").alias("n_tiles"))
+
+
 @query
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text of ``documents``."""
     return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("found")
 
 
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts, log-likelihood ratio and verdict of every document."""
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License labels of every whole text of ``documents``."""
     return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of ``documents``."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labelled rows that are not held out."""
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

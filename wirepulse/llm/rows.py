@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from wirepulse.llm import bloom
+
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,3 +40,17 @@ def text_map(
 
     narrow = df.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("row_text"))
     return narrow.mapInArrow(run, schema)
+
+
+def without(df: DataFrame, bad: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` without the rows in ``bad (id, key)``, ``key`` being the hash of text and id.
+
+    A Bloom filter of fixed size lets rows that are certainly not listed pass without
+    a shuffle; the others meet the list in an exact anti-join. All columns stay.
+    """
+    packed = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string"), F.col(id_col)).alias("key"))
+    gone = bad.select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
+    probed = bloom.probe(packed, F.col("key"), bloom.build(gone, F.col("gone_key")), "possible")
+    same = (F.col("key") == F.col("gone_key")) & F.col("id").eqNullSafe(F.col("gone_id"))
+    checked = probed.where("possible").join(gone, same, "left_anti")
+    return probed.where(~F.col("possible")).select("row.*").unionAll(checked.select("row.*"))
