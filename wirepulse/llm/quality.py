@@ -14,13 +14,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wirepulse.functions.text import let
 
 #: Buckets of the hashed n-grams: fixes the size of the model.
-BUCKETS = 10_000
+BUCKETS = 1 << 16
 #: Most trusted documents the target multinomial is fitted on (lowest hash of the id first).
 TRUSTED = 20_000
 #: Pseudo-count of each bucket in both multinomials.
 SMOOTHING = 1.0
 #: Mean log-likelihood ratio from which a document is kept.
-THRESHOLD = -0.25
+THRESHOLD = -0.08
 WHITE = " \t\n\x0b\x0c\r"
 
 

@@ -6,7 +6,8 @@ words; a word too rare to be judged backs off to its stem (its first letters), s
 inflected forms count together. A linear scan finds every maximal scoring segment of
 a text. Under the extreme-value law of such segments, one of score s is expected
 ``K m exp(-lambda s)`` times in m ordinary tokens; lambda follows from the scores of
-ordinary tokens, K and the prior odds from the labelled documents.
+ordinary tokens, K from the segments of ordinary documents. A text's evidence is the
+sum of its segments' ``-log`` expectations, and its score a logistic curve over that.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ FIT_DOCUMENTS = 20_000
 LEXICON = 20_000
 #: Occurrences among labelled documents from which a token is judged by itself.
 MIN_COUNT = 8
-#: Weight of the Dirichlet prior, in tokens; drift taken from every token; letters of a stem.
-PRIOR, DRIFT, STEM = 500.0, 0.35, 4
+#: Weight of the Dirichlet prior, in documents; drift taken from every token; letters of a stem.
+PRIOR, DRIFT, STEM = 5.0, 0.35, 4
 #: Largest log-odds a single token can carry either way.
 CLIP = 5.0
+#: Deviance from which a token counts as toxic: beyond what chance gives any of a million tested tokens.
+SURE = 26.0
 #: A segment is reported when fewer than this many are expected by chance in its text.
 SIGNIFICANT = 0.05
 WORD = re.compile(r"[^\W\d_]+")
@@ -42,7 +45,8 @@ class Model(NamedTuple):
     stems: dict[str, float]
     rate: float
     scale: float
-    odds: float
+    weight: float
+    bias: float
 
 
 def held_out(doc_id: Column) -> Column:
@@ -75,7 +79,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     Counts and score histograms are aggregated by Spark; the driver receives at most
     ``LEXICON`` tokens, a histogram of fixed size, and the scores of the bounded
     labelled rows' classes as sums. Without labelled rows of both classes every
-    document scores the prior share of toxic rows (zero if there are none).
+    document scores the same: near 0 or 1 by the class there is, and a half without any.
     """
     known = labelled(docs, labels)
     tokens = text_map(
@@ -87,41 +91,42 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     docs_toxic, docs_other = sizes.get(1, 0), sizes.get(0, 0)
     if not docs_toxic or not docs_other:
-        return Model({}, {}, 1.0, 1.0, docs_toxic and 1.0)
-    n_toxic, n_other = F.lit(float(docs_toxic)), F.lit(float(docs_other))
-    # The prior adds PRIOR pseudo-documents that hold the token at its overall share.
-    prior = F.col("n") / F.lit(float(docs_toxic + docs_other)) * F.lit(PRIOR * 0.01)
-    toxic, other = F.col("toxic") + prior, F.col("n") - F.col("toxic") + prior
-    size_toxic, size_other = n_toxic + F.lit(PRIOR * 0.01), n_other + F.lit(PRIOR * 0.01)
-    odds = F.log(toxic / (size_toxic - toxic + 0.5)) - F.log(other / (size_other - other + 0.5))
-    deviation = F.sqrt(1 / toxic + 1 / other)
-    scored = counts.select("token", "n", odds.alias("odds"), (odds / deviation).alias("z"))
+        return Model({}, {}, 1.0, 1.0, 0.0, 0.0 if not sizes else (9.0 if docs_toxic else -9.0))
+    n_toxic, n_other, n_all = float(docs_toxic), float(docs_other), float(docs_toxic + docs_other)
+    # The prior adds PRIOR documents to each side that hold the token at its overall share.
+    share = F.col("n") / F.lit(n_all)
+    toxic, other = F.col("toxic") + share * PRIOR, F.col("n") - F.col("toxic") + share * PRIOR
+    odds = F.log(toxic / (n_toxic + PRIOR - toxic + 0.5)) - F.log(other / (n_other + PRIOR - other + 0.5))
+    # Deviance of the token's split between the classes from the split of all documents.
+    clean, expected = F.col("n") - F.col("toxic"), F.col("n") * F.lit(n_toxic / n_all)
+    deviance = 2 * (
+        F.when(F.col("toxic") > 0, F.col("toxic") * F.log(F.col("toxic") / expected)).otherwise(0.0)
+        + F.when(clean > 0, clean * F.log(clean / (F.col("n") - expected))).otherwise(0.0)
+    )
+    scored = counts.select("token", "n", odds.alias("odds"), deviance.alias("deviance"))
     # Positive scores need a significant difference; the rest is background and only drifts.
-    chosen = scored.where(F.col("z") > 3.0).orderBy(F.desc("z"), "token").limit(LEXICON).collect()
+    chosen = scored.where((F.col("deviance") > SURE) & (F.col("odds") > 1.0)).orderBy(F.desc("deviance"), "token").limit(LEXICON).collect()
     words, stems = {}, {}
     for row in chosen:
         (stems if row.token.endswith("*") else words)[row.token.removesuffix("*")] = min(row.odds, CLIP)
-    seen = {r.token for r in scored.where(~F.col("token").endswith("*")).orderBy(F.desc("n"), "token").limit(LEXICON).select("token").collect()}
-    words = {w: 0.0 for w in seen} | words
-    draft = Model(words, stems, 1.0, 1.0, docs_toxic / docs_other)
-    return calibrate(draft, known)
+    common = scored.where(~F.col("token").endswith("*")).orderBy(F.desc("n"), "token").limit(LEXICON)
+    words = {r.token: 0.0 for r in common.select("token").collect()} | words
+    return calibrate(Model(words, stems, 1.0, 1.0, 0.0, 0.0), known)
 
 
 def calibrate(model: Model, known: DataFrame) -> Model:
-    """Constants of the extreme-value law from the labelled texts.
+    """Constants of the extreme-value law, and of the score, from the labelled texts.
 
     ``rate`` solves ``sum p(s) exp(rate s) = 1`` over the scores of ordinary tokens (in
-    hundredths: a histogram of fixed size). ``scale`` is the mean expected number of
-    segments per token that makes half the labelled ordinary documents with any
-    segment reach an expectation of one, taken from the sums of their segment scores.
+    hundredths: a histogram of fixed size). ``scale`` makes the law meet the share of
+    ordinary documents that have any segment, at those segments' mean score. The
+    score is a logistic curve over the evidence of all segments of a text, fitted on a
+    histogram of fixed size.
     """
-    scored = text_map(
-        known.select(F.struct("doc_id", "toxic").alias("key"), "text"), "key", "text",
-        [("n", T.LongType()), ("histogram", T.MapType(T.IntegerType(), T.LongType())), ("best", T.DoubleType())], lambda: _sampler(model),
-    ).select(F.col("key.toxic").alias("toxic"), "n", "histogram", "best")
-    bars = (
-        scored.where("toxic = 0").select(F.explode("histogram").alias("score", "n")).groupBy("score").agg(F.sum("n").alias("n")).collect()
-    )
+    keyed = known.select(F.struct("doc_id", "toxic").alias("key"), "text")
+    fields = [("n", T.LongType()), ("histogram", T.MapType(T.IntegerType(), T.LongType())), ("best", T.DoubleType())]
+    scored = text_map(keyed, "key", "text", fields, lambda: _sampler(model)).where("key.toxic = 0")
+    bars = scored.select(F.explode("histogram").alias("score", "n")).groupBy("score").agg(F.sum("n").alias("n")).collect()
     total = sum(b.n for b in bars) or 1
     shares = [(b.score / 100, b.n / total) for b in bars]
     low, high = 1e-6, 10.0
@@ -132,15 +137,33 @@ def calibrate(model: Model, known: DataFrame) -> Model:
         rate = low
     else:
         rate = 1.0
-    law = scored.where((F.col("toxic") == 0) & (F.col("n") > 0)).agg(
-        F.avg(F.when(F.col("best") > 0, F.lit(1.0)).otherwise(0.0)).alias("hit"),
-        F.avg(F.when(F.col("best") > 0, F.exp(F.lit(rate) * F.least("best", F.lit(50.0))) / F.col("n"))).alias("level"),
-        F.avg("n").alias("length"),
+    hit = F.col("best") > 0
+    law = scored.where("n > 0").agg(
+        F.avg(hit.cast("double")).alias("share"), F.avg(F.when(hit, F.col("best"))).alias("score"), F.avg("n").alias("length"),
     ).first()
-    # P(any segment) = 1 - exp(-K m): K from the share of ordinary documents that have one.
-    hit = min(max(law.hit or 0.0, 1e-4), 0.999)
-    scale = -math.log(1 - hit) / max(law.length or 1.0, 1.0)
-    return model._replace(rate=rate, scale=scale)
+    share = min(max(law.share or 0.0, 1e-4), 0.999)
+    scale = -math.log(1 - share) / max(law.length or 1.0, 1.0) * math.exp(min(rate * (law.score or CLIP - DRIFT), 50.0))
+    known_law = model._replace(rate=rate, scale=scale)
+    evidence = text_map(keyed, "key", "text", [("evidence", T.DoubleType())], lambda: lambda text: (_evidence(known_law, text)[0],))
+    bins = evidence.groupBy(F.col("key.toxic").alias("toxic"), F.round(F.least("evidence", F.lit(50.0)), 1).alias("x")).count().collect()
+    weight, bias = _logistic([(b.x, b.toxic, b["count"]) for b in bins])
+    return known_law._replace(weight=weight, bias=bias)
+
+
+def _logistic(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
+    """Weight and bias of a logistic curve through counted ``(x, class)``, by Newton steps with a slight ridge."""
+    x, y, n = (np.array([b[k] for b in bins], float) for k in range(3))
+    rows = np.stack([x, np.ones_like(x)], axis=1)
+    theta = np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(rows @ theta, -30, 30)))
+        slope = rows.T @ (n * (y - p)) - 0.01 * theta
+        curve = (rows * (n * p * (1 - p))[:, None]).T @ rows + 0.01 * np.eye(2)
+        step = np.linalg.solve(curve, slope)
+        theta = theta + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(max(theta[0], 0.0)), float(theta[1])
 
 
 def token_scores(model: Model, text: str) -> np.ndarray:
@@ -192,19 +215,24 @@ def _sampler(model: Model):
     return sample
 
 
+def _evidence(model: Model, text: str) -> tuple[float, list[dict]]:
+    """How far all segments of a text together exceed chance, and the significant ones."""
+    scores = token_scores(model, text)
+    found, evidence = [], 0.0
+    for start, end, score in segments(scores):
+        expected = model.scale * len(scores) * math.exp(-min(model.rate * score, 500.0))
+        if expected < SIGNIFICANT:
+            found.append({"first": start, "last": end - 1, "score": round(score, 6), "expected": expected})
+        if expected < 1:
+            evidence -= math.log(max(expected, 1e-200))
+    return evidence, found
+
+
 def _judge(model: Model):
     def judge(text: str) -> tuple:
-        scores = token_scores(model, text)
-        length = max(len(scores), 1)
-        found, evidence = [], 0.0
-        for start, end, score in segments(scores):
-            expected = model.scale * length * math.exp(-min(model.rate * score, 500.0))
-            if expected < SIGNIFICANT:
-                found.append({"first": start, "last": end - 1, "score": round(score, 6), "expected": expected})
-            evidence += 1 / max(expected, 1e-12) if expected < 1 else 0.0
-        # Odds of a toxic against an ordinary text: prior odds times how far the segments exceed chance.
-        odds = model.odds * evidence
-        return round(odds / (1 + odds), 9) if found or odds else 0.0, found
+        evidence, found = _evidence(model, text)
+        value = model.weight * min(evidence, 50.0) + model.bias
+        return round(1 / (1 + math.exp(-max(min(value, 500.0), -500.0))), 9), found
 
     return judge
 
@@ -218,7 +246,7 @@ FOUND_TYPE = T.ArrayType(T.StructType([
 def score_toxicity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id, score, passages`` (word positions of significant segments).
 
-    Null, empty and wordless texts score 0 and have no passages; null ids are carried
+    Null, empty and wordless texts score as texts without evidence and have no passages; null ids are carried
     along, repeated rows repeat, an empty table gives an empty result, and other columns
     are not read.
     """
