@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wirepulse.llm import licenses, neardup, quality, secrets, tiling, toxicity, urls
+from wirepulse.llm import licenses, mixing, neardup, quality, secrets, tiling, tokens, toxicity, urls, warc
 from wirepulse.llm.rows import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op1_url_filter"] = urls.ORACLE
 
 
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of ``documents`` by source, as many tokens as there are."""
+    return mixing.mixing_report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that documents hold, in any order of their parts."""
@@ -63,3 +69,18 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned from the labelled rows that are not held out."""
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written and read back."""
+    return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op4_warc"] = warc.ORACLE
+
+
+@query
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to binary files and read back."""
+    return tokens.token_report(table(spark, sf_dir, "documents"))
