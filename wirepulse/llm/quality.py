@@ -17,8 +17,8 @@ from wirepulse.functions.text import let
 BUCKETS = 1 << 16
 #: Most trusted documents the target multinomial is fitted on (lowest hash of the id first).
 TRUSTED = 20_000
-#: Pseudo-count of each bucket in both multinomials.
-SMOOTHING = 1.0
+#: Pseudo-count of each bucket in the corpus; the target's has the same share of its size.
+SMOOTHING = 20.0
 #: Mean log-likelihood ratio from which a document is kept.
 THRESHOLD = -0.08
 WHITE = " \t\n\x0b\x0c\r"
@@ -83,9 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     The corpus multinomial counts every document. The target multinomial counts
     documents labelled ``quality = 1``: at most ``trusted`` of them, by lowest hash of
     the id, so that their ids (one long each) are broadcast and no text is shuffled.
-    Without trusted documents all ratios are equal and only the base rules decide
-    (with the pseudo-counts both multinomials then differ from zero by the corpus alone,
-    so the ratios are set to zero).
+    Without trusted documents all ratios are zero and only the base rules decide.
     """
     spark = docs.sparkSession
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("good_id")).distinct()
@@ -101,8 +99,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     gathered = filled.agg(F.array_sort(F.collect_list(F.struct("bucket", "corpus", "target"))).alias("rows"), F.sum("corpus").alias("n"), F.sum("target").alias("m"))
 
     def ratio(r: Column) -> Column:
-        target = F.log((r["target"] + SMOOTHING) / (F.col("m") + SMOOTHING * buckets))
-        corpus = F.log((r["corpus"] + SMOOTHING) / (F.col("n") + SMOOTHING * buckets))
+        # An n-gram is judged by the other n-grams of the corpus, without itself; one
+        # that occurs nowhere else then says nothing.
+        share = F.col("m") / F.col("n")
+        target = F.log(r["target"] + F.lit(SMOOTHING) * share) - F.log(F.col("m") + F.lit(SMOOTHING * buckets) * share)
+        corpus = F.log(F.greatest(r["corpus"] - 1, F.lit(0)) + SMOOTHING) - F.log(F.col("n") + SMOOTHING * buckets)
         return F.when(F.col("m") > 0, target - corpus).otherwise(F.lit(0.0))
 
     return gathered.select(F.to_json(F.transform("rows", ratio))).first()[0]
@@ -128,8 +129,8 @@ def judge(
         grams,
         lambda g: F.when(F.size(g) > 0, F.aggregate(g, F.lit(0.0), lambda total, b: total + F.get(model, b)) / F.size(g)),
     )
-    counted = hashed.select(
-        "row",
+    # The counts come out of a generator, so a filter on the verdict is not copied below it.
+    each = F.struct(
         F.size("q_words").cast("long").alias("n_words"),
         F.char_length(F.array_join("q_words", "")).cast("long").alias("word_chars"),
         F.coalesce(F.regexp_count(text, F.lit(r"[#*$%&|<>]")), F.lit(0)).cast("long").alias("n_symbols"),
@@ -137,6 +138,7 @@ def judge(
         _repeated_words(F.col("q_hashes")).alias("n_repeat_words"),
         ratio.alias("log_ratio"),
     )
+    counted = hashed.select("row", F.explode(F.array(each)).alias("counted")).select("row", "counted.*")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counted.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (F.coalesce("log_ratio", F.lit(0.0)) >= threshold),
