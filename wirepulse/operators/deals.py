@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -10,14 +9,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wirepulse import config
 from wirepulse.functions import text as tx, times as tm
-from wirepulse.session import broadcast_if, checkpointed
+from wirepulse.operators.ordered import sliced_by
+from wirepulse.session import checkpointed
 
-FOLD_ROWS = 200_000
-SLOTS_PER_WINDOW = 1024
 
 
 def cooldown(
-    df: DataFrame, key: str, ts: str, tie: str, window_ms: Column, fold_rows: int = FOLD_ROWS
+    df: DataFrame, key: str, ts: str, tie: str, window_ms: Column
 ) -> DataFrame:
     """Add ``emitted`` and ``emit_ts`` (the last emission up to the row).
 
@@ -32,7 +30,7 @@ def cooldown(
     moments = checkpointed(
         rows.groupBy(F.col(key).alias("k"), "_w", "_ms").agg(F.min(tie).alias("_tie"))
     )
-    emitted = emissions(moments.select("k", F.col("_w").alias("w"), F.col("_ms").alias("t")), fold_rows)
+    emitted = emissions(moments.select("k", F.col("_w").alias("w"), F.col("_ms").alias("t")))
 
     # A row's last emission lies in its own bucket or in the one before.
     bucket = F.floor(F.col("t") / F.col("w"))
@@ -52,81 +50,57 @@ def cooldown(
     )
 
 
-def emissions(moments: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
+def emissions(moments: DataFrame) -> DataFrame:
     """Emission times per key, from distinct times: (k, w, t in ms).
 
-    Keys with up to ``fold_rows`` times are folded in place. Longer ones, if
-    there are any, are split over the cluster by ``_hot_emissions``, which gives
-    the same answer.
-    """
-    long = checkpointed(
-        moments.groupBy("k", "w").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n"))
-        .where(F.col("n") > fold_rows)
-    )
-    n_long = long.count()
-    if not n_long:
-        return _folded(moments)
-    keys = broadcast_if(long.select("k"), n_long)
-    return _folded(moments.join(keys, "k", "left_anti")).unionByName(
-        _hot_emissions(moments.join(keys, "k", "left_semi"), long)
-    )
-
-
-def _folded(moments: DataFrame) -> DataFrame:
-    """The recurrence as a fold over each key's sorted times."""
-
-    def step(state: Column, t: Column) -> Column:
-        due = F.element_at(state, -1) + F.col("w") <= t
-        return F.when(due, F.concat(state, F.array(t))).otherwise(state)
-
-    times = moments.groupBy("k", "w").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    return times.select("k", "w", F.explode(F.aggregate("ts", F.slice("ts", 1, 1), step)).alias("t"))
-
-
-def _hot_emissions(moments: DataFrame, spans: DataFrame) -> DataFrame:
-    """Emissions of keys too long for one task, by pointer doubling.
-
     Every time points at the first time at least a window later. Emissions are
     what is reached from a key's first time, so marking them takes as many
-    rounds as the emission count has bits; each round joins on (key, time),
-    which is unique.
+    rounds as the emission count has bits. Each round joins on (key, time),
+    which is unique, and only keys with enough windows in their span take part,
+    so the work shrinks from round to round.
     """
-    pointers = checkpointed(_next_emission(moments))
-    marked = checkpointed(spans.select("k", "w", F.col("lo").alias("t")))
-    most = spans.agg(F.max((F.col("hi") - F.col("lo")) / F.col("w"))).first()[0]
-    for _ in range(math.ceil(math.log2(most + 1)) + 1):
-        jumped = marked.join(pointers, ["k", "t"]).select("k", "w", F.col("nxt").alias("t"))
+    spans = moments.groupBy("k", "w").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    spans = checkpointed(spans.withColumn("steps", F.floor((F.col("hi") - F.col("lo")) / F.col("w"))))
+    pointers = checkpointed(_next_emission(moments).join(spans.select("k", "steps"), "k"))
+    marked = spans.select("k", "w", F.col("lo").alias("t"), "steps")
+    most = spans.agg(F.max("steps")).first()[0] or 0
+    reach = 1
+    while reach <= most:
+        jumped = marked.where(F.col("steps") >= reach).join(pointers.drop("steps"), ["k", "t"]).select("k", "w", F.col("nxt").alias("t"), "steps")
         marked = checkpointed(marked.unionByName(jumped).distinct())
-        far = pointers.select("k", F.col("t").alias("nxt"), F.col("nxt").alias("far"))
-        pointers = checkpointed(pointers.join(far, ["k", "nxt"]).select("k", "t", F.col("far").alias("nxt")))
-    return marked
+        reach *= 2
+        open_keys = pointers.where(F.col("steps") >= reach)
+        far = open_keys.select("k", F.col("t").alias("nxt"), F.col("nxt").alias("far"))
+        pointers = checkpointed(open_keys.join(far, ["k", "nxt"]).select("k", "t", F.col("far").alias("nxt"), "steps"))
+    return marked.select("k", "w", "t")
 
 
 def _next_emission(moments: DataFrame) -> DataFrame:
     """(k, t, nxt): the first time of the key that is at least ``w`` after ``t``.
 
-    Times fall into slots a fraction of the window wide. The answer is in the
-    slot of ``t + w`` or is the first time of a later slot.
+    Times and probes (``t + w``) are range-cut together, latest first, into even
+    slices; inside a slice a probe takes the last time before it in that order, and
+    what a slice ends with is carried to the next, one row per key and slice.
     """
-    width = F.greatest(F.floor(F.col("w") / SLOTS_PER_WINDOW), F.lit(1))
-    probes = moments.select("k", (F.col("t") + F.col("w")).alias("x"), width.alias("s"), F.lit(1).alias("probe"), "t")
-    times = moments.select("k", F.col("t").alias("x"), width.alias("s"), F.lit(0).alias("probe"), "t")
-    mixed = probes.unionByName(times).withColumn("slot", F.floor(F.col("x") / F.col("s"))).drop("s")
-    down = Window.partitionBy("k", "slot").orderBy(F.desc("x"), "probe").rowsBetween(Window.unboundedPreceding, 0)
-    inside = F.last(F.when(F.col("probe") == 0, F.col("t")), ignorenulls=True).over(down)
-    slots = mixed.groupBy("k", "slot").agg(F.min(F.when(F.col("probe") == 0, F.col("t"))).alias("lo"))
-    # Slots per key are bounded by its time span, not by its rows.
-    later = Window.partitionBy("k").orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
-    slots = slots.select("k", "slot", F.last("lo", ignorenulls=True).over(later).alias("after"))
-    found = mixed.withColumn("inside", inside).where("probe = 1").join(slots, ["k", "slot"])
-    return found.select("k", "t", F.coalesce("inside", "after").alias("nxt")).where("nxt is not null")
-
-
-def deal_cooldown(reports: DataFrame, events: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
+    times = moments.select("k", (-F.col("t")).alias("x"), F.lit(0).alias("probe"), "t")
+    probes = moments.select("k", (-F.col("t") - F.col("w")).alias("x"), F.lit(1).alias("probe"), "t")
+    sliced = sliced_by(times.unionByName(probes), "k", "x", "probe")
+    seen = F.when(F.col("probe") == 0, F.col("t"))
+    inside = Window.partitionBy("k", "_slice").orderBy("x", "probe").rowsBetween(Window.unboundedPreceding, 0)
+    rows = sliced.withColumn("_here", F.last(seen, ignorenulls=True).over(inside))
+    across = Window.partitionBy("k").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sliced.groupBy("k", "_slice").agg(F.min(seen).alias("_least")).select(
+        "k", "_slice", F.last("_least", ignorenulls=True).over(across).alias("_carry")
+    )
+    found = rows.where("probe = 1").join(carried, ["k", "_slice"])
+    return found.select("k", "t", F.coalesce("_here", "_carry").alias("nxt")).where("nxt is not null")
+
+
+def deal_cooldown(reports: DataFrame, events: DataFrame) -> DataFrame:
     """Cool-down of deal reports: needs deal_key, event, reported_at, report_id."""
     windows = events.select("event", (F.col("window_hours").cast("bigint") * 3_600_000).alias("_window"))
     timed = reports.join(F.broadcast(windows), "event")  # one row per event type
-    return cooldown(timed, "deal_key", "reported_at", "report_id", F.col("_window"), fold_rows).drop("_window")
+    return cooldown(timed, "deal_key", "reported_at", "report_id", F.col("_window")).drop("_window")
 
 
 SOURCE = ["source_id", "title", "link", "published_at"]
@@ -183,7 +157,7 @@ def emitted_deals(reported: DataFrame, prior: DataFrame | None = None) -> DataFr
     return alerts.select(*reported.columns, total.cast("bigint").alias("n_sources"))
 
 
-def cooldown_after(reports: DataFrame, events: DataFrame, history: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
+def cooldown_after(reports: DataFrame, events: DataFrame, history: DataFrame) -> DataFrame:
     """``deal_cooldown`` of new reports, given the alerts of earlier runs.
 
     ``history`` has (deal_key, emit_ts). Reports inside the window of the deal's
@@ -197,7 +171,7 @@ def cooldown_after(reports: DataFrame, events: DataFrame, history: DataFrame, fo
     held = joined.where(~due).select(
         *reports.columns, F.lit(False).alias("emitted"), F.lit(None).cast("timestamp").alias("emit_ts")
     )
-    return deal_cooldown(joined.where(due).select(*reports.columns), events, fold_rows).select(
+    return deal_cooldown(joined.where(due).select(*reports.columns), events).select(
         *reports.columns, "emitted", "emit_ts"
     ).unionByName(held)
 

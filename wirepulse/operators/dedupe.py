@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wirepulse.functions import text as tx
-from wirepulse.session import broadcast_if, checkpointed
+from wirepulse.session import checkpointed
 
 
 def with_keys(items: DataFrame) -> DataFrame:
@@ -45,12 +44,11 @@ def anti_seen(items: DataFrame, seen: DataFrame) -> DataFrame:
 def touching(seen: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``seen`` that share a key with a (small) batch of items.
 
-    A long history is then filtered where it lies: the batch's keys are counted
-    and broadcast, and only the matches go on to the join.
+    A long history is then reduced to its matches before it is joined; whether the
+    keys are broadcast is left to the planner, which knows their size in bytes.
     """
     def known(key: str) -> DataFrame:
-        keys = items.select(key).distinct()
-        return seen.join(broadcast_if(keys, keys.count()), key, "left_semi").select("url_key", "title_key")
+        return seen.join(items.select(key).distinct(), key, "left_semi").select("url_key", "title_key")
 
     return known("url_key").unionByName(known("title_key"))
 
@@ -63,42 +61,35 @@ def insert_if_absent(target: DataFrame, updates: DataFrame, key: str, order: Seq
 
 # ---------------------------------------------------------------- two keys
 
-RESIDUE_ROWS = 200_000
 
 
-def dedupe_two_key(
-    items: DataFrame,
-    order: Sequence[str],
-    seen: DataFrame | None = None,
-    residue_rows: int = RESIDUE_ROWS,
-) -> DataFrame:
+def dedupe_two_key(items: DataFrame, order: Sequence[str], seen: DataFrame | None = None) -> DataFrame:
     """First-wins on two keys: keep a row iff neither its ``url_key`` nor its
     ``title_key`` belongs to an earlier *kept* row (or to ``seen``).
 
     A dropped row reserves nothing, so this is a greedy matching and not two
-    chained dedupes. ``order`` must be a total order. Three steps:
+    chained dedupes. ``order`` must be a total order. Rows equal on both keys
+    collapse to their earliest first, on the map side. Then, in rounds:
 
-    1. rows equal on both keys collapse to their earliest, on the map side;
-    2. rounds: keep every row that is earliest on both keys, drop the rows that
-       share a key with one, repeat - all joins against one row per key;
-    3. once at most ``residue_rows`` are undecided (long alternating chains),
-       one task walks them in order. Above that the rounds go on.
+    1. a row that is the earliest on both keys is kept;
+    2. a row with exactly one earlier rival has the opposite fate of that rival, so
+       whole chains of such rows are settled from their end by pointer doubling;
+    3. rows that share a key with a kept row go.
+
+    Every step joins against one row per key or per undecided row, at any size;
+    an alternating chain takes as many joins as its length has bits.
     """
     pairs = first_per_key(items, ["url_key", "title_key"], order).select(
         "url_key", "title_key", F.struct(*order).alias("rank")
     )
     if seen is not None:
         pairs = anti_seen(pairs, seen)
-    kept, undecided = None, checkpointed(pairs)
-    while True:
-        winners = checkpointed(_round_winners(undecided))
-        kept = winners if kept is None else kept.unionByName(winners)
+    undecided = checkpointed(pairs.withColumn("node", F.monotonically_increasing_id()))
+    kept = undecided.limit(0)
+    while not undecided.isEmpty():
+        winners = checkpointed(_settled(undecided))
+        kept = kept.unionByName(winners)
         undecided = checkpointed(anti_seen(undecided, winners))
-        left = undecided.count()
-        if left <= residue_rows:
-            break
-    if left:
-        kept = kept.unionByName(_walk(undecided))
     # The rank identifies a row: fetch the kept rows back in full.
     names = ["url_key", "title_key", *order]
     flat = kept.select(
@@ -109,37 +100,42 @@ def dedupe_two_key(
     return items.join(flat, same, "left_semi")
 
 
-def _round_winners(rows: DataFrame) -> DataFrame:
-    """Rows that are the earliest on both of their keys."""
-    by_url = rows.groupBy("url_key").agg(F.min(F.struct("rank", "title_key")).alias("w"))
-    by_title = rows.groupBy("title_key").agg(F.min(F.struct("rank", "url_key")).alias("w"))
-    left = by_url.select("url_key", "w.title_key", "w.rank")
-    right = by_title.select("w.url_key", "title_key", F.lit(True).alias("_both"))
-    return left.join(right, ["url_key", "title_key"]).drop("_both")
-
-
-def _walk(rows: DataFrame) -> DataFrame:
-    """Apply the rule one row at a time; only for a residue of checked size."""
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        urls: set[str] = set()
-        titles: set[str] = set()
-        for batch in batches:
-            keep = []
-            for url, title in zip(batch["url_key"], batch["title_key"]):
-                fresh = url not in urls and title not in titles
-                keep.append(fresh)
-                if fresh:
-                    urls.add(url)
-                    titles.add(title)
-            yield batch[keep]
-
-    one = rows.coalesce(1).sortWithinPartitions("rank")
-    flat = one.select("url_key", "title_key", F.to_json("rank").alias("_rank"))
-    picked = flat.mapInPandas(walk, flat.schema)
-    return picked.join(rows.withColumn("_rank", F.to_json("rank")).select("_rank", "rank"), "_rank").select(
-        "url_key", "title_key", "rank"
+def _two_earliest(rows: DataFrame, key: str) -> DataFrame:
+    """Per key the node of its earliest row and of the one after it."""
+    first = rows.groupBy(key).agg(F.min(F.struct("rank", "node")).alias("one"))
+    rest = rows.join(first, key).where(F.col("node") != F.col("one.node"))
+    second = rest.groupBy(key).agg(F.min(F.struct("rank", "node")).alias("two"))
+    return first.join(second, key, "left").select(key, F.col("one.node").alias("one"), F.col("two.node").alias("two"))
+
+
+def _settled(rows: DataFrame) -> DataFrame:
+    """Rows of ``rows`` that are certainly kept, at least the earliest one."""
+    by_url = _two_earliest(rows, "url_key").select("url_key", F.col("one").alias("u1"), F.col("two").alias("u2"))
+    by_title = _two_earliest(rows, "title_key").select("title_key", F.col("one").alias("t1"), F.col("two").alias("t2"))
+    ranked = rows.join(by_url, "url_key").join(by_title, "title_key")
+    node = F.col("node")
+    rival = F.when((node == F.col("u2")) & (node == F.col("t1")), F.col("u1")).when(
+        (node == F.col("t2")) & (node == F.col("u1")), F.col("t1")
     )
+    free = (node == F.col("u1")) & (node == F.col("t1"))
+    known = checkpointed(ranked.select(*rows.columns, free.alias("free"), rival.alias("rival")).where("free or rival is not null"))
+    chains = known.where("rival is not null").select("node", F.col("rival").alias("to"), F.lit(True).alias("opposite"))
+    # Each pass doubles the distance covered; a pointer stops at a row that is not in a chain.
+    while True:
+        ahead = chains.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("opposite").alias("then"))
+        moved = checkpointed(
+            chains.join(ahead, "to", "left").select(
+                "node", F.coalesce("next", "to").alias("to"),
+                F.when(F.col("next").isNull(), F.col("opposite")).otherwise(F.col("opposite") != F.col("then")).alias("opposite"),
+                F.col("next").isNotNull().alias("went"),
+            )
+        )
+        chains = moved.drop("went")
+        if moved.where("went").isEmpty():
+            break
+    ends = known.where("free").select(F.col("node").alias("to"))
+    even = chains.where("not opposite").join(ends, "to", "left_semi").select("node")
+    return known.where("free").select(*rows.columns).unionByName(known.join(even, "node", "left_semi").select(*rows.columns))
 
 
 def bootstrap_gate(items: DataFrame, fresh: DataFrame | None = None, by: str = "fetched_at") -> DataFrame:
