@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from wirepulse.plans import catalog
@@ -38,6 +39,7 @@ def main() -> None:
         **{
             "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "8g",
             "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-bench-"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -244,7 +244,7 @@ def daily_digest(
     whole = lambda p: tx.to_fixed(c(p), 0)
     sections = [
         _lines(count, "alerts", F.lit(0), F.concat(F.lit("<b>Alerts (24h): "), text("n"), F.lit("</b>"))),
-        _lines(count.where("n = 0"), "alerts", F.lit(1), F.lit("<i>No qualifying deals. Quiet day, or worth checking /sources.</i>")),
+        _lines(count.where("n = 0"), "alerts", F.lit(1), F.lit("<i>Nothing was alerted in the last 24 hours.</i>")),
         _lines(top, "alerts", c("_ord"), headline),
         _lines(count.where("n > 10"), "alerts", F.lit(11), F.concat(F.lit("<i>…and "), (c("n") - 10).cast("string"), F.lit(" more</i>"))),
         _lines(usage_today, "pipeline", F.lit(0), F.concat(F.lit("Cycles: "), text("cycles"), F.lit(" · items seen: "), text("items_seen"))),
@@ -252,7 +252,7 @@ def daily_digest(
         _lines(pending, "pipeline", F.lit(2), F.concat(F.lit("Pending now: "), text("pending"))),
         _lines(
             stats, "latency", F.lit(0),
-            F.when(c("count") == 0, "<i>Not enough alerts with a known publish time yet.</i>").otherwise(
+            F.when(c("count") == 0, "<i>No alert has a known publish time.</i>").otherwise(
                 F.concat(
                     F.lit("p50 "), tm.format_duration(c("p50_ms")), F.lit(" · p95 "), tm.format_duration(c("p95_ms")),
                     F.lit(" ("), text("count"), F.lit(" alerts)"),

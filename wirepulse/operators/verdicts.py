@@ -6,6 +6,7 @@ only responses that are neither clean JSON nor a fenced block of it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,41 +15,36 @@ from pyspark.sql.types import StringType
 
 from wirepulse import config
 from wirepulse.functions import text as tx
+from wirepulse.session import checkpointed
 
 FENCE = r"(?i)```(?:json)?\s*([\s\S]*?)```"
 OPTIONAL_TEXT = ("fintech_subsector", "amount", "currency", "round", "acquirer", "target", "deal_value")
 REQUIRED_TEXT = ("id", "company", "one_line_summary")
 
 
-def _balanced(text: str | None) -> str | None:
-    """First balanced object or array in a text, braces inside strings aside."""
-    if text is None:
-        return None
-    starts = [p for p in (text.find("{"), text.find("[")) if p >= 0]
-    if not starts:
+#: What can change the nesting: whole strings count as one token, escaped characters as none.
+TOKENS = re.compile(r'"(?:[^"\\]|\\.)*"|\\.|["{}\[\]]', re.DOTALL)
+LEVELS = {"{": {"{": 1, "}": -1}, "[": {"[": 1, "]": -1}}
+
+
+def first_value(text: str) -> str | None:
+    """The first object or array of a text, up to the bracket that closes it."""
+    begin = re.search(r"[{\[]", text)
+    if begin is None:
         return None
-    start = min(starts)
-    opening = text[start]
-    closing = "}" if opening == "{" else "]"
-    depth, quoted, skip = 0, False, False
-    for at in range(start, len(text)):
-        char = text[at]
-        if skip:
-            skip = False
-        elif char == "\\":
-            skip = True
-        elif char == '"':
-            quoted = not quoted
-        elif not quoted:
-            depth += (char == opening) - (char == closing)
-            if depth == 0:
-                return text[start : at + 1]
+    level, counts = 0, LEVELS[begin[0]]
+    for token in TOKENS.finditer(text, begin.start()):
+        level += counts.get(token[0], 0)
+        if token[0] == '"':  # a string that never ends hides the rest
+            return None
+        if level == 0:
+            return text[begin.start() : token.end()]
     return None
 
 
 @F.pandas_udf(StringType())
 def balanced_json(texts: pd.Series) -> pd.Series:
-    return texts.map(_balanced, na_action="ignore")
+    return texts.map(first_value, na_action="ignore")
 
 
 def extract_json(responses: DataFrame, body: str = "body") -> DataFrame:
@@ -62,9 +58,9 @@ def extract_json(responses: DataFrame, body: str = "body") -> DataFrame:
     found = F.coalesce("_whole", "_fenced", F.try_parse_json("_slice"))
     error = (
         F.when(found.isNotNull(), F.lit(None).cast("string"))
-        .when(~F.coalesce(text, F.lit("")).rlike(r"[\[{]"), "no JSON value found in response")
-        .when(F.col("_slice").isNull(), "JSON value in response was truncated or unbalanced")
-        .otherwise("JSON value in response does not parse")
+        .when(~F.coalesce(text, F.lit("")).rlike(r"[\[{]"), "nothing in it looks like JSON")
+        .when(F.col("_slice").isNull(), "its JSON breaks off before it is closed")
+        .otherwise("its JSON cannot be read")
     )
     return read.select(*responses.columns, found.alias("json"), error.alias("json_error"))
 
@@ -78,11 +74,11 @@ def _entries(json: Column) -> Column:
 
 def verdict_entries(extracted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(entries, errors): one row per verdict; unusable responses go to errors."""
-    # A generator keeps the filters below from recomputing the list.
-    listed = extracted.select(key, "json_error", F.inline(F.array(F.struct(_entries(F.col("json")).alias("_list")))))
+    # Both outputs come from one pass over the responses.
+    listed = checkpointed(extracted.select(key, "json_error", _entries(F.col("json")).alias("_list")))
     error = F.coalesce(
         "json_error",
-        F.when(F.col("_list").isNull(), "response was neither an array nor an object with a verdicts array"),
+        F.when(F.col("_list").isNull(), "its JSON holds no list of verdicts"),
     )
     entries = listed.where("_list is not null").select(key, F.posexplode("_list").alias("position", "entry"))
     errors = listed.where("_list is null").select(key, error.alias("error"))
@@ -150,7 +146,7 @@ def parse_entries(entries: DataFrame) -> DataFrame:
 
 def validate_verdicts(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(verdicts, quarantine): a bad entry never takes its neighbours along."""
-    parsed = parse_entries(entries)
+    parsed = checkpointed(parse_entries(entries))
     good = parsed.where("problems is null").drop("entry", "problems")
     bad = parsed.where("problems is not null").select(
         *[c for c in entries.columns if c != "entry"], F.to_json("entry").alias("raw"), "problems"

@@ -22,13 +22,13 @@ T = f"TIMESTAMP '{I.NOW_ITEMS}'"
 
 @query(f"SELECT page_id, {V.strip_html('html')} AS text FROM pages")
 def strip_html(spark, d):
-    pages = I.spread(I.table(spark, d, "pages"), "page_id", "html")
+    pages = I.table(spark, d, "pages")
     return pages.select("page_id", tx.strip_html(F.col("html")).alias("text"))
 
 
 @query(f"SELECT page_id, {V.article('html')} AS text FROM pages")
 def article_text(spark, d):
-    pages = I.spread(I.table(spark, d, "pages"), "page_id", "html")
+    pages = I.table(spark, d, "pages")
     return pages.select("page_id", tx.article_text(F.col("html")).alias("text"))
 
 
@@ -151,8 +151,8 @@ def _responses(spark, d):
 
 
 @query(V.query(V.HEADLINES, select="""
-SELECT DISTINCT k // 5 AS request_id, k // 5 % 8 NOT IN (4, 5, 7) AS parsed, CASE k // 5 % 8 WHEN 4 THEN 'JSON value in response was truncated or unbalanced'
-  WHEN 5 THEN 'no JSON value found in response' WHEN 7 THEN 'JSON value in response does not parse' END AS json_error FROM headlines"""))
+SELECT DISTINCT k // 5 AS request_id, k // 5 % 8 NOT IN (4, 5, 7) AS parsed, CASE k // 5 % 8 WHEN 4 THEN 'its JSON breaks off before it is closed'
+  WHEN 5 THEN 'nothing in it looks like JSON' WHEN 7 THEN 'its JSON cannot be read' END AS json_error FROM headlines"""))
 def extract_json(spark, d):
     found = vd.extract_json(_responses(spark, d))
     return found.select("request_id", F.col("json").isNotNull().alias("parsed"), "json_error")

@@ -257,7 +257,7 @@ cost AS (SELECT w, c, c * 43200 / 1000 / 3600 AS ch, w * 43200 / 1000 / 3600 * 2
     select=f"""
 SELECT section, CAST(ord AS INT) AS ord, line FROM (
 SELECT 'alerts' AS section, 0 AS ord, '<b>Alerts (24h): ' || count(*) || '</b>' AS line FROM recent
-UNION ALL SELECT 'alerts', 1, '<i>No qualifying deals. Quiet day, or worth checking /sources.</i>' FROM recent HAVING count(*) = 0
+UNION ALL SELECT 'alerts', 1, '<i>Nothing was alerted in the last 24 hours.</i>' FROM recent HAVING count(*) = 0
 UNION ALL SELECT 'alerts', rn, icon || ' <b>' || {V.escape('company')} || '</b>' || CASE WHEN r IS NULL AND m IS NULL THEN '' ELSE ' — ' || {V.escape("concat_ws(' · ', r, m)")} END FROM top WHERE rn <= 10
 UNION ALL SELECT 'alerts', 11, '<i>…and ' || (count(*) - 10) || ' more</i>' FROM recent HAVING count(*) > 10
 UNION ALL SELECT 'pipeline', 0, 'Cycles: ' || cycles || ' · items seen: ' || items_seen FROM today

@@ -49,17 +49,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Columns of a table, over all cores.
-
-    One small file is one scan task, which would run every expression of the
-    query on one core; large tables already come in enough splits and stay put.
-    """
-    picked = df.select(*columns)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return picked.repartition(cores) if picked.rdd.getNumPartitions() < cores else picked
-
-
 def pick(values, index: str):
     """SQL: the element of a fixed list at a (remainder) index."""
     quoted = ", ".join("null" if v is None else "'" + v.replace("'", "''") + "'" for v in values)
@@ -67,7 +56,7 @@ def pick(values, index: str):
 
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", "o_orderdate")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     base = orders.selectExpr("o_orderkey as k", "o_custkey as c", "cast(o_orderdate as timestamp) as d")
     named = base.selectExpr(
         "*",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "wirepulse", master: str | None = None, **conf) -> SparkSession:
@@ -35,14 +35,14 @@ def use_utc(spark: SparkSession) -> None:
 def scratch_folder(spark: SparkSession) -> str:
     """The cluster's shared folder for checkpoints and intermediate tables.
 
-    It comes from ``spark.checkpoint.dir``; a temporary one is used only where
-    none is configured and the session is local (tests).
+    It comes from ``spark.checkpoint.dir``. A temporary one stands in only where none
+    is set and the session is local, driver and executor being one process.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not sc.master.startswith("local"):
+            if not sc.master.startswith("local[") and sc.master != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(folder)
@@ -53,14 +53,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder; survives lost executors."""
     scratch_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-BROADCAST_ROWS = 1_000_000
-
-
-def broadcast_if(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast for a counted table of at most ``limit`` narrow rows.
-
-    Larger ones are left to the planner (shuffle join, skew handling).
-    """
-    return F.broadcast(df) if rows <= limit else df

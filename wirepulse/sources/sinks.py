@@ -20,14 +20,16 @@ def append_once(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
 
 
-def appended(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
-    """All rows appended so far, or by batches before ``before`` (pruned by folder)."""
+def appended(spark: SparkSession, path: str, schema: str, before: int | None = None, after: int | None = None) -> DataFrame:
+    """All rows appended so far, or by batches before ``before`` and later than ``after`` (pruned by folder)."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], schema)
     rows = spark.read.schema(f"{schema}, batch bigint").parquet(path)
     if before is not None:
         rows = rows.where(F.col("batch") < before)
+    if after is not None:
+        rows = rows.where(F.col("batch") > after)
     return rows.drop("batch")
 
 

@@ -26,23 +26,21 @@ ACCEPTED = (
     "published_at timestamp, guid string, categories array<string>, sec_form_type string, fetched_at timestamp, "
     "url_key string, title_key string"
 )
+CANDIDATES = f"{ACCEPTED}, hit string, strong boolean, id bigint"
 ALERTS = "deal_key string, emit_ts timestamp"
 DEAL_SOURCES = "deal_key string, source_id string, title string, link string, published_at timestamp"
 
 
-def once_per_key(stream: DataFrame, keys: Sequence[str], ts: str, memory: str) -> DataFrame:
+def once_per_key(stream: DataFrame, keys: Sequence[str], ts: str, memory: str, salts: int = 64) -> DataFrame:
     """First row per key, remembered for ``memory`` ("30 days", "1 day").
 
-    Copies are first thinned inside each Arrow batch of the input, so that a hot
-    key does not send all its copies to the one task that holds its state.
+    Two chained steps, both in the JVM: the first remembers key and salt, so that a
+    hot key's copies meet in as many tasks as there are salts, and the second sees at
+    most one row per key and salt.
     """
     names = list(keys)
-
-    def thin(batches):
-        for batch in batches:
-            yield batch.drop_duplicates(names)
-
-    return stream.mapInPandas(thin, stream.schema).withWatermark(ts, memory).dropDuplicatesWithinWatermark(names)
+    salted = stream.withColumn("_salt", F.pmod(F.xxhash64(F.struct(*stream.columns)), F.lit(salts))).withWatermark(ts, memory)
+    return salted.dropDuplicatesWithinWatermark([*names, "_salt"]).dropDuplicatesWithinWatermark(names).drop("_salt")
 
 
 def daily_totals(log: DataFrame, ts: str, counters: Sequence[str], late: str = "6 hours") -> DataFrame:
@@ -102,7 +100,7 @@ def process_batch(
     items, errors = feeds.parse_feeds(docs, sources, now)
     append_once(errors, f"{out}/errors", batch_id)
 
-    keyed = checkpointed(dedupe.with_keys(pf.category_filter(items, sources)))
+    keyed = checkpointed(flow.payload_firsts(dedupe.with_keys(pf.category_filter(items, sources))))
     accepted = appended(spark, f"{out}/accepted", ACCEPTED, before=batch_id)
     known = appended(spark, f"{out}/sources", "source_id string", before=batch_id).distinct()
     remembered = accepted.where(F.col("fetched_at") > tm.shift(tm.instant(now), -seen_days * 86_400))
@@ -116,16 +114,21 @@ def process_batch(
     first = newcomers.groupBy("source_id").agg(F.min("fetched_at").alias("_first"))
     fresh = stored.join(first, "source_id", "left").where("_first is null or fetched_at > _first").select(*stored.columns)
     passed = pf.prefilter(fresh).where("pass")
-    timely, late = queue.split_late(passed, now, max_age_hours)
+    # Candidates the scorer left unanswered come again, as long as they are young enough.
+    again = appended(spark, f"{out}/pending", CANDIDATES, before=batch_id, after=batch_id - 2)
+    waiting = passed.withColumn("id", F.xxhash64("url_key")).select(*again.columns).unionByName(again)
+    timely, late = queue.split_late(waiting, now, max_age_hours)
     append_once(late, f"{out}/late", batch_id)
-    append_once(timely.withColumn("id", F.xxhash64("url_key")), f"{out}/candidates", batch_id)
+    append_once(timely, f"{out}/candidates", batch_id)
 
-    cands = spark.read.parquet(f"{out}/candidates/batch={batch_id}")
+    cands = spark.read.schema(CANDIDATES).parquet(f"{out}/candidates/batch={batch_id}")
     result = flow.alerts_from(
-        cands, events, scorer,
+        cands, events, scorer, sources=sources,
         history=appended(spark, f"{out}/alerts", ALERTS, before=batch_id),
         prior_sources=appended(spark, f"{out}/deal_sources", DEAL_SOURCES, before=batch_id),
     )
+    append_once(result.pending.select(*cands.columns), f"{out}/pending", batch_id)
+    append_once(result.rejected, f"{out}/rejected", batch_id)
     append_once(checkpointed(result.outbox), f"{out}/outbox", batch_id)
     append_once(result.alerts.select("deal_key", "emit_ts"), f"{out}/alerts", batch_id)
     append_once(dl.merge_sources(result.reports).drop("first_reported_at"), f"{out}/deal_sources", batch_id)
