@@ -59,17 +59,19 @@ def short_hash(text: Column) -> Column:
 def canonical_url(raw: Column) -> Column:
     """One spelling per article address.
 
-    https, lower-case host without ``www.``, no fragment, no default port, no
-    tracking parameters, the remaining parameters in key order, no closing
-    slash except on a bare origin. Anything else is only trimmed and lowered.
+    https, lower-case host without ``www.``, no fragment, no default port, no dot
+    segments, no tracking parameters, the remaining parameters in key order and
+    one escaping, no closing slash except on a bare origin. User info and
+    bracketed addresses stay. Anything else is only trimmed and lowered.
     """
     mark = "\u0001"
-    address = r"^(?i:https?)://(?:[^/?#@]*@)?([^/?#:@]+)(:\d*)?([^?#]*)(?:\?([^#]*))?(?:#[\s\S]*)?$"
+    address = r"^(?i:https?)://((?:[^/?#@]*@)?)(\[[^\]/?#]*\]|[^/?#:@]+)(:\d*)?([^?#]*)(?:\?([^#]*))?(?:#[\s\S]*)?$"
 
     def rebuilt(parts: Column) -> Column:
-        host = F.regexp_replace(F.lower(F.get(parts, F.lit(0))), r"^www\.", "")
-        port, path, query = (F.get(parts, F.lit(i)) for i in (1, 2, 3))
-        origin = F.concat(F.lit("https://"), host, F.when(port.isin("", ":", ":80", ":443"), "").otherwise(port))
+        host = F.regexp_replace(F.lower(F.get(parts, F.lit(1))), r"^www\.", "")
+        user, port, written, query = (F.get(parts, F.lit(i)) for i in (0, 2, 3, 4))
+        path = F.when(written.rlike(r"/\.{1,2}(?:/|$)"), _without_dots(written)).otherwise(written)
+        origin = F.concat(F.lit("https://"), user, host, F.when(port.isin("", ":", ":80", ":443"), "").otherwise(port))
         params = F.when(query == "", "").otherwise(_kept_params(query))
         # The slash goes only when it ends the whole address and is not the root.
         bare = F.when((params == "") & path.endswith("/"), F.regexp_replace(path, "/$", "")).otherwise(path)
@@ -79,19 +81,38 @@ def canonical_url(raw: Column) -> Column:
         )
 
     def spelled(text: Column) -> Column:
-        parts = F.split(F.regexp_replace(text, address, f"$1{mark}$2{mark}$3{mark}$4"), mark)
-        return let(parts, lambda p: F.when(F.size(p) == 4, rebuilt(p)).otherwise(F.lower(text)))
+        parts = F.split(F.regexp_replace(text, address, f"$1{mark}$2{mark}$3{mark}$4{mark}$5"), mark)
+        return let(parts, lambda p: F.when(F.size(p) == 5, rebuilt(p)).otherwise(F.lower(text)))
 
     return let(strip(raw), spelled)
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved."""
+
+    def step(done: Column, part: Column) -> Column:
+        return (
+            F.when(part == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1))))
+            .when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+        )
+
+    parts = F.split(path, "/")
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit("")), step)
+    closed = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.array_join(closed, "/")
+
+
 def _kept_params(query: Column) -> Column:
-    """Query parameters without the tracking ones, in key order."""
+    """Query parameters without the tracking ones, in key order, spelled one way."""
     tracking = F.array(*[F.lit(p) for p in config.TRACKING_PARAMS])
 
     def key(pair: Column) -> Column:
         return F.substring_index(pair, "=", 1)
 
+    def spelled(part: Column) -> Column:
+        plain = part.rlike(r"^[A-Za-z0-9*._+-]*$")
+        return F.when(plain, part).otherwise(F.url_encode(F.coalesce(F.try_url_decode(part), part)))
+
     kept = F.filter(
         F.split(query, "&"), lambda p: (p != "") & ~F.array_contains(tracking, F.lower(key(p)))
     )
@@ -99,7 +120,10 @@ def _kept_params(query: Column) -> Column:
     ordered = F.array_sort(F.transform(kept, lambda p, i: F.struct(key(p).alias("k"), i.alias("i"), p.alias("p"))))
     # A parameter without "=" is written back with an empty value.
     return F.array_join(
-        F.transform(ordered, lambda s: F.when(s["p"].contains("="), s["p"]).otherwise(F.concat(s["p"], F.lit("=")))),
+        F.transform(
+            ordered,
+            lambda s: F.concat(spelled(s["k"]), F.lit("="), spelled(F.substr(s["p"], F.length(s["k"]) + 2))),
+        ),
         "&",
     )
 

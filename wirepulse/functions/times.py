@@ -37,16 +37,34 @@ ZONE_OFFSETS = {
 
 
 def parse_feed_date(text: Column) -> Column:
-    """RFC-822 or ISO-8601 text to a timestamp, null when it is neither."""
+    """RFC-822 or ISO-8601 text to a timestamp, null when it is neither.
+
+    Also read: two-digit years (50 to 99 are of the last century), month names in
+    full, one-digit hours, offsets with a colon, a closing comment, and
+    "Oct 2, 2002".
+    """
     offsets = F.create_map(*[F.lit(x) for pair in ZONE_OFFSETS.items() for x in pair])
-    forms = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d MMM yyyy")
+    forms = ("d MMM yyyy H:mm:ss Z", "d MMM yyyy H:mm Z", "d MMM yyyy H:mm:ss", "d MMM yyyy H:mm", "d MMM yyyy")
+    rewrites = (
+        (r" ?\([^)]*\)$", ""),
+        (r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?(?= )", "$1"),
+        (r"^([A-Za-z]{3}) (\d{1,2}),? (?=\d{4})", "$2 $1 "),
+        (r"^(\d{1,2} [A-Za-z]{3}) ([0-4]\d)(?=\D|$)", "$1 20$2"),
+        (r"^(\d{1,2} [A-Za-z]{3}) ([5-9]\d)(?=\D|$)", "$1 19$2"),
+        (r"([+-]\d{2}):(\d{2})$", "$1$2"),
+    )
+
+    def usual(bare: Column) -> Column:
+        for pattern, instead in rewrites:
+            bare = F.regexp_replace(bare, pattern, instead)
+        return bare
 
     def with_offset(bare: Column) -> Column:
         offset = F.element_at(offsets, F.upper(F.regexp_extract(bare, "([A-Za-z]+)$", 1)))
         return F.when(offset.isNotNull(), F.concat(F.regexp_replace(bare, "[A-Za-z]+$", ""), offset)).otherwise(bare)
 
     def read(bare: Column) -> Column:
-        rfc = let(with_offset(bare), lambda t: F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in forms]))
+        rfc = let(with_offset(usual(bare)), lambda t: F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in forms]))
         return F.when(bare.rlike(r"^\d{4}-\d{2}-\d{2}"), bare.try_cast("timestamp")).otherwise(rfc)
 
     bare = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), "^[A-Za-z]{3,9}, *", "")

@@ -47,7 +47,7 @@ def _escaped(col: str) -> str:
 
 
 def _rss_docs(spark, d):
-    """One RSS document per 20 headlines; every fifth one is cut off."""
+    """One RSS document per 20 headlines; every fifth one is cut off inside its last item."""
     item = f"""concat('<item><title>', case when k % 2 = 0 then concat('<![CDATA[<b>', title, '</b>]]>') else {_escaped('title')} end, '</title>',
       case when k % 11 <> 0 then concat('<link>', {_escaped('link')}, '</link>') else '' end,
       '<description>&lt;p&gt;', summary, '&lt;/p&gt;</description>',
@@ -79,7 +79,7 @@ def _documents(spark, d, item: str, head: str, tail: str):
     return bodies.select(
         F.concat(F.lit("src"), (F.col("check_id") % 10).cast("string")).alias("source_id"), "check_id",
         F.expr("timestamp '2002-01-01 00:00:00'").alias("ts"),
-        F.when(F.col("check_id") % 5 == 0, F.substring(whole, 1, 900)).otherwise(whole).alias("body"),
+        F.when(F.col("check_id") % 5 == 0, F.left(whole, F.length(whole) - 40)).otherwise(whole).alias("body"),
     )
 
 
@@ -100,7 +100,7 @@ def _items(docs):
 SELECT 'src' || (k // 20 % 10) AS source_id, k // 20 AS check_id, CAST(k % 20 AS INT) AS position, title, link,
   CASE WHEN k % 3 = 0 THEN 'Full: ' ELSE '' END || summary AS summary, {_PUBLISHED} AS published_at, 'urn:' || k AS guid,
   'fintech,' || source_id AS categories, CAST(NULL AS VARCHAR) AS sec_form_type
-FROM headlines WHERE k // 20 % 5 <> 0 AND k % 11 <> 0"""))
+FROM (SELECT *, max(k) OVER (PARTITION BY k // 20) AS max_k FROM headlines) WHERE k % 11 <> 0 AND (k // 20 % 5 <> 0 OR k < max_k)"""))
 def feed_rss_items(spark, d):
     return _items(_rss_docs(spark, d))
 
@@ -109,11 +109,39 @@ def feed_rss_items(spark, d):
 SELECT 'src' || (k // 20 % 10) AS source_id, k // 20 AS check_id, CAST(k % 20 AS INT) AS position, form || ' - ' || title AS title, link,
   CASE WHEN k % 3 = 0 THEN 'Full: ' ELSE '' END || summary AS summary, {_PUBLISHED} AS published_at, 'urn:' || k AS guid,
   CASE WHEN k % 4 <> 0 THEN lower(form) ELSE '' END AS categories, CASE WHEN k // 20 % 10 < 5 THEN form END AS sec_form_type
-FROM (SELECT *, {V.pick(I.FORMS, "k % 6")} AS form FROM headlines) WHERE k // 20 % 5 <> 0 AND k % 11 <> 0"""))
+FROM (SELECT *, {V.pick(I.FORMS, "k % 6")} AS form, max(k) OVER (PARTITION BY k // 20) AS max_k FROM headlines) WHERE k % 11 <> 0 AND (k // 20 % 5 <> 0 OR k < max_k)"""))
 def feed_atom_items(spark, d):
     return _items(_atom_docs(spark, d))
 
 
+def _messy_docs(spark, d):
+    """One RSS document per four headlines, each spoiled in one of four ways."""
+    rows = I.headlines(spark, d).selectExpr("floor(k / 4) as check_id", "k", f"""concat('<item><title>', case when floor(k / 4) % 4 = 1 then 'M&nbsp;' else '' end, {_escaped('title')},
+      '</title><link>https://messy.example.com/', k, case when floor(k / 4) % 4 = 0 then '?a=1&b=2' else '' end, '</link><description>', summary, '</description></item>') as item""")
+    bodies = rows.groupBy("check_id").agg(F.sort_array(F.collect_list(F.struct("k", "item"))).alias("_i"))  # four items
+    whole = F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel>'), F.array_join(F.transform("_i", lambda s: s["item"]), ""), F.lit("</channel></rss>"))
+    case = F.col("check_id") % 4
+    return bodies.select(
+        F.concat(F.lit("src"), (F.col("check_id") % 10).cast("string")).alias("source_id"), "check_id", F.expr("timestamp '2002-01-01 00:00:00'").alias("ts"),
+        F.when(case == 2, F.concat(F.lit("\n "), whole)).when(case == 3, F.left(whole, F.length(whole) - 30)).otherwise(whole).alias("body"),
+    )
+
+
+@query(V.query(V.HEADLINES, select="""
+SELECT k // 4 AS check_id, CAST(k % 4 AS INT) - CAST(min(k % 4) OVER (PARTITION BY k // 4) AS INT) AS position, CASE WHEN k // 4 % 4 = 1 THEN 'M ' ELSE '' END || title AS title,
+  'https://messy.example.com/' || k || CASE WHEN k // 4 % 4 = 0 THEN '?a=1&b=2' ELSE '' END AS link, summary
+FROM (SELECT *, max(k) OVER (PARTITION BY k // 4) AS max_k FROM headlines) WHERE k // 4 % 4 <> 3 OR k < max_k"""))
+def feed_messy_items(spark, d):
+    items, _ = feeds.parse_feeds(_messy_docs(spark, d), _feed_sources(_messy_docs(spark, d)), I.NOW_ITEMS)
+    return items.select("check_id", "position", "title", "link", "summary")
+
+
+@query(V.query(V.HEADLINES, select="SELECT DISTINCT k // 4 AS check_id FROM headlines WHERE k // 4 % 4 = 3"))
+def feed_messy_errors(spark, d):
+    _, errors = feeds.parse_feeds(_messy_docs(spark, d), _feed_sources(_messy_docs(spark, d)), I.NOW_ITEMS)
+    return errors.select("check_id")
+
+
 @query(V.query(V.HEADLINES, select="""
 SELECT DISTINCT k // 20 AS check_id, 'src' || (k // 20 % 10) AS source_id, 'parse failed: not a well-formed feed document' AS reason FROM headlines WHERE k // 20 % 5 = 0"""))
 def feed_parse_errors(spark, d):
@@ -122,12 +150,15 @@ def feed_parse_errors(spark, d):
     return errors.select("check_id", "source_id", "reason")
 
 
-@query(V.query(V.HEADLINES, select="SELECT item_id, CASE WHEN k % 7 < 6 THEN published_at END AS at FROM headlines"))
+@query(V.query(V.HEADLINES, select="SELECT item_id, CASE WHEN k % 14 = 13 THEN date_trunc('day', published_at) WHEN k % 14 <> 6 THEN published_at END AS at FROM headlines"))
 def feed_dates(spark, d):
     t, ahead = "published_at", "timestampadd(HOUR, 2, published_at)"
-    text = f"""case k % 7 when 0 then concat(date_format({t}, 'E, d MMM yyyy HH:mm:ss'), ' GMT') when 1 then concat(date_format({ahead}, 'E, dd MMM yyyy HH:mm:ss'), ' +0200')
+    text = f"""case k % 14 when 0 then concat(date_format({t}, 'E, d MMM yyyy HH:mm:ss'), ' GMT') when 1 then concat(date_format({ahead}, 'E, dd MMM yyyy HH:mm:ss'), ' +0200')
       when 2 then concat(date_format({t}, "yyyy-MM-dd'T'HH:mm:ss"), 'Z') when 3 then concat(date_format({ahead}, "yyyy-MM-dd'T'HH:mm:ss"), '+02:00')
-      when 4 then concat(date_format({t}, 'dd MMM yyyy HH:mm'), ' UTC') when 5 then concat(date_format({t}, "yyyy-MM-dd'T'HH:mm:ss"), '.000Z') else 'last Tuesday' end"""
+      when 4 then concat(date_format({t}, 'dd MMM yyyy HH:mm'), ' UTC') when 5 then concat(date_format({t}, "yyyy-MM-dd'T'HH:mm:ss"), '.000Z') when 7 then concat(date_format({t}, 'd MMM yy HH:mm:ss'), ' +0000')
+      when 8 then concat(date_format({t}, 'd MMMM yyyy HH:mm:ss'), ' +0000') when 9 then concat(date_format({t}, 'E, d MMM yyyy HH:mm:ss'), ' +0000 (UTC)')
+      when 10 then concat(date_format({t}, 'E, d MMM yyyy HH:mm:ss'), ' +00:00') when 11 then concat(replace(date_format({t}, 'd MMM yyyy HH:mm:ss'), 'Sep', 'Sept'), ' GMT')
+      when 12 then concat(date_format({t}, 'd MMM yyyy H:mm:ss'), ' GMT') when 13 then date_format({t}, 'MMM d, yyyy') else 'last Tuesday' end"""
     return ntz(I.headlines(spark, d).select("item_id", tm.parse_feed_date(F.expr(text)).alias("at")))
 
 
