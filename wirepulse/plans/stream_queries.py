@@ -45,11 +45,12 @@ def stream_once_per_id(spark, d):
 
 
 @query(V.query(V.CYCLES, select="""
-SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(sum(cycles) AS BIGINT) AS cycles, CAST(sum(wall_ms) AS BIGINT) AS wall_ms FROM cycles
-WHERE date_trunc('day', ts) + INTERVAL 30 HOUR <= (SELECT max(ts) FROM cycles) GROUP BY 1"""))
+SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(sum(cycles) AS BIGINT) AS cycles, CAST(sum(wall_ms) AS BIGINT) AS wall_ms FROM cycles GROUP BY 1"""))
 def stream_daily(spark, d):
     log = _events(spark, d).selectExpr("ts", "1 as cycles", "cast(value * 100 as bigint) as wall_ms")
-    return _finish(jobs.daily_totals(log, "ts", ["cycles", "wall_ms"]))
+    out = f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}"
+    jobs.write_updates(jobs.daily_totals(log, "ts", ["cycles", "wall_ms"]), f"{out}/rows", f"{out}/state").awaitTermination()
+    return jobs.latest_totals(spark, f"{out}/rows", "day string, cycles bigint, wall_ms bigint", "day")
 
 
 @query(V.query(V.CYCLES, _WARN, select="""
@@ -64,8 +65,8 @@ def stream_cooldown(spark, d):
 @query(V.query(V.CYCLES, select="""
 SELECT job, count(*) AS n, min(ts) AS started_at FROM (
   SELECT *, count_if(opens) OVER (PARTITION BY job ORDER BY ts, cycle_id) AS s FROM (
-    SELECT *, COALESCE(ts - lag(ts) OVER (PARTITION BY job ORDER BY ts, cycle_id) >= INTERVAL 5 MINUTE, TRUE) AS opens FROM cycles))
-GROUP BY job, s HAVING max(ts) + INTERVAL 5 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM cycles)"""))
+    SELECT *, COALESCE(ts - lag(ts) OVER (PARTITION BY job ORDER BY ts, cycle_id) > INTERVAL 5 MINUTE, TRUE) AS opens FROM cycles))
+GROUP BY job, s HAVING max(ts) + INTERVAL 5 MINUTE + INTERVAL 1 MICROSECOND <= (SELECT max(ts) - INTERVAL 1 HOUR FROM cycles)"""))
 def stream_sessions(spark, d):
     rows = _events(spark, d).selectExpr("event_type as job", "ts")
     return ntz(_finish(jobs.activity_sessions(rows, "job", "ts")))

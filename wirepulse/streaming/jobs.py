@@ -44,16 +44,32 @@ def once_per_key(stream: DataFrame, keys: Sequence[str], ts: str, memory: str, s
 
 
 def daily_totals(log: DataFrame, ts: str, counters: Sequence[str], late: str = "6 hours") -> DataFrame:
-    """Counters per UTC day, emitted once the day is closed."""
+    """Counters per UTC day: in append mode once the day is closed, in update mode as they grow."""
     totals = [F.sum(F.coalesce(c, F.lit(0))).cast("bigint").alias(c) for c in counters]
     return log.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("_w")).agg(*totals).select(
         tm.day_key(F.col("_w.start")).alias("day"), *counters
     )
 
 
+def write_updates(totals: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keep growing totals: every batch appends the rows it changed as its own part."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        append_once(batch, out, batch_id)
+
+    writer = totals.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def latest_totals(spark, out: str, schema: str, key: str) -> DataFrame:
+    """The newest row of every key that ``write_updates`` has written, open windows included."""
+    rows = spark.read.schema(f"{schema}, batch bigint").parquet(out)
+    rest = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("_row")).select(key, "_row.*")
+
+
 def activity_sessions(log: DataFrame, key: str, ts: str, gap: str = "5 minutes", late: str = "1 hour") -> DataFrame:
-    """Runs of activity per key; every border between two is a gap."""
-    return log.withWatermark(ts, late).groupBy(key, F.session_window(ts, gap).alias("_w")).agg(F.count("*").alias("n")).select(
+    """Runs of activity per key, split only where more than ``gap`` passes, as in ``ordered.sessions``."""
+    return log.withWatermark(ts, late).groupBy(key, F.session_window(ts, f"{gap} 1 microsecond").alias("_w")).agg(F.count("*").alias("n")).select(
         key, "n", F.col("_w.start").alias("started_at")
     )
 
