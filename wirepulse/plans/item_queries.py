@@ -196,6 +196,20 @@ def duplicate_counts(spark, d):
     return dedupe.duplicate_counts(items, kept, ["source_id", "day"])
 
 
+@query(V.query(V.HEADLINES, select="SELECT item_id FROM headlines WHERE k % 3 <> 0 OR k = (SELECT min(k) FROM headlines WHERE k % 3 = 0)"))
+def dedupe_hot_key(spark, d):
+    """A third of the rows share an address."""
+    items = I.headlines(spark, d).selectExpr("item_id", "case when k % 3 = 0 then 'hot' else concat('u', k) end as url_key", "concat('t', k) as title_key")
+    return dedupe.dedupe_two_key(items, ["item_id"]).select("item_id")
+
+
+@query(V.query(V.HEADLINES, select="SELECT item_id FROM headlines WHERE (k - (SELECT min(k) FROM headlines)) % 2 = 0"))
+def dedupe_chain(spark, d):
+    """All rows in one chain: each shares its address with one neighbour and its title with the other."""
+    items = I.headlines(spark, d).selectExpr("item_id", "concat('c', floor((k + 1) / 2)) as url_key", "concat('d', floor(k / 2)) as title_key")
+    return dedupe.dedupe_two_key(items, ["item_id"]).select("item_id")
+
+
 _EARLY = "TIMESTAMP '1996-06-01 00:00:00'"
 
 
