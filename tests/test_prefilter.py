@@ -84,3 +84,17 @@ def test_filter_on_outcome_does_not_copy_patterns(spark):
     plan = pf.prefilter(frame).where("pass")._jdf.queryExecution().optimizedPlan().toString()
     lines = plan.splitlines()
     assert not any("Filter" in line and "RLIKE" in line for line in lines)
+
+
+def test_a_veto_word_added_by_a_row(spark):
+    from wirepulse.operators import prefilter as pf
+
+    rows = [("funding", 1, 0, r"\braises\b"), ("veto", 9, 0, r"\bgardening\b")]
+    words = pf.read_vocabulary(spark.createDataFrame(rows, "list string, priority int, position int, pattern string"))
+    items = spark.createDataFrame(
+        [(1, "Firm raises funds", "for gardening"), (2, "Firm raises funds", "for cards"), (3, "Firm rests", ""), (4, "x", "y " * 900 + "it raises")],
+        "id int, title string, summary string",
+    )
+    got = {r.id: (r["pass"], r.hit) for r in pf.prefilter(items, vocabulary=words).collect()}
+    assert got == {1: (False, None), 2: (True, "funding"), 3: (False, None), 4: (False, None)}
+    assert {r.id for r in pf.prefilter(items, vocabulary=words, body_chars=None).where("pass").collect()} == {2, 4}

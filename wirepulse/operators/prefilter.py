@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Collection, Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,6 +12,31 @@ from wirepulse.functions import text as tx
 from wirepulse.functions.patterns import contains_any, first_pattern, padded
 
 
+class Vocabulary(NamedTuple):
+    """The pattern lists of the keyword stage; families in priority order."""
+
+    families: Mapping[str, Sequence[str]]
+    veto: Sequence[str] = tuple(config.VETO)
+    deal: Sequence[str] = tuple(config.ACQUISITION)
+    vehicle: Sequence[str] = tuple(config.FILER_VEHICLE)
+    hint: Sequence[str] = tuple(config.FILER_HINT)
+
+
+def read_vocabulary(table: DataFrame) -> Vocabulary:
+    """A vocabulary from rows ``(list, priority, position, pattern)``.
+
+    ``veto``, ``deal``, ``vehicle`` and ``hint`` name the lists of that kind, any other
+    name a family; families come by priority. The table is a configuration of
+    some hundred rows. A kind that has no row keeps its default.
+    """
+    rows = table.select("list", "priority", "position", "pattern").orderBy("priority", "list", "position").collect()
+    lists: dict[str, list[str]] = {}
+    for row in rows:
+        lists.setdefault(row["list"], []).append(row["pattern"])
+    kinds = {name: lists.pop(name) for name in ("veto", "deal", "vehicle", "hint") if name in lists}
+    return Vocabulary(families=lists or enabled_families(), **kinds)
+
+
 def enabled_families(
     families: Mapping[str, Sequence[str]] = config.FAMILIES,
     disabled: Collection[str] = (),
@@ -35,15 +61,18 @@ def _pattern_of(lists: Mapping[str, Sequence[str]]) -> Column:
     return found
 
 
-def keyword_match(items: DataFrame, families: Mapping[str, Sequence[str]]) -> DataFrame:
+def keyword_match(
+    items: DataFrame, families: Mapping[str, Sequence[str]], body_chars: int | None = config.BODY_CHARS,
+) -> DataFrame:
     """Add ``haystack``, ``hit``, ``in_title`` and ``scope`` (the text that hit).
 
     A family found in the title outranks any found in the body. One alternation
     of every pattern dismisses most rows; the rest take one per family. Naming
     the pattern is left to the rows that need it. ``haystack`` and ``scope`` are
-    padded.
+    padded. Of the body ``body_chars`` characters are searched (None: all).
     """
-    body = F.substring(F.coalesce("summary", F.lit("")), 1, config.BODY_CHARS)
+    body = F.coalesce("summary", F.lit(""))
+    body = body if body_chars is None else F.substring(body, 1, body_chars)
     every = [p for terms in families.values() for p in terms]
     none = F.lit(None).cast("string")
     return (
@@ -79,13 +108,13 @@ def _outcome(
     )
 
 
-def _news() -> Column:
+def _news(words: Vocabulary) -> Column:
     """Outcome for news items; expects the ``keyword_match`` columns."""
     hit, haystack = F.col("hit"), F.col("haystack")
     money = contains_any(padded(F.col("title")), (config.MONEY,))
     return (
         F.when(hit.isNull(), _outcome(None, "no tracked event language"))
-        .when(contains_any(haystack, config.VETO), _outcome(None, "vetoed by ", "veto", haystack))
+        .when(contains_any(haystack, words.veto), _outcome(None, "vetoed by ", "veto", haystack))
         .otherwise(
             _outcome(
                 hit, "matched ", hit, F.col("scope"),
@@ -95,7 +124,7 @@ def _news() -> Column:
     )
 
 
-def _current_report() -> Column:
+def _current_report(words: Vocabulary) -> Column:
     """8-K: item 2.01 passes; 1.01 needs deal words beyond its own caption."""
     haystack = F.col("haystack")
     rest = F.regexp_replace(haystack, "(?i)" + config.ITEM_101_CAPTION, " ")
@@ -105,23 +134,23 @@ def _current_report() -> Column:
             ~contains_any(haystack, (config.ITEM_101, config.ITEM_201)), _outcome(None, "8-K without item 1.01 or 2.01")
         )
         .when(contains_any(haystack, (config.ITEM_201,)), _outcome(passed, "8-K item 2.01 (completed acquisition)"))
-        .when(contains_any(rest, config.ACQUISITION), _outcome(passed, "8-K item 1.01 + ", "deal", rest))
+        .when(contains_any(rest, words.deal), _outcome(passed, "8-K item 1.01 + ", "deal", rest))
         .otherwise(
             _outcome(None, "8-K item 1.01 with no acquisition or merger language beyond the standard caption")
         )
     )
 
 
-def _offering_notice() -> Column:
+def _offering_notice(words: Vocabulary) -> Column:
     """Form D: investment vehicles are vetoed, then the name must hint at finance."""
     name = padded(tx.sec_filer_name(F.col("title")))
     return (
         F.when(
-            contains_any(name, config.FILER_VEHICLE),
+            contains_any(name, words.vehicle),
             _outcome(None, "Form D from an investment vehicle (", "vehicle", name, after=")"),
         )
         .when(
-            contains_any(name, config.FILER_HINT),
+            contains_any(name, words.hint),
             _outcome(F.lit("sec-form-d"), "Form D, name matches ", "hint", name),
         )
         .otherwise(_outcome(None, "Form D with no fintech signal in the name"))
@@ -131,23 +160,29 @@ def _offering_notice() -> Column:
 def prefilter(
     items: DataFrame,
     families: Mapping[str, Sequence[str]] | None = None,
+    vocabulary: Vocabulary | None = None,
+    body_chars: int | None = config.BODY_CHARS,
 ) -> DataFrame:
     """Add ``pass``, ``hit``, ``reason`` and ``strong`` to items.
 
     Needs ``title`` and ``summary``; filings also carry ``sec_form_type``. Every
-    rejected row has a reason.
+    rejected row has a reason. ``vocabulary`` replaces all lists, ``families`` those
+    of the events only; ``body_chars`` of the summary are searched (None: all).
     """
-    families = enabled_families() if families is None else dict(families)
-    matched = keyword_match(items, families)
-    lists = {"veto": config.VETO, **families}
-    decision = _news()
+    words = vocabulary or Vocabulary(enabled_families())
+    if families is not None:
+        words = words._replace(families=dict(families))
+    families = words.families
+    matched = keyword_match(items, families, body_chars)
+    lists = {"veto": words.veto, **families}
+    decision = _news(words)
     if "sec_form_type" in items.columns:
-        lists |= {"deal": config.ACQUISITION, "vehicle": config.FILER_VEHICLE, "hint": config.FILER_HINT}
+        lists |= {"deal": words.deal, "vehicle": words.vehicle, "hint": words.hint}
         form = F.upper(F.nullif("sec_form_type", F.lit("")))
         decision = (
             F.when(form.isNull(), decision)
-            .when(form == "8-K", _current_report())
-            .when(form.isin("D", "D/A"), _offering_notice())
+            .when(form == "8-K", _current_report(words))
+            .when(form.isin("D", "D/A"), _offering_notice(words))
             .otherwise(_outcome(None, F.concat(F.lit("SEC form "), form, F.lit(" is not tracked"))))
         )
     # A generator is a barrier: a filter on the outcome runs right above it, before

@@ -93,10 +93,12 @@ def pack_batches(rows: DataFrame, n: int = config.MAX_BATCH) -> DataFrame:
     ).drop("rn")
 
 
-def needs_enrichment(packed: DataFrame, sources: DataFrame, cap: int = config.MAX_ARTICLE_FETCHES) -> DataFrame:
+def needs_enrichment(
+    packed: DataFrame, sources: DataFrame, cap: int = config.MAX_ARTICLE_FETCHES, thin_chars: int = config.THIN_SUMMARY_CHARS,
+) -> DataFrame:
     """Add ``fetch_article``: thin rows of permitting sources, at most ``cap`` per batch."""
     permits = sources.select("source_id", F.col("fetch_article").alias("_permit"))
-    thin = (F.length(tx.strip(F.col("summary"))) < config.THIN_SUMMARY_CHARS) & F.coalesce("_permit", F.lit(True))
+    thin = (F.length(tx.strip(F.col("summary"))) < thin_chars) & F.coalesce("_permit", F.lit(True))
     # A batch holds at most a request's worth of rows.
     turn = Window.partitionBy("batch_id").orderBy("fetched_at", "id")
     turn = turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -108,37 +110,48 @@ def needs_enrichment(packed: DataFrame, sources: DataFrame, cap: int = config.MA
     )
 
 
-def choose_body(cands: DataFrame, articles: DataFrame) -> DataFrame:
+def _cut(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def choose_body(cands: DataFrame, articles: DataFrame, body_chars: int | None = config.BODY_CHARS) -> DataFrame:
     """Add ``body``: the article when longer than the summary, else the summary; cut.
 
     ``articles`` has (link, article), one row per link.
     """
     joined = cands.join(articles.select("link", "article"), "link", "left")
     longer = F.length("article") > F.length("summary")
-    body = F.substring(F.when(longer, F.col("article")).otherwise(F.col("summary")), 1, config.BODY_CHARS)
+    body = _cut(F.when(longer, F.col("article")).otherwise(F.col("summary")), body_chars)
     return joined.select(*cands.columns, body.alias("body"))
 
 
 def associate(cands: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach verdicts; a candidate without one goes back to pending."""
-    flagged = verdicts.withColumn("_answered", F.lit(True))
+    """Attach verdicts; a candidate without one goes back to pending.
+
+    Of several verdicts for a candidate the last counts: by ``position`` where the
+    verdicts carry one.
+    """
+    order = F.col("position") if "position" in verdicts.columns else F.monotonically_increasing_id()
+    rest = [c for c in verdicts.columns if c not in keys]
+    last = verdicts.withColumn("_order", order).groupBy(*keys).agg(F.max_by(F.struct(*rest), "_order").alias("_verdict"))
+    flagged = last.select(*keys, "_verdict.*", F.lit(True).alias("_answered"))
     joined = cands.join(flagged, keys, "left")
     status = F.when(F.coalesce("_answered", F.lit(False)), CLASSIFIED).otherwise(PENDING)
     return joined.withColumn("status", status).drop("_answered")
 
 
-def render_requests(packed: DataFrame) -> DataFrame:
+def render_requests(packed: DataFrame, body_chars: int | None = config.BODY_CHARS) -> DataFrame:
     """One request text per batch: a header, then a block per item."""
     published = F.coalesce(F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("unknown"))
     form = F.col("sec_form_type") if "sec_form_type" in packed.columns else F.lit(None).cast("string")
     block = F.concat_ws(
         "\n",
         F.concat(F.lit("--- ITEM id="), F.col("item_no"), F.lit(" ---")),
-        F.concat(F.lit("Source: "), F.col("source_id")),
+        F.concat(F.lit("Source: "), F.coalesce("source_name", "source_id") if "source_name" in packed.columns else F.col("source_id")),
         F.concat(F.lit("Published: "), published),
         F.concat(F.lit("SEC form type: "), form),
         F.concat(F.lit("Title: "), F.col("title")),
-        F.concat(F.lit("Body: "), F.substring("body", 1, config.BODY_CHARS)),
+        F.concat(F.lit("Body: "), _cut(F.col("body"), body_chars)),
     )
     order = F.substring("item_no", 2, 10).cast("int")
     # Batches are cut to a fixed size, so the list stays that short.

@@ -22,6 +22,21 @@ def prefilter_family(spark: SparkSession, d: str) -> DataFrame:
     return pf.keyword_match(I.headlines(spark, d), pf.enabled_families()).select("item_id", "hit", "in_title")
 
 
+# Document texts with a deal sentence before, across or after the character where the search ends.
+_SENTENCES = (" Firm raises $5M.", " Firm acquires a rival.", " Firm launches a card.", " The market is projected to grow at a high cagr. It raises $5M.", "")
+_SPOT = "CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN 700 WHEN 1 THEN 1495 ELSE 1600 END"
+_DOCUMENT_ITEMS = f"""documents_items AS (SELECT doc_id AS item_id, 'Document ' || doc_id AS title,
+  substr(text, 1, {_SPOT}) || {V.pick(_SENTENCES, 'doc_id % 5')} || substr(text, 1 + {_SPOT}) AS summary FROM documents)"""
+
+
+@query(f"""WITH {_DOCUMENT_ITEMS}, hay AS (SELECT *, chr(10) || title || chr(10) || substr(summary, 1, 1500) AS haystack FROM documents_items)
+SELECT item_id, split_part({V.family_case('haystack')}, '#', 1) AS hit FROM hay""")
+def prefilter_documents(spark, d):
+    docs = I.table(spark, d, "documents").selectExpr("doc_id", "text", _SPOT + " as spot", I.pick(_SENTENCES, "doc_id % 5") + " as said")
+    items = docs.selectExpr("doc_id as item_id", "concat('Document ', doc_id) as title", "concat(substr(text, 1, spot), said, substr(text, 1 + spot)) as summary")
+    return pf.keyword_match(items, pf.enabled_families()).select("item_id", "hit")
+
+
 @query(V.query(V.HEADLINES, V.OUTCOME, select="SELECT item_id, reason FROM outcome WHERE reason LIKE 'vetoed by%'"))
 def prefilter_veto(spark, d):
     return pf.prefilter(I.headlines(spark, d)).where(F.col("reason").startswith("vetoed by")).select("item_id", "reason")
