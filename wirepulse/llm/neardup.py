@@ -9,7 +9,8 @@
    the sketch of the union estimates enough similarity, and becomes a link if the
    full sets confirm it. Linked classes are merged into components.
 4. Only lists that then still hold several components are compared further, between
-   components. Pairs inside a component cannot change the result and are never made.
+   components. Pairs inside a component cannot change the result and are never made, nor
+   are pairs that the shingles found in one class alone rule out.
 """
 
 from __future__ import annotations
@@ -34,8 +35,19 @@ HOT_HASHES = 1 << 16
 SLACK = 6.0
 
 
-def overlap_floor(size: int, percent: int) -> int:
-    """Retained hashes that two similar sets share at least, of ``size`` in the sketch of their union."""
+#: Length from which a list first loses the classes that cannot have a link in it.
+LONG_LIST = 64
+#: Most classes of the long lists that hold a shingle called rare.
+RARE = 16
+
+
+def overlap_floor(size: int, percent: int, retained: int) -> int:
+    """Retained hashes that two similar sets share at least, of ``size`` in one's sketch.
+
+    A set so small that every similar one is retained whole, too, shares its exact part.
+    """
+    if 100 * size <= percent * retained:
+        return max(1, -(-size * percent // 100))
     share = percent / 100
     return max(1, math.floor(share * size - SLACK * math.sqrt(share * (1 - share) * size)))
 
@@ -58,7 +70,7 @@ def _sets(size: int):
     return full
 
 
-def _postings(reps: DataFrame, percent: int) -> DataFrame:
+def _postings(reps: DataFrame, percent: int, retained: int) -> DataFrame:
     """``(value, cid)``: the retained hashes each class lists, the most frequent left out.
 
     The order is one for all classes: by frequency where that is known (the
@@ -81,7 +93,7 @@ def _postings(reps: DataFrame, percent: int) -> DataFrame:
                     at = np.minimum(np.searchsorted(hot, sketch), len(hot) - 1)
                     rank = np.where(hot[at] == sketch, often[at], 0)
                 order = np.lexsort((sketch, rank))
-                listed = sketch[order[: len(sketch) - overlap_floor(len(sketch), percent) + 1]]
+                listed = sketch[order[: len(sketch) - overlap_floor(len(sketch), percent, retained) + 1]]
                 ids.append(np.full(len(listed), cid, np.int64))
                 values.append(listed)
             if ids:
@@ -103,19 +115,24 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int, retained: int) -
     return both.where(shared >= floor).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """Links: pairs whose full shingle sets reach the similarity.
+def _full_sets(wanted: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """``(cid, items)``: the whole shingle sets of the classes in ``wanted (cid, key, fp)``.
 
-    Only texts of classes in some pair are read again: a Bloom filter of fixed size drops
-    the others in the scan, an exact join the rest. Sets then meet in two joins.
+    Only their texts are read again: a Bloom filter of fixed size drops the others in
+    the scan, an exact join the rest.
     """
-    wanted = checkpointed(
-        pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(reps.select("cid", "key", "fp"), "cid")
-    )
     probed = bloom.probe(texts, F.col("key"), bloom.build(wanted, F.col("key")), "possible").where("possible")
     chosen = probed.select("key", "text").join(wanted.select("key").distinct(), "key").dropDuplicates(["key"])
     sets = text_map(chosen, "key", "text", [("items", T.ArrayType(T.LongType())), ("fp", T.BinaryType())], lambda: _sets(words))
-    ready = wanted.join(sets, ["key", "fp"]).select("cid", "items")
+    return wanted.join(sets, ["key", "fp"]).select("cid", "items")
+
+
+def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """Links: pairs whose full shingle sets reach the similarity."""
+    wanted = checkpointed(
+        pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(reps.select("cid", "key", "fp"), "cid")
+    )
+    ready = _full_sets(wanted, texts, words)
     left, right = (ready.select(F.col("cid").alias(x), F.col("items").alias(f"items_{x}")) for x in ("a", "b"))
     met = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("items_a", "items_b"))
@@ -188,17 +205,67 @@ def near_duplicate_rows(df: DataFrame, id_col: str, text_col: str, words: int =
 
 def class_labels(reps: DataFrame, texts: DataFrame, words: int, percent: int, retained: int) -> DataFrame:
     """``(node, label)`` of the classes that have a link."""
-    lists = checkpointed(_postings(reps, percent))
+    lists = checkpointed(_postings(reps, percent, retained))
     centres = lists.groupBy("value").agg(F.min("cid").alias("a"), F.max("cid").alias("last")).where("a <> last").select("value", "a")
     first = checkpointed(lists.join(centres, "value").where("cid <> a").select("a", F.col("cid").alias("b")).distinct())
     links = checkpointed(_confirmed(checkpointed(_estimated(first, reps, percent, retained)), reps, texts, percent, words))
     labels = components(links)
     named = lists.join(labels, F.col("cid") == F.col("node"), "left").select("value", "cid", F.coalesce("label", "cid").alias("label"))
-    mixed = named.groupBy("value").agg(F.min("label").alias("main"), F.max("label").alias("other")).where("main <> other").select("value", "main")
-    open_lists = checkpointed(named.join(mixed, "value"))
-    x = open_lists.where("label <> main").select("value", F.col("cid").alias("x"), F.col("label").alias("label_x"))
-    y = open_lists.select("value", F.col("cid").alias("y"), F.col("label").alias("label_y"), (F.col("label") == F.col("main")).alias("central"))
-    across = x.join(y, "value").where((F.col("label_x") != F.col("label_y")) & (F.col("central") | (F.col("x") < F.col("y"))))
-    second = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    lists = checkpointed(_mixed(named))
+    sized = reps.select("cid", "n", F.lit(0).cast("long").alias("own"))
+    short = lists.where(F.col("length") <= LONG_LIST).drop("length").join(sized, "cid")
+    long, near = _prospects(lists.where(F.col("length") > LONG_LIST).drop("length"), reps, texts, percent, words)
+    rest = short.unionByName(long)
+    x = rest.where("label <> main").select("value", F.col("cid").alias("x"), F.col("label").alias("label_x"), F.col("n").alias("n_x"), F.col("own").alias("own_x"))
+    y = rest.select(
+        F.col("value").alias("value_y"), F.col("cid").alias("y"), F.col("label").alias("label_y"), F.col("n").alias("n_y"), F.col("own").alias("own_y"),
+        (F.col("label") == F.col("main")).alias("central"),
+    )
+    most = F.least(F.col("n_x") - F.col("own_x"), F.col("n_y") - F.col("own_y"))
+    possible = (
+        (F.col("value") == F.col("value_y")) & (F.col("label_x") != F.col("label_y")) & (F.col("central") | (F.col("x") < F.col("y")))
+        & (100 * most >= percent * (F.col("n_x") + F.col("n_y") - most))
+    )
+    across = x.join(y, possible)
+    paired = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(near)
+    second = paired.distinct().join(first, ["a", "b"], "left_anti")
     more = _confirmed(checkpointed(_estimated(second, reps, percent, retained)), reps, texts, percent, words)
     return components(checkpointed(links.unionAll(more)))
+
+
+def _mixed(named: DataFrame) -> DataFrame:
+    """Rows of the lists that hold several components, with ``main``, the lowest of them, and the list's ``length``."""
+    columns = [c for c in named.columns if c != "main"]
+    ends = named.groupBy("value").agg(F.min("label").alias("main"), F.max("label").alias("other"), F.count("*").alias("length"))
+    return named.select(*columns).join(ends.where("main <> other").drop("other"), "value")
+
+
+def _prospects(lists: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """What may still be linked in long mixed lists: rows with ``n`` and ``own``, and pairs ``(a, b)``.
+
+    A shingle held by at most ``RARE`` classes of these lists is rare. Pairs that share
+    one are few, and are returned as pairs. Any other pair has the rare shingles of both
+    in its union and none in common, so a class with too many of them (``own``) for the
+    smallest partner of a list cannot have a link there and leaves it, before any pair
+    is made. A large group of strongly edited copies goes this way.
+    """
+    members = lists.select("cid", "label").distinct()
+    wanted = checkpointed(members.join(reps.select("cid", "key", "n"), "cid"))
+    # A text that passes the filter by chance can only make a shingle less rare, which is safe.
+    passed = bloom.probe(texts, F.col("key"), bloom.build(wanted, F.col("key")), "possible").where("possible")
+    sets = text_map(passed.select("key", "text"), "key", "text", [("items", T.ArrayType(T.LongType()))], lambda: lambda text: (_sets(words)(text)[0],))
+    items = sets.select("key", F.explode("items").alias("item"))
+    rare = items.groupBy("item").agg(F.count("*").alias("holders")).where(F.col("holders") <= RARE)
+    held = checkpointed(items.join(rare, "item").select("item", "key", "holders").distinct())
+    own = held.groupBy("key").agg(F.count("*").alias("own"))
+    profile = wanted.join(own, "key", "left").select("cid", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    known = lists.join(profile, "cid")
+    least = known.groupBy("value").agg(F.min("n").alias("least_n"))
+    shared = F.col("n") - F.col("own")
+    able = known.join(least, "value").where(100 * shared >= percent * (F.greatest("least_n", shared) + F.col("own"))).drop("least_n")
+
+    tagged = held.where("holders > 1").join(wanted.select("key", "cid", "label"), "key")
+    left = tagged.select("item", F.col("cid").alias("a"), F.col("label").alias("label_a"))
+    right = tagged.select(F.col("item").alias("item_b"), F.col("cid").alias("b"), F.col("label").alias("label_b"))
+    near = left.join(right, (F.col("item") == F.col("item_b")) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")))
+    return checkpointed(_mixed(able).drop("length")), near.select("a", "b").distinct()
