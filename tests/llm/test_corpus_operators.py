@@ -264,6 +264,22 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_a_group_of_strongly_edited_copies(spark, monkeypatch):
+    r = random.Random(31)
+    vocabulary = [f"v{k}" for k in range(4000)]
+    base = [r.choice(vocabulary) for _ in range(120)]
+    edit = lambda words, share, pool: " ".join(w if r.random() > share else r.choice(pool) for w in words)
+    texts = [edit(base, r.choice((0, 0.005, 0.01, 0.02, 0.03, 0.05, 0.08)), vocabulary[:400]) for _ in range(260)]
+    texts += [" ".join(r.choice(vocabulary) for _ in range(60)) for _ in range(100)]
+    branch = edit(base, 0.04, vocabulary).split()
+    texts += [edit(branch, 0.01, vocabulary) for _ in range(12)]
+    want = sorted(brute.near_duplicates(list(enumerate(texts))))
+    for length, rare in ((8, 4), (64, 16)):
+        monkeypatch.setattr(neardup, "LONG_LIST", length)
+        monkeypatch.setattr(neardup, "RARE", rare)
+        assert sorted(tuple(x) for x in neardup.near_duplicates(frame(spark, texts)).collect()) == want
+
+
 def test_near_duplicates_null_and_repeated_ids(spark):
     text = " ".join(f"w{k}" for k in range(50))
     given = [(None, text), (4, text), (4, text), (9, text + " x"), (None, "alone here is a text of words"), (2, None), (2, None), (None, "")]
