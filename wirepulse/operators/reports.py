@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wirepulse import config
 from wirepulse.functions import text as tx, times as tm
+from wirepulse.operators.deals import cooldown
 from wirepulse.operators.ordered import nearest_rank
 
 COUNTERS = ("requests", "cycles", "wall_ms", "cpu_ms", "items_seen", "candidates", "alerts")
@@ -165,13 +166,26 @@ def cycle_report(fetches: DataFrame) -> DataFrame:
     )
 
 
+def usage_warnings(usage: DataFrame, least_cycles: int = 30, window_ms: int = 86_400_000) -> DataFrame:
+    """Readings ``(ts, id, cycles, warn)`` that send a warning.
+
+    A reading counts from ``least_cycles`` on, and of those that say so at most one
+    per window is sent; the window runs from the last one sent.
+    """
+    due = usage.where(F.col("warn") & (F.col("cycles") >= least_cycles)).withColumn("_key", F.lit("usage"))
+    return cooldown(due, "_key", "ts", "id", F.lit(window_ms)).where("emitted").select(*usage.columns)
+
+
 def source_probe(items: DataFrame, now) -> DataFrame:
-    """Per source: items, bytes, newest publish time with its age, a sample title."""
+    """Per source: items, bytes, newest publish time with its age, a sample title.
+
+    All items count; undated ones and those dated ahead of ``now`` give no age.
+    """
     moment = tm.instant(now)
     per_source = items.groupBy("source_id").agg(
         F.count("*").alias("items"),
         F.sum(F.octet_length("summary")).cast("bigint").alias("bytes"),
-        F.max("published_at").alias("newest_at"),
+        F.max(F.when(F.col("published_at") <= moment, F.col("published_at"))).alias("newest_at"),
         F.substring(F.min_by("title", "position"), 1, 120).alias("sample_title"),
     )
     age = tm.ms_between(F.col("newest_at"), moment)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from wirepulse.functions import times as tm
 from wirepulse.operators import deals as dl, gate, health, ordered, reports
@@ -230,16 +230,30 @@ def cycle_report(spark, d):
     return reports.cycle_report(fetches)
 
 
+@query(V.query(V.CYCLES, select="""
+, due AS (SELECT ts, min(cycle_id) AS id FROM (
+    SELECT ts, cycle_id, row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, cycle_id) AS n FROM cycles)
+  WHERE n >= 30 AND cycle_id % 2 = 0 GROUP BY ts),
+sent AS (SELECT min(ts) AS ts FROM due
+  UNION ALL SELECT (SELECT min(d.ts) FROM due d WHERE d.ts >= s.ts + INTERVAL 1 DAY) FROM sent s WHERE s.ts IS NOT NULL)
+SELECT id FROM due JOIN sent USING (ts)""").replace("WITH ", "WITH RECURSIVE ", 1).replace("\n\n, due", ", due"))
+def usage_warning(spark, d):
+    """Cycles of a day so far, half of them over the limit: at most one warning in 24 hours."""
+    today = Window.partitionBy(F.to_date("ts")).orderBy("ts", "cycle_id")
+    usage = I.cycles(spark, d).select("ts", F.col("cycle_id").alias("id"), F.row_number().over(today).alias("cycles"), (F.col("cycle_id") % 2 == 0).alias("warn"))
+    return reports.usage_warnings(usage).select("id")
+
+
 _AGE = V.ms_between("newest_at", f"TIMESTAMP '{I.NOW_ITEMS}'")
 
 
 @query(V.query(V.HEADLINES, select=f"""
 SELECT source_id, items, bytes, newest_at, sample_title, CASE WHEN m < 60 THEN CAST(m AS BIGINT) || 'm' WHEN m < 1440 THEN {V.to_fixed('(m / 60.0)', 1)} || 'h' ELSE {V.to_fixed('(m / 1440.0)', 1)} || 'd' END AS newest_age,
   COALESCE(age > 604800000, FALSE) AS stale FROM (SELECT *, {_AGE} AS age, floor({_AGE} / 60000.0 + 0.5) AS m FROM (
-    SELECT source_id, count(*) AS items, CAST(sum(strlen(summary)) AS BIGINT) AS bytes, max(published_at) AS newest_at, substr(arg_min(title, k), 1, 120) AS sample_title
-    FROM headlines WHERE published_at <= TIMESTAMP '{I.NOW_ITEMS}' GROUP BY source_id))"""))
+    SELECT source_id, count(*) AS items, CAST(sum(strlen(summary)) AS BIGINT) AS bytes, max(published_at) FILTER (WHERE published_at <= TIMESTAMP '{I.NOW_ITEMS}') AS newest_at, substr(arg_min(title, k), 1, 120) AS sample_title
+    FROM headlines GROUP BY source_id))"""))
 def source_probe(spark, d):
-    items = I.headlines(spark, d).where(F.col("published_at") <= tm.instant(I.NOW_ITEMS)).withColumn("position", F.col("k"))
+    items = I.headlines(spark, d).withColumn("position", F.col("k"))
     return ntz(reports.source_probe(items, I.NOW_ITEMS))
 
 
