@@ -40,11 +40,12 @@ def test_two_key_hot_groups_and_chains(spark):
 
 def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     rows = [(i, f"c{(i + 1) // 2}", f"d{i // 2}") for i in range(5000)]
-    rounds, settled = [], dedupe._settled
+    rounds, plain, settled = [], dedupe._earliest, dedupe._settled
+    monkeypatch.setattr(dedupe, "_earliest", lambda undecided: rounds.append(1) or plain(undecided))
     monkeypatch.setattr(dedupe, "_settled", lambda undecided: rounds.append(1) or settled(undecided))
     frame = spark.createDataFrame(rows, "seq int, url_key string, title_key string")
     assert sorted(r.seq for r in dedupe.dedupe_two_key(frame, ["seq"]).collect()) == sequential(rows)
-    assert len(rounds) == 1
+    assert len(rounds) == 2
 
 
 def test_two_key_with_history(spark):

@@ -72,8 +72,9 @@ def dedupe_two_key(items: DataFrame, order: Sequence[str], seen: DataFrame | Non
     collapse to their earliest first, on the map side. Then, in rounds:
 
     1. a row that is the earliest on both keys is kept;
-    2. a row with exactly one earlier rival has the opposite fate of that rival, so
-       whole chains of such rows are settled from their end by pointer doubling;
+    2. where the round before left more than half of its rows: a row with exactly one
+       earlier rival has the opposite fate of that rival, so whole chains of such
+       rows are settled from their end by pointer doubling;
     3. rows that share a key with a kept row go.
 
     Every step joins against one row per key or per undecided row, at any size;
@@ -85,11 +86,12 @@ def dedupe_two_key(items: DataFrame, order: Sequence[str], seen: DataFrame | Non
     if seen is not None:
         pairs = anti_seen(pairs, seen)
     undecided = checkpointed(pairs.withColumn("node", F.monotonically_increasing_id()))
-    kept = undecided.limit(0)
-    while not undecided.isEmpty():
-        winners = checkpointed(_settled(undecided))
+    kept, before, left = undecided.limit(0), 0, undecided.count()
+    while left:
+        winners = checkpointed(_settled(undecided) if before and 2 * left > before else _earliest(undecided))
         kept = kept.unionByName(winners)
         undecided = checkpointed(anti_seen(undecided, winners))
+        before, left = left, undecided.count()
     # The rank identifies a row: fetch the kept rows back in full.
     names = ["url_key", "title_key", *order]
     flat = kept.select(
@@ -100,6 +102,14 @@ def dedupe_two_key(items: DataFrame, order: Sequence[str], seen: DataFrame | Non
     return items.join(flat, same, "left_semi")
 
 
+def _earliest(rows: DataFrame) -> DataFrame:
+    """Rows that are the earliest on both of their keys."""
+    by_url = rows.groupBy("url_key").agg(F.min(F.struct("rank", "title_key", "node")).alias("w"))
+    by_title = rows.groupBy("title_key").agg(F.min(F.struct("rank", "url_key")).alias("w"))
+    left = by_url.select("url_key", "w.title_key", "w.rank", "w.node")
+    return left.join(by_title.select("w.url_key", "title_key"), ["url_key", "title_key"]).select(*rows.columns)
+
+
 def _two_earliest(rows: DataFrame, key: str) -> DataFrame:
     """Per key the node of its earliest row and of the one after it."""
     first = rows.groupBy(key).agg(F.min(F.struct("rank", "node")).alias("one"))
