@@ -14,6 +14,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -62,6 +63,7 @@ class Encoder:
         )
         self.added = [t["content"] for t in settings.get("added_tokens", [])]
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {
             mark: np.array(self.library.encode(mark, add_special_tokens=False).ids, self.dtype).tobytes() for mark in (".", ",")
         }
@@ -69,9 +71,9 @@ class Encoder:
     def _ids(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of pieces not yet known; a full stop or comma after an ASCII letter is a token's start, so it is taken off."""
         stem = {p: p[:-1] if len(p) > 1 and p[-1] in ".," and p[-2].isascii() and p[-2].isalpha() else p for p in pieces}
-        new = sorted(set(stem.values()).difference(self.known))
+        new = list(set(stem.values()).difference(self.known))
         encoded = self.library.encode_batch_fast(new, add_special_tokens=False)
-        ids = {p: np.array(e.ids, self.dtype).tobytes() for p, e in zip(new, encoded)}
+        ids = {p: array(self.code, e.ids).tobytes() for p, e in zip(new, encoded)}
         found = {}
         for piece, part in stem.items():
             found[part] = ids[part] if part in ids else self.known[part]
@@ -87,14 +89,13 @@ class Encoder:
             # Every space and line feed stands alone: cut before the former, around the latter.
             pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in text else self.BOUNDARY.split(text)
         known = self.known
-        unseen = set(pieces).difference(known)
-        if unseen:
-            found = self._ids(unseen)
+        parts = list(map(known.get, pieces))
+        if None in parts:
+            found = self._ids({piece for piece, part in zip(pieces, parts) if part is None})
             if len(known) < REMEMBERED:  # common pieces come early; a full table keeps them
                 known.update(found)
-            else:
-                return b"".join([known[p] if p in known else found[p] for p in pieces])
-        return b"".join([known[p] for p in pieces])
+            parts = [found[piece] if part is None else part for piece, part in zip(pieces, parts)]
+        return b"".join(parts)
 
 
 @lru_cache(maxsize=2)
