@@ -264,6 +264,30 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_union_sketch_of_middling_sets(spark):
+    describe, given, want = neardup._describe(5, 64), [], {}
+    for n in range(65, 151):
+        words = [f"n{n}w{k}" for k in range(n + 4)]
+        a, b = " ".join(words), " ".join(words[n // 20 : n - n // 20 + 4])
+        given.append((n, describe(a)[2].tolist(), describe(b)[2].tolist()))
+        one, other = (set(shingles.shingles(t, 5).tolist()) for t in (a, b))
+        least = set(sorted(one | other)[:64])
+        want[n] = (len(least & one & other), len(least))
+    sketches = spark.createDataFrame(given, "n long, s_a array<long>, s_b array<long>")
+    got = sketches.select("n", *neardup._union_sketch(64)).collect()
+    assert {x[0]: (x[1], x[2]) for x in got} == want
+
+
+def test_links_of_middling_sets(spark):
+    """Similarity 0.85 or a little more; hashes from 2^63 up once pushed shared ones out of the estimate."""
+    texts = []
+    for n, part, seed in ((100, 85, 1178), (109, 93, 882), (118, 101, 468), (128, 109, 345)):
+        words = [f"s{seed}w{k}" for k in range(n + 4)]
+        texts += [" ".join(words), " ".join(words[: part + 4])]
+    got = sorted((x.doc_id, x.component_id) for x in neardup.near_duplicates(frame(spark, texts)).collect())
+    assert got == [(k, k - k % 2) for k in range(8)]
+
+
 def test_a_group_of_strongly_edited_copies(spark, monkeypatch):
     r = random.Random(31)
     vocabulary = [f"v{k}" for k in range(4000)]

@@ -31,6 +31,8 @@ from wirepulse.session import checkpointed
 WORDS, PERCENT, RETAINED = 5, 85, 64
 #: Hashes whose frequency is told to every task: bounds what is broadcast, not what is compared.
 HOT_HASHES = 1 << 16
+#: Flips a hash's top bit, so that sketches stored as signed longs keep the order of the unsigned hashes.
+TOP_BIT = np.uint64(1 << 63)
 #: Standard deviations by which a sketch may fall short of the wanted similarity.
 SLACK = 6.0
 
@@ -58,7 +60,7 @@ def _describe(size: int, retained: int):
         if not len(hashes):
             return 0, None, None
         key = np.array([np.add.reduce(hashes), np.bitwise_xor.reduce(mix(hashes + np.uint64(1)))], np.uint64).tobytes()
-        return len(hashes), key + len(hashes).to_bytes(6, "little"), hashes[:retained].view(np.int64)
+        return len(hashes), key + len(hashes).to_bytes(6, "little"), (hashes[:retained] ^ TOP_BIT).view(np.int64)
 
     return describe
 
@@ -102,15 +104,19 @@ def _postings(reps: DataFrame, percent: int, retained: int) -> DataFrame:
     return reps.select("cid", "sketch").mapInArrow(run, schema)
 
 
+def _union_sketch(retained: int) -> tuple[Column, Column]:
+    """How many hashes of the union's sketch both sets hold, and its size, from the sketches ``s_a`` and ``s_b``."""
+    union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, retained)
+    return F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b"))), F.size(union)
+
+
 def _estimated(pairs: DataFrame, reps: DataFrame, percent: int, retained: int) -> DataFrame:
     """Pairs whose union sketch does not rule the similarity out."""
     left = reps.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     right = reps.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     both = pairs.join(left, "a").join(right, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, retained)
-    shared = F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b")))
+    shared, size = _union_sketch(retained)
     share = percent / 100
-    size = F.least(F.size(F.array_union("s_a", "s_b")), F.lit(retained))
     floor = share * size - SLACK * F.sqrt(share * (1 - share) * size)
     return both.where(shared >= floor).select("a", "b")
 
