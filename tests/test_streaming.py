@@ -115,6 +115,28 @@ def test_late_items_are_kept_aside(spark, landing, sources):
     assert spark.read.parquet(f"{folder}/out/outbox").where("batch = 1").count() == 0
 
 
+def test_sessions_keep_open_ends_and_late_rows(spark):
+    folder = tempfile.mkdtemp(prefix="spark-sessions-")
+    schema = "job string, ts timestamp"
+    # Seconds after START by batch; 300 apart still hold together, the last batch bridges two sessions hours back.
+    batches = [
+        [("a", 0), ("a", 300), ("a", 601), (None, 5)],
+        [("a", 20_000), ("b", 20_100), (None, 250), ("a", None)],
+        [("a", 450), ("a", 20_299)],
+    ]
+    for rows in batches:
+        given = [(k, None if s is None else START + timedelta(seconds=s)) for k, s in rows]
+        spark.createDataFrame(given, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        log = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        jobs.write_sessions(log, "job", "ts", 300_000_000, f"{folder}/out", f"{folder}/state").awaitTermination()
+    got = jobs.latest_sessions(spark, f"{folder}/out", "job", 300_000_000).collect()
+    seconds = lambda t: int((t - START).total_seconds())
+    assert {(x.job, x.n, seconds(x.started_at), seconds(x.ended_at)) for x in got} == {
+        ("a", 4, 0, 601), ("a", 2, 20_000, 20_299), ("b", 1, 20_100, 20_100), (None, 2, 5, 250),
+    }
+    assert len(got) == 4
+
+
 def test_delivery_isolates_channels(spark):
     rows = spark.createDataFrame([("d", START, "public", "x"), ("d", START, "dm", "x")], schemas.OUTBOX)
     got = []

@@ -104,10 +104,38 @@ def sessions(df: DataFrame, keys: Sequence[str], ts: str, tie: str, gap_ms: int)
     """
     sliced = previous(df.select(*keys, ts, tie), keys, ts, tie, {"_prev": ts}, keep_slice=True)
     opens = F.col("_prev").isNull() | (F.unix_millis(ts) - F.unix_millis("_prev") > gap_ms)
+    return _runs(sliced, keys, ts, tie, opens, F.max(ts), F.count("*"))
+
+
+def _stretch(ts: str, gap_us: int) -> Column:
+    micros = F.unix_micros(ts)
+    return (micros - F.pmod(micros, F.lit(gap_us))).alias("_stretch")
+
+
+def session_pieces(df: DataFrame, keys: Sequence[str], ts: str, gap_us: int) -> DataFrame:
+    """Rows of one key in one stretch of ``gap_us``, which are always one session's: ``first``, ``last``, ``n``.
+
+    Rows without a time are in no session.
+    """
+    pieces = df.where(F.col(ts).isNotNull()).groupBy(*keys, _stretch(ts, gap_us))
+    return pieces.agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count("*").alias("n")).drop("_stretch")
+
+
+def merged_sessions(pieces: DataFrame, keys: Sequence[str], gap_us: int) -> DataFrame:
+    """As :func:`sessions`, from the :func:`session_pieces` of any number of batches, in any order."""
+    whole = pieces.groupBy(F.struct(*keys).alias("_key"), _stretch("first", gap_us)).agg(  # a struct, so that null keys meet in joins
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")
+    )
+    sliced = previous(whole, ["_key"], "first", "last", {"_prev": "last"}, keep_slice=True)
+    opens = F.col("_prev").isNull() | (F.unix_micros("first") - F.unix_micros("_prev") > gap_us)
+    return _runs(sliced, ["_key"], "first", "last", opens, F.max("last"), F.sum("n")).select("_key.*", "session", "started_at", "ended_at", "n")
+
+
+def _runs(sliced: DataFrame, keys: Sequence[str], ts: str, tie: str, opens: Column, stop: Column, rows: Column) -> DataFrame:
     inside = Window.partitionBy(*keys, "_slice").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = sliced.withColumn("_run", F.count_if(opens).over(inside))
     parts = local.groupBy(*keys, "_slice", "_run").agg(
-        F.min(ts).alias("_start"), F.max(ts).alias("_stop"), F.count("*").alias("_rows")
+        F.min(ts).alias("_start"), stop.alias("_stop"), rows.alias("_rows")
     )
     # Run 0 of a slice continues whatever was open before it.
     counts = parts.groupBy(*keys, "_slice").agg(F.max("_run").alias("_opened"))

@@ -68,10 +68,23 @@ SELECT job, count(*) AS n, min(ts) AS started_at FROM (
     SELECT *, COALESCE(ts - lag(ts) OVER (PARTITION BY job ORDER BY ts, cycle_id) > INTERVAL 5 MINUTE, TRUE) AS opens FROM cycles))
 GROUP BY job, s HAVING max(ts) + INTERVAL 5 MINUTE + INTERVAL 1 MICROSECOND <= (SELECT max(ts) - INTERVAL 1 HOUR FROM cycles)"""))
 def stream_sessions(spark, d):
+    """Only the sessions that the watermark has closed; ``stream_sessions_all`` has the open ones, too."""
     rows = _events(spark, d).selectExpr("event_type as job", "ts")
     return ntz(_finish(jobs.activity_sessions(rows, "job", "ts")))
 
 
+@query(V.query(V.CYCLES, select="""
+SELECT job, count(*) AS n, min(ts) AS started_at, max(ts) AS ended_at FROM (
+  SELECT *, count_if(opens) OVER (PARTITION BY job ORDER BY ts, cycle_id) AS s FROM (
+    SELECT *, COALESCE(ts - lag(ts) OVER (PARTITION BY job ORDER BY ts, cycle_id) > INTERVAL 5 MINUTE, TRUE) AS opens FROM cycles))
+GROUP BY job, s"""))
+def stream_sessions_all(spark, d):
+    rows = _events(spark, d).selectExpr("event_type as job", "ts")
+    out = f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}"
+    jobs.write_sessions(rows, "job", "ts", 300_000_000, f"{out}/rows", f"{out}/state").awaitTermination()
+    return ntz(jobs.latest_sessions(spark, f"{out}/rows", "job", 300_000_000))
+
+
 @query()
 def batch_alerts(spark, d):
     """Headlines through dedupe, keyword stage, default scorer, gate and cool-down."""

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wirepulse import config
 from wirepulse.functions import times as tm
-from wirepulse.operators import deals as dl, dedupe, prefilter as pf, queue, verdicts as vd
+from wirepulse.operators import deals as dl, dedupe, ordered, prefilter as pf, queue, verdicts as vd
 from wirepulse.plans import flow
 from wirepulse.session import checkpointed
 from wirepulse.sources import feeds
@@ -68,12 +68,32 @@ def latest_totals(spark, out: str, schema: str, key: str) -> DataFrame:
 
 
 def activity_sessions(log: DataFrame, key: str, ts: str, gap: str = "5 minutes", late: str = "1 hour") -> DataFrame:
-    """Runs of activity per key, split only where more than ``gap`` passes, as in ``ordered.sessions``."""
+    """Runs of activity per key, split only where more than ``gap`` passes, as in ``ordered.sessions``.
+
+    Only what the watermark has closed is written; ``write_sessions`` keeps open sessions and late rows, too.
+    """
     return log.withWatermark(ts, late).groupBy(key, F.session_window(ts, f"{gap} 1 microsecond").alias("_w")).agg(F.count("*").alias("n")).select(
         key, "n", F.col("_w.start").alias("started_at")
     )
 
 
+def write_sessions(log: DataFrame, key: str, ts: str, gap_us: int, out: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keep growing sessions: every batch appends the pieces its rows make as its own part.
+
+    There is no watermark, so a row counts however late it comes.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        append_once(ordered.session_pieces(batch, [key], ts, gap_us), out, batch_id)
+
+    return _start(log, run, checkpoint, trigger)
+
+
+def latest_sessions(spark, out: str, key: str, gap_us: int, key_type: str = "string") -> DataFrame:
+    """All sessions of what ``write_sessions`` has written, open ones included."""
+    pieces = appended(spark, out, f"{key} {key_type}, first timestamp, last timestamp, n bigint")
+    return ordered.merged_sessions(pieces, [key], gap_us).select(key, "n", "started_at", "ended_at")
+
+
 def emit_with_cooldown(
     stream: DataFrame, key: str, ts: str, tie: str, window_ms: int, out: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
