@@ -98,3 +98,12 @@ def test_a_veto_word_added_by_a_row(spark):
     got = {r.id: (r["pass"], r.hit) for r in pf.prefilter(items, vocabulary=words).collect()}
     assert got == {1: (False, None), 2: (True, "funding"), 3: (False, None), 4: (False, None)}
     assert {r.id for r in pf.prefilter(items, vocabulary=words, body_chars=None).where("pass").collect()} == {2, 4}
+
+
+def test_whole_documents_are_searched(spark, sf_dir):
+    """The query puts a deal sentence at character 1,600 of a third of the documents."""
+    from wirepulse.plans import catalog
+
+    cut, whole = ({r.item_id: r.hit for r in catalog.QUERIES[name](spark, sf_dir).collect()} for name in ("prefilter_documents", "prefilter_documents_whole"))
+    far = {k for k in whole if whole[k] and not cut[k]}
+    assert far and set(cut) == set(whole) and all(whole[k] for k in cut if cut[k])

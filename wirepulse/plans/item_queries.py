@@ -29,12 +29,22 @@ _DOCUMENT_ITEMS = f"""documents_items AS (SELECT doc_id AS item_id, 'Document '
   substr(text, 1, {_SPOT}) || {V.pick(_SENTENCES, 'doc_id % 5')} || substr(text, 1 + {_SPOT}) AS summary FROM documents)"""
 
 
+def _document_items(spark, d):
+    docs = I.table(spark, d, "documents").selectExpr("doc_id", "text", _SPOT + " as spot", I.pick(_SENTENCES, "doc_id % 5") + " as said")
+    return docs.selectExpr("doc_id as item_id", "concat('Document ', doc_id) as title", "concat(substr(text, 1, spot), said, substr(text, 1 + spot)) as summary")
+
+
 @query(f"""WITH {_DOCUMENT_ITEMS}, hay AS (SELECT *, chr(10) || title || chr(10) || substr(summary, 1, 1500) AS haystack FROM documents_items)
 SELECT item_id, split_part({V.family_case('haystack')}, '#', 1) AS hit FROM hay""")
 def prefilter_documents(spark, d):
-    docs = I.table(spark, d, "documents").selectExpr("doc_id", "text", _SPOT + " as spot", I.pick(_SENTENCES, "doc_id % 5") + " as said")
-    items = docs.selectExpr("doc_id as item_id", "concat('Document ', doc_id) as title", "concat(substr(text, 1, spot), said, substr(text, 1 + spot)) as summary")
-    return pf.keyword_match(items, pf.enabled_families()).select("item_id", "hit")
+    """The reference's limit: only the first 1,500 characters are searched. ``prefilter_documents_whole`` reads whole texts."""
+    return pf.keyword_match(_document_items(spark, d), pf.enabled_families()).select("item_id", "hit")
+
+
+@query(f"""WITH {_DOCUMENT_ITEMS}, hay AS (SELECT *, chr(10) || title || chr(10) || summary AS haystack FROM documents_items)
+SELECT item_id, split_part({V.family_case('haystack')}, '#', 1) AS hit FROM hay""")
+def prefilter_documents_whole(spark, d):
+    return pf.keyword_match(_document_items(spark, d), pf.enabled_families(), body_chars=None).select("item_id", "hit")
 
 
 @query(V.query(V.HEADLINES, V.OUTCOME, select="SELECT item_id, reason FROM outcome WHERE reason LIKE 'vetoed by%'"))
