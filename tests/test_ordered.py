@@ -122,3 +122,14 @@ def test_cooldown_is_not_a_lag(spark):
     frame = spark.createDataFrame(rows, "k string, ts timestamp, id int")
     got = dl.cooldown(frame, "k", "ts", "id", F.lit(10_000)).where("emitted")
     assert sorted(r.id for r in got.collect()) == [0, 10, 20]
+
+
+def test_row_numbers_of_a_hot_key_span_slices(spark):
+    """One key with all but a few rows, and rows without a key."""
+    given = [("hot" if k % 50 else None, k * 7919 % 1000) for k in range(1000)]
+    rows = spark.createDataFrame(given, "k string, t long")
+    placed = ordered.sliced_by(rows, "k", "t")
+    assert placed.where("k = 'hot'").select("_slice").distinct().count() > 1
+    got = ordered.numbered_within(rows, F.col("k"), "t").collect()
+    want = {(k, t): n for key in ("hot", None) for n, (k, t) in enumerate(sorted((g for g in given if g[0] == key), key=lambda g: g[1]), 1)}
+    assert {(x.k, x.t): x.rn for x in got} == want and len(got) == 1000

@@ -163,6 +163,21 @@ def numbered(df: DataFrame, *order: str | Column, name: str = "rn") -> DataFrame
     )
 
 
+def numbered_within(df: DataFrame, key: Column, *order: str | Column, name: str = "rn") -> DataFrame:
+    """Add the row number within ``key``: rank inside (key, slice) plus the key's rows in the slices before it."""
+    placed = sliced_by(df.withColumn("_key", F.struct(key.alias("k"))), "_key", *order)  # a struct, so that null keys meet in the join
+    sizes = placed.groupBy("_key", "_slice").count()
+    before = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_key", "_slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    local = F.row_number().over(Window.partitionBy("_key", "_slice").orderBy(*order))
+    return (
+        placed.withColumn("_local", local)
+        .join(offsets, ["_key", "_slice"])
+        .withColumn(name, (F.col("_base") + F.col("_local")).cast("bigint"))
+        .drop("_key", "_slice", "_local", "_base")
+    )
+
+
 def nearest_rank(df: DataFrame, value: str, percents: Sequence[int]) -> DataFrame:
     """Nearest-rank percentiles of a non-negative BIGINT column, as one row.
 

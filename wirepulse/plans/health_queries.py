@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from wirepulse.functions import times as tm
 from wirepulse.operators import deals as dl, gate, health, ordered, reports
@@ -239,8 +239,8 @@ sent AS (SELECT min(ts) AS ts FROM due
 SELECT id FROM due JOIN sent USING (ts)""").replace("WITH ", "WITH RECURSIVE ", 1).replace("\n\n, due", ", due"))
 def usage_warning(spark, d):
     """Cycles of a day so far, half of them over the limit: at most one warning in 24 hours."""
-    today = Window.partitionBy(F.to_date("ts")).orderBy("ts", "cycle_id")
-    usage = I.cycles(spark, d).select("ts", F.col("cycle_id").alias("id"), F.row_number().over(today).alias("cycles"), (F.col("cycle_id") % 2 == 0).alias("warn"))
+    counted = ordered.numbered_within(I.cycles(spark, d).select("ts", "cycle_id"), F.to_date("ts"), "ts", "cycle_id", name="cycles")
+    usage = counted.select("ts", F.col("cycle_id").alias("id"), "cycles", (F.col("cycle_id") % 2 == 0).alias("warn"))
     return reports.usage_warnings(usage).select("id")
 
 
