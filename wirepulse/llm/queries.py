@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wirepulse.llm import licenses, mixing, neardup, quality, secrets, tiling, tokens, toxicity, urls, warc
+from wirepulse.llm import (
+    centroids, licenses, mixing, neardup, periodic, quality, secrets, tiling, token_counts, tokens, toxicity, urls, warc,
+)
 from wirepulse.llm.rows import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +86,25 @@ ORACLES["op4_warc"] = warc.ORACLE
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written to binary files and read back."""
     return tokens.token_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every whole text of ``documents``, a tenth of which get a planted period."""
+    found = periodic.periodic_runs(table(spark, sf_dir, "documents"), rewrite=periodic.planted_period)
+    return periodic.run_digest(found)
+
+
+@query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centroid clusters of all vectors of ``embeddings``."""
+    return centroids.cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_centroids"] = centroids.oracle()
+
+
+@query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every whole text of ``documents``."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
