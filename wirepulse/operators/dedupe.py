@@ -53,6 +53,12 @@ def touching(seen: DataFrame, items: DataFrame) -> DataFrame:
     return known("url_key").unionByName(known("title_key"))
 
 
+def both_keys(items: DataFrame, *more: Column) -> DataFrame:
+    """A row (kind, key, and ``more``) for the URL key and one for the title key of every item; null keys are none."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_key").alias("key")) for k in ("url", "title")])
+    return items.select(F.inline(pairs), *more).where("key is not null")
+
+
 def insert_if_absent(target: DataFrame, updates: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """``target`` plus the first update of every key it does not have yet."""
     fresh = first_per_key(updates, [key], order).join(target.select(key), key, "left_anti")

@@ -10,7 +10,7 @@ from wirepulse.operators import dedupe, gate
 from wirepulse.plans import flow, inputs as I, oracle_views as V
 from wirepulse.plans.health_queries import _WARN
 from wirepulse.plans.inputs import ntz
-from wirepulse.plans.registered import query
+from wirepulse.plans.registered import ORACLES, query
 from wirepulse.session import scratch_folder, use_utc
 from wirepulse.streaming import jobs
 
@@ -25,6 +25,10 @@ def _events(spark, d):
     return _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _events_table(spark, d):
+    return I.event_log(spark, d).select("event_id", "ts", "event_type")
+
+
 def _finish(frame: DataFrame, mode: str = "append") -> DataFrame:
     """Run to the end of the input and read back what was written."""
     spark = frame.sparkSession
@@ -53,13 +57,67 @@ def stream_daily(spark, d):
     return jobs.latest_totals(spark, f"{out}/rows", "day string, cycles bigint, wall_ms bigint", "day")
 
 
+class Arrivals:
+    """A table that arrives in ``slices`` files, one after the other; ``land`` adds some of them to the stream's folder."""
+
+    def __init__(self, rows: DataFrame, slice_of, slices: int = 12):
+        self.spark, self.folder = rows.sparkSession, f"{scratch_folder(rows.sparkSession)}/arrivals-{uuid.uuid4().hex}"
+        self.schema = rows.schema
+        rows.withColumn("_slice", slice_of).write.partitionBy("_slice").parquet(f"{self.folder}/all")
+        self.slices, self.landed = slices, 0
+
+    def land(self, count: int) -> DataFrame:
+        """The stream over the folder after ``count`` more files, each a micro-batch of its own."""
+        for k in range(self.landed, self.landed + count):
+            rows = self.spark.read.schema(self.schema).parquet(f"{self.folder}/all/_slice={k}")
+            rows.coalesce(1).write.mode("append").parquet(f"{self.folder}/in")
+        self.landed += count
+        return self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 1).parquet(f"{self.folder}/in")
+
+
+#: Files by time, twelve in a month; every tenth event comes one to three files later.
+_SLICE = "least(floor((dayofmonth(ts) - 1) * 12 / 31) + case when event_id % 10 = 0 then {late} else 0 end, 11)"
+
+
 @query(V.query(V.CYCLES, _WARN, select="""
 SELECT k AS job, min(id) AS cycle_id FROM spans JOIN chain USING (k, t) GROUP BY k, t""").replace("WITH ", "WITH RECURSIVE ", 1))
 def stream_cooldown(spark, d):
-    rows = _events(spark, d).selectExpr("event_type as job", "ts", "event_id as cycle_id")
+    """Twelve files, every tenth row one file late but within the delay, and a restart: equal to the batch rule."""
+    files = Arrivals(_events_table(spark, d), F.expr(_SLICE.format(late="1")))
+    out = f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}"
+    for _ in range(2):
+        rows = files.land(6)
+        jobs.emit_with_cooldown(rows, "event_type", "ts", "event_id", 3_600_000, f"{out}/rows", f"{out}/state", "7 days").awaitTermination()
+    emitted = jobs.all_emissions(spark, f"{out}/rows", f"{out}/state", 3_600_000)
+    return emitted.select(F.col("key").alias("job"), F.col("tie").alias("cycle_id"))
+
+
+@query("""WITH given AS (
+  SELECT event_id, ts, least((date_part('day', ts) - 1) * 12 // 31 + CASE WHEN event_id % 10 = 0 THEN 1 + event_id // 10 % 3 ELSE 0 END, 11) AS s FROM events),
+marks AS (SELECT s, max(max(epoch_us(ts) // 1000)) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 4 * 86400000 AS mark FROM given GROUP BY s)
+SELECT event_id, ts, COALESCE(epoch_us(ts) // 1000 <= mark, FALSE) AS late FROM given JOIN marks USING (s)""")
+def stream_late(spark, d):
+    """Twelve files out of order, four days of patience and a restart: every row once, on time or late."""
+    files = Arrivals(_events_table(spark, d), F.expr(_SLICE.format(late="1 + floor(event_id / 10) % 3")))
+    out = f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}"
+    for _ in range(2):
+        jobs.write_timely(files.land(6), "ts", 4 * 86_400_000, out, f"{out}/state").awaitTermination()
+    both = [spark.read.schema("event_id bigint, ts timestamp").parquet(f"{out}/{k}").select("event_id", "ts", F.lit(k == "late").alias("late")) for k in ("timely", "late")]
+    return ntz(both[0].unionByName(both[1]))
+
+
+@query(ORACLES["dedupe_two_key"])
+def stream_two_key(spark, d):
+    """Headlines in ten files by fetch time, and a restart: equal to the batch rule over all of them."""
+    items = I.headlines(spark, d).select("item_id", "source_id", "title", "link", "fetched_at")
+    span = items.agg(F.min("fetched_at").alias("lo"), F.max("fetched_at").alias("hi")).first()
+    width = (span.hi - span.lo).total_seconds() / 10 + 1
+    files = Arrivals(items, F.floor((F.unix_seconds("fetched_at") - F.unix_seconds(F.lit(span.lo))) / width), 10)
     out = f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}"
-    jobs.emit_with_cooldown(rows, "job", "ts", "cycle_id", 3_600_000, f"{out}/rows", f"{out}/state").awaitTermination()
-    return spark.read.parquet(f"{out}/rows").select("job", "cycle_id")
+    for _ in range(2):
+        keyed = dedupe.with_keys(files.land(5))
+        jobs.dedupe_two_key_stream(keyed, I.ORDER, "fetched_at", out, f"{out}/state", buckets=4, merge_after=3).awaitTermination()
+    return spark.read.schema("item_id bigint").parquet(f"{out}/kept").select("item_id")
 
 
 @query(V.query(V.CYCLES, select="""

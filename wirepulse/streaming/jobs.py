@@ -9,6 +9,7 @@ its own, so repeating it after a failure gives the same result.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,6 +21,8 @@ from wirepulse.plans import flow
 from wirepulse.session import checkpointed
 from wirepulse.sources import feeds
 from wirepulse.sources.sinks import append_once, appended
+from wirepulse.streaming.cooling import all_emissions, emit_with_cooldown  # noqa: F401
+from wirepulse.streaming.seen import SeenStore
 
 ACCEPTED = (
     "source_id string, check_id bigint, position int, title string, link string, summary string, "
@@ -36,7 +39,8 @@ def once_per_key(stream: DataFrame, keys: Sequence[str], ts: str, memory: str, s
 
     Two chained steps, both in the JVM: the first remembers key and salt, so that a
     hot key's copies meet in as many tasks as there are salts, and the second sees at
-    most one row per key and salt.
+    most one row per key and salt. Rows behind the watermark are dropped by Spark;
+    ``write_timely`` with ``add_firsts`` keeps them aside.
     """
     names = list(keys)
     salted = stream.withColumn("_salt", F.pmod(F.xxhash64(F.struct(*stream.columns)), F.lit(salts))).withWatermark(ts, memory)
@@ -44,7 +48,10 @@ def once_per_key(stream: DataFrame, keys: Sequence[str], ts: str, memory: str, s
 
 
 def daily_totals(log: DataFrame, ts: str, counters: Sequence[str], late: str = "6 hours") -> DataFrame:
-    """Counters per UTC day: in append mode once the day is closed, in update mode as they grow."""
+    """Counters per UTC day: in append mode once the day is closed, in update mode as they grow.
+
+    Rows of days behind the watermark are dropped by Spark; ``write_timely`` with ``add_totals`` keeps them aside.
+    """
     totals = [F.sum(F.coalesce(c, F.lit(0))).cast("bigint").alias(c) for c in counters]
     return log.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("_w")).agg(*totals).select(
         tm.day_key(F.col("_w.start")).alias("day"), *counters
@@ -94,26 +101,103 @@ def latest_sessions(spark, out: str, key: str, gap_us: int, key_type: str = "str
     return ordered.merged_sessions(pieces, [key], gap_us).select(key, "n", "started_at", "ended_at")
 
 
-def emit_with_cooldown(
-    stream: DataFrame, key: str, ts: str, tie: str, window_ms: int, out: str, checkpoint: str, **trigger
+def dedupe_two_key_stream(
+    stream: DataFrame, order: Sequence[str], ts: str, out: str, checkpoint: str, *, memory_days: int | None = None,
+    buckets: int = 64, merge_after: int = 8, **trigger,
 ) -> StreamingQuery:
-    """Rate limit: write the rows of each key that are a window after the last one
-    written. ``out`` receives ``batch=N`` parts of (key, ts, tie)."""
-    schema = f"{key} string, {ts} timestamp, {tie} bigint"
+    """First-wins on ``url_key`` and ``title_key`` over a stream; ``out/kept`` receives the kept rows.
+
+    Equal to ``dedupe.dedupe_two_key`` over all rows where batches come in the sequence of ``order``. Of the keys
+    kept before, a batch reads those parts that may hold one of its own; with ``memory_days`` keys that
+    much older than the batch's newest row are forgotten.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        items = checkpointed(batch)
+        store = SeenStore(spark, f"{out}/seen", buckets, merge_after)
+        after = None
+        if memory_days is not None:
+            newest = items.agg(F.max(ts)).first()[0]
+            after = None if newest is None else newest - timedelta(days=memory_days)
+        known = checkpointed(store.known(dedupe.both_keys(items), batch_id, after))
+        seen = known.select(
+            F.when(F.col("kind") == "url", F.col("key")).alias("url_key"), F.when(F.col("kind") == "title", F.col("key")).alias("title_key")
+        )
+        append_once(dedupe.dedupe_two_key(items, order, seen=seen), f"{out}/kept", batch_id)
+        kept = spark.read.schema(items.schema).parquet(f"{out}/kept/batch={batch_id}")
+        store.add(dedupe.both_keys(kept, F.col(ts).alias("at")), batch_id, after)
+
+    return _start(stream, run, checkpoint, trigger)
+
+
+# ---------------------------------------------------------------- late rows
+
+#: Takes a batch's rows that are on time, the number of the batch and the output folder.
+Job = Callable[[DataFrame, int, str], None]
+
+
+def write_timely(stream: DataFrame, ts: str, delay_ms: int, out: str, checkpoint: str, *work: Job, **trigger) -> StreamingQuery:
+    """Part rows behind the watermark from the others: ``out/late`` and ``out/timely``, row for row the input.
 
+    The watermark of a batch is the newest time of all batches before it less ``delay_ms``, to the millisecond; it is
+    written with the batch and read by the next one alone. A row is late if its time is not after it; rows without a time
+    are on time. ``work`` (``add_totals``, ``add_sessions``, ``add_firsts``) sees what is on time. All
+    of a batch's folders carry its number, so a repeated batch splits the same way and overwrites what it wrote.
+    """
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows = checkpointed(batch.select(key, ts, tie))
-        past = appended(batch.sparkSession, out, schema, before=batch_id)
-        last = past.groupBy(key).agg(F.max(ts).alias("_last"))
-        due = rows.join(last, key, "left").where(
-            F.col("_last").isNull() | (F.unix_millis(ts) - F.unix_millis("_last") >= window_ms)
-        ).select(key, ts, tie)
-        emitted = dl.cooldown(due, key, ts, tie, F.lit(window_ms)).where("emitted").select(key, ts, tie)
-        append_once(emitted, out, batch_id)
+        spark = batch.sparkSession
+        rows = checkpointed(batch)
+        marks = f"{out}/marks/batch={batch_id - 1}"
+        newest = spark.read.schema("newest long").parquet(marks).first()[0] if batch_id else None
+        moment = F.unix_millis(ts)
+        behind = F.lit(False) if newest is None else F.coalesce(moment <= newest - delay_ms, F.lit(False))
+        append_once(rows.where(behind), f"{out}/late", batch_id)
+        append_once(rows.where(~behind), f"{out}/timely", batch_id)
+        timely = spark.read.schema(rows.schema).parquet(f"{out}/timely/batch={batch_id}")
+        for job in work:
+            job(timely, batch_id, out)
+        now = rows.agg(F.greatest(F.max(moment), F.lit(newest).cast("long")).alias("newest"))
+        append_once(now, f"{out}/marks", batch_id)
 
     return _start(stream, run, checkpoint, trigger)
 
 
+def add_totals(ts: str, counters: Sequence[str]) -> Job:
+    """Counters per UTC day of each batch's timely rows, in ``out/totals``; ``timely_totals`` adds them up."""
+    def job(rows: DataFrame, batch_id: int, out: str) -> None:
+        totals = [F.sum(F.coalesce(c, F.lit(0))).cast("bigint").alias(c) for c in counters]
+        append_once(rows.groupBy(tm.day_key(F.col(ts)).alias("day")).agg(*totals), f"{out}/totals", batch_id)
+
+    return job
+
+
+def timely_totals(spark, out: str, counters: Sequence[str]) -> DataFrame:
+    rows = appended(spark, f"{out}/totals", "day string, " + ", ".join(f"{c} bigint" for c in counters))
+    return rows.groupBy("day").agg(*[F.sum(c).cast("bigint").alias(c) for c in counters])
+
+
+def add_sessions(key: str, ts: str, gap_us: int) -> Job:
+    """Pieces of sessions of the timely rows, in ``out/sessions``; ``latest_sessions`` merges them."""
+    def job(rows: DataFrame, batch_id: int, out: str) -> None:
+        append_once(ordered.session_pieces(rows, [key], ts, gap_us), f"{out}/sessions", batch_id)
+
+    return job
+
+
+def add_firsts(keys: Sequence[str], order: Sequence[str], ts: str, buckets: int = 64) -> Job:
+    """The first timely row of every key (in the sequence of batches, within a batch of ``order``), in ``out/firsts``."""
+    def job(rows: DataFrame, batch_id: int, out: str) -> None:
+        store = SeenStore(rows.sparkSession, f"{out}/seen", buckets)
+        named = rows.withColumns({"kind": F.lit("key"), "key": F.to_json(F.struct(*keys))})
+        known = store.known(named.select("kind", "key"), batch_id)
+        fresh = dedupe.first_per_key(named, ["key"], order).join(known, ["kind", "key"], "left_anti")
+        append_once(fresh.select(*rows.columns), f"{out}/firsts", batch_id)
+        written = rows.sparkSession.read.schema(rows.schema).parquet(f"{out}/firsts/batch={batch_id}")
+        store.add(written.select(F.lit("key").alias("kind"), F.to_json(F.struct(*keys)).alias("key"), F.col(ts).alias("at")), batch_id)
+
+    return job
+
+
 def _start(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
