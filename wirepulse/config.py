@@ -241,6 +241,8 @@ STALE_SECONDS = 900
 MIN_ERRORS_TO_WARN = 3
 MAX_AGE_HOURS = 6
 REJECTED_TTL_DAYS = 30
+#: From this share of the primary model's daily limit on, only even cycles call it.
+THROTTLE_AT = 0.8
 BACKOFF_BASE_MS = 60_000
 BACKOFF_MAX_MS = 600_000
 CYCLES_PER_MONTH = 43_200

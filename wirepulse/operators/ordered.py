@@ -222,3 +222,47 @@ def side_by_side(*rows: DataFrame) -> DataFrame:
     """Several one-row tables as one row: stacked, then folded. No join."""
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
     return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
+def running(df: DataFrame, key: Column, order: Sequence[str | Column], sums: dict[str, Column]) -> DataFrame:
+    """Add running totals within ``key``, the row's own value included, and its row number there as ``rn``.
+
+    Checkpointed, as :func:`sliced_by` is, so that filters on the result read it again without another shuffle.
+    """
+    named = df.withColumn("_key", F.struct(key.alias("k"))).withColumns({f"_v_{n}": c.cast("bigint") for n, c in {**sums, "rn": F.lit(1)}.items()})
+    placed = sliced_by(named, "_key", *order)
+    names = [*sums, "rn"]
+    inside = Window.partitionBy("_key", "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_key", "_slice").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
+    carried = totals.select("_key", "_slice", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in names])
+    local = placed.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(inside) for n in names})
+    joined = local.join(carried, ["_key", "_slice"])
+    return checkpointed(joined.select(*df.columns, *[(F.col(f"_l_{n}") + F.col(f"_b_{n}")).alias(n) for n in names]))
+
+
+def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, tie: str, columns: Sequence[str]) -> DataFrame:
+    """Add to each row of ``left`` the ``columns`` of the last row of ``right`` with its keys and a time up to its own.
+
+    Both tables are range-cut together by (keys, time), right rows before left ones of the same time; inside a slice a left row takes the
+    last right row before it, and what a slice ends with is carried on, one row per key and slice. So a hot key of
+    either side spans many slices, and no pairs are made. Among right rows of one key and time that with the greatest
+    ``tie`` (a column of ``right``) counts. Null keys match each other; rows without a time match nothing.
+    """
+    names = [f"_r_{c}" for c in columns]
+    key = F.struct(*keys).alias("_key")
+    known = right.where(F.col(ts).isNotNull()).select(
+        key, F.col(ts).alias("_at"), F.lit(0).alias("_side"), F.col(tie).cast("string").alias("_order"), F.col(tie).alias("_tie"),
+        F.struct(*[F.col(c).alias(n) for c, n in zip(columns, names)]).alias("_right"),
+    )
+    asked = left.select(key, F.col(ts).alias("_at"), F.lit(1).alias("_side"), F.xxhash64(F.struct(*left.columns)).cast("string").alias("_order"), F.struct(*left.columns).alias("_left"))
+    order = ("_at", "_side", "_tie", "_order")
+    sliced = sliced_by(known.unionByName(asked, allowMissingColumns=True), "_key", *order)
+    inside = Window.partitionBy("_key", "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = sliced.withColumn("_here", F.last("_right", ignorenulls=True).over(inside))
+    ends = sliced.groupBy("_key", "_slice").agg(F.max_by("_right", F.when(F.col("_side") == 0, F.struct("_at", "_tie"))).alias("_end"))
+    across = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_key", "_slice", F.last("_end", ignorenulls=True).over(across).alias("_carry"))
+    found = rows.where("_side = 1").join(carried, ["_key", "_slice"]).withColumn("_match", F.coalesce("_here", "_carry"))
+    found = found.withColumn("_match", F.when(F.col("_at").isNotNull(), F.col("_match")))
+    return found.select("_left.*", *[F.col("_match")[n].alias(c) for c, n in zip(columns, names)])

@@ -6,11 +6,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wirepulse import config
 from wirepulse.functions import text as tx, times as tm
-from wirepulse.operators.ordered import numbered
+from wirepulse.operators.ordered import numbered, previous, running
 
 PENDING, CLASSIFIED, ALERTED, REJECTED = "pending", "classified", "alerted", "rejected"
 
 
+#: Which status may follow which; a candidate begins as pending.
+TRANSITIONS = (
+    (None, PENDING), (PENDING, PENDING), (PENDING, CLASSIFIED), (PENDING, REJECTED), (CLASSIFIED, ALERTED), (CLASSIFIED, REJECTED),
+    (CLASSIFIED, PENDING), (ALERTED, PENDING), (REJECTED, PENDING),
+)
+
+
 def _set(df: DataFrame, where: Column, **changes: Column) -> DataFrame:
     """Rows with some columns replaced where a condition holds."""
     where = F.coalesce(where, F.lit(False))
@@ -166,3 +173,22 @@ def render_requests(packed: DataFrame, body_chars: int | None = config.BODY_CHAR
             ).alias("request"),
         )
     )
+
+
+def transition_violations(log: DataFrame, transitions=TRANSITIONS) -> DataFrame:
+    """What a log of candidate states (id, ts, seq, status, attempts) shows that no sequence of allowed steps can: (id, seq, kind).
+
+    "illegal": the step is not in ``transitions``. "lost attempt": attempts go down other than by one when an
+    attempt is refunded, or to none when exhausted attempts are reset, both on the way to pending. "double alert": an
+    earlier row of the candidate is alerted, too. A row may violate several rules; a null status is an illegal one. Steps and earlier alerts come from
+    range-cut slices, so the log of one candidate may be of any length.
+    """
+    chain = previous(log, ["id"], "ts", "seq", {"_status": "status", "_attempts": "attempts"})
+    chain = running(chain, F.col("id"), ["ts", "seq"], {"_alerts": (F.col("status") == ALERTED).cast("int")})
+    step = F.concat_ws(">", F.coalesce("_status", F.lit("")), F.coalesce("status", F.lit("")))
+    allowed = step.isin([f"{a or ''}>{b}" for a, b in transitions])
+    refunded = (F.col("attempts") == F.col("_attempts") - 1) | ((F.col("attempts") == 0) & (F.col("_attempts") >= config.MAX_ATTEMPTS))
+    lost = (F.col("attempts") < F.col("_attempts")) & ~(F.col("status").eqNullSafe(PENDING) & refunded)
+    double = (F.col("status") == ALERTED) & (F.col("_alerts") > 1)
+    kinds = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for c, k in ((~allowed, "illegal"), (lost, "lost attempt"), (double, "double alert"))])
+    return chain.select("id", "seq", F.explode(F.array_compact(kinds)).alias("kind"))

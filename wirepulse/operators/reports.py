@@ -6,6 +6,8 @@ over tables of a fixed number of rows.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -13,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wirepulse import config
 from wirepulse.functions import text as tx, times as tm
 from wirepulse.operators.deals import cooldown
-from wirepulse.operators.ordered import nearest_rank
+from wirepulse.operators.ordered import nearest_rank, running
+from wirepulse.session import checkpointed
 
 COUNTERS = ("requests", "cycles", "wall_ms", "cpu_ms", "items_seen", "candidates", "alerts")
 
@@ -130,6 +133,44 @@ def model_choice(calls: DataFrame, primary: str, primary_limit: int, fallback: s
     return totals.withColumn("model", F.when(F.col("primary_used") < primary_limit, F.lit(primary)).otherwise(second))
 
 
+def quota_allocation(
+    calls: DataFrame, primary_limit: int, fallback_limit: int | None, throttle_at: float = config.THROTTLE_AT, parity: str = "parity",
+) -> DataFrame:
+    """The model each call gets at its moment: ``grant`` is "primary", "fallback" or null, ``reason`` says why null.
+
+    Calls (day, ts, call_id, counts, and the ``parity`` of their cycle) of a day are served in the sequence of (ts, call_id). A granted call uses quota
+    if it ``counts``. The primary serves until its limit, from ``throttle_at`` of it on only in even cycles; then the fallback, if there
+    is one; then nobody.
+
+    A day is four stretches, and each ends where a running count of the day reaches a number: of all counting
+    calls, or of those in even cycles while throttled. So the allocation takes running totals, which are carried across
+    slices of a hot day, and one row per day and border; no call waits for the one before it.
+    """
+    even = F.coalesce(F.pmod(F.col(parity), F.lit(2)) == 0, F.lit(True))
+    uses = F.coalesce(F.col("counts"), F.lit(False))
+    rows = running(calls, F.col("day"), ["ts", "call_id"], {"_all": uses.cast("int"), "_even": (uses & even).cast("int")})
+    throttled_from = min(primary_limit, math.ceil(primary_limit * throttle_at))
+    start = rows.groupBy("day").agg(*[F.lit(0).cast("bigint").alias(c) for c in ("_r", "_a", "_e")])
+
+    def border(after: DataFrame, count: str, base: str, number: int, filtered: Column) -> DataFrame:
+        """Per day the row at which ``count`` has grown by ``number`` since the border before; none if it never does."""
+        if number == 0:
+            return after
+        reached = rows.join(after, "day").where((F.col("rn") > F.col("_r")) & filtered & (F.col(count) == F.col(base) + number))
+        return reached.select("day", F.col("rn").alias("_r"), F.col("_all").alias("_a"), F.col("_even").alias("_e"))
+
+    first = border(start, "_all", "_a", throttled_from, uses)
+    second = border(first, "_even", "_e", primary_limit - throttled_from, uses & even)
+    third = border(second, "_all", "_a", fallback_limit or 0, uses)
+    ends = {"_1": first, "_2": second, "_3": third}
+    for name, rest in ends.items():
+        rows = rows.join(rest.select("day", F.col("_r").alias(name)), "day", "left")
+    upto = lambda c: F.col(c).isNull() | (F.col("rn") <= F.col(c))
+    served = F.when(upto("_1"), "primary").when(upto("_2"), F.when(even, "primary")).when(upto("_3"), "fallback")
+    why = F.when(upto("_1"), None).when(upto("_2"), F.when(~even, "throttled")).when(~upto("_3"), "exhausted")
+    return rows.select(*calls.columns, served.alias("grant"), why.alias("reason"))
+
+
 def project_usage(daily: DataFrame) -> DataFrame:
     """A month's cost at one cycle a minute, from each day's average cycle."""
     cycles = F.greatest("cycles", F.lit(1))
@@ -286,3 +327,52 @@ def daily_digest(
         ),
     ]
     return reduce(DataFrame.unionByName, sections)
+
+
+# ---------------------------------------------------------------- trailing percentiles
+
+
+def day_histogram(rows: DataFrame, ts: str, value: str) -> DataFrame:
+    """``(day, value, n)``: how often each value occurs on each UTC day. Histograms of any batches add up."""
+    known = rows.where(F.col(value).isNotNull() & (F.col(value) >= 0) & F.col(ts).isNotNull())
+    return known.groupBy(F.to_date(ts).alias("day"), F.col(value).cast("bigint").alias("value")).agg(F.count("*").alias("n"))
+
+
+def trailing_percentiles(histogram: DataFrame, windows: Sequence[int] = (1, 7, 30), percents: Sequence[int] = (50, 90, 99)) -> DataFrame:
+    """Nearest-rank percentiles of the last ``w`` days for every day with data: (day, days, n, p50, ...).
+
+    From day histograms alone (``day_histogram``, parts of one day may come several times), no row is read again. A value at a rank is
+    located 21 bits at a time, as in ``ordered.nearest_rank``, here for all days and windows at once: a day's counts go to the windows
+    that hold it, and each round orders at most 2^21 counts per day, window and percentile.
+    """
+    whole = checkpointed(histogram.groupBy("day", "value").agg(F.sum("n").alias("n")))
+    days = whole.select("day").distinct()
+    spans = F.explode(F.array(*[F.struct(F.lit(w).alias("days"), F.lit(i).alias("ahead")) for w in windows for i in range(w)]))
+
+    def spread(blocks: DataFrame) -> DataFrame:
+        """Counts of days as counts of the windows that end on a day with data."""
+        moved = blocks.select("*", spans.alias("_s")).withColumn("end", F.date_add("day", F.col("_s.ahead"))).withColumn("days", F.col("_s.days"))
+        return moved.drop("_s").join(days.withColumnRenamed("day", "end"), "end", "left_semi")
+
+    rank = F.greatest(F.ceil(F.col("p") * F.col("whole") / 100.0), F.lit(1)).cast("bigint")
+    top = spread(whole.groupBy("day", F.shiftright("value", 42).alias("block")).agg(F.sum("n").alias("n")))
+    blocks = top.groupBy("end", "days", "block").agg(F.sum("n").alias("n"))
+    totals = checkpointed(blocks.groupBy("end", "days").agg(F.sum("n").alias("whole")))
+    ranks = totals.withColumn("p", F.explode(F.array(*map(F.lit, percents)))).select("end", "days", "p", rank.alias("rank"))
+    wanted = _blocks_at(blocks.join(ranks, ["end", "days"]))
+    for low in (21, 0):
+        finer = whole.groupBy("day", F.shiftright("value", low).alias("block")).agg(F.sum("n").alias("n")).withColumn("prefix", F.shiftright("block", 21))
+        here = spread(finer.join(wanted.select("prefix").distinct(), "prefix", "left_semi"))
+        met = here.join(wanted, ["end", "days", "prefix"]).groupBy("end", "days", "p", "rank", "block").agg(F.sum("n").alias("n"))
+        wanted = _blocks_at(met)
+    found = wanted.groupBy("end", "days").agg(*[F.max(F.when(F.col("p") == p, F.col("prefix"))).alias(f"p{p}") for p in percents])
+    return found.join(totals, ["end", "days"]).select(F.col("end").alias("day"), "days", F.col("whole").alias("n"), *[f"p{p}" for p in percents])
+
+
+def _blocks_at(blocks: DataFrame) -> DataFrame:
+    """Per window and percentile the block its rank falls in, and the rank inside it; cut off from what led there."""
+    upto = Window.partitionBy("end", "days", "p").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = blocks.withColumn("_upto", F.sum("n").over(upto))
+    before = F.col("_upto") - F.col("n")
+    hit = (F.col("_upto") >= F.col("rank")) & (before < F.col("rank"))
+    return checkpointed(ranked.where(hit).select("end", "days", "p", (F.col("rank") - before).alias("rank"), F.col("block").alias("prefix")))

@@ -120,6 +120,17 @@ def stream_two_key(spark, d):
     return spark.read.schema("item_id bigint").parquet(f"{out}/kept").select("item_id")
 
 
+@query(ORACLES["unchanged_skip"])
+def stream_unchanged(spark, d):
+    """The fetch log in ten files by time, and a restart: equal to the batch rule."""
+    docs = I.fetch_log(spark, d).drop("body_hash")
+    files = Arrivals(docs, F.expr("least(floor((dayofmonth(ts) - 1) / 3), 9)"))
+    out = f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}"
+    for _ in range(2):
+        jobs.unchanged_skip_stream(files.land(5), out, f"{out}/state", buckets=4).awaitTermination()
+    return spark.read.parquet(f"{out}/changed").select("check_id", "source_id", "body_hash")
+
+
 @query(V.query(V.CYCLES, select="""
 SELECT job, count(*) AS n, min(ts) AS started_at FROM (
   SELECT *, count_if(opens) OVER (PARTITION BY job ORDER BY ts, cycle_id) AS s FROM (

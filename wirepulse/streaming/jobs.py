@@ -19,7 +19,7 @@ from wirepulse.functions import times as tm
 from wirepulse.operators import deals as dl, dedupe, ordered, prefilter as pf, queue, verdicts as vd
 from wirepulse.plans import flow
 from wirepulse.session import checkpointed
-from wirepulse.sources import feeds
+from wirepulse.sources import feeds, versioned
 from wirepulse.sources.sinks import append_once, appended
 from wirepulse.streaming.cooling import all_emissions, emit_with_cooldown  # noqa: F401
 from wirepulse.streaming.seen import SeenStore
@@ -130,6 +130,34 @@ def dedupe_two_key_stream(
     return _start(stream, run, checkpoint, trigger)
 
 
+def unchanged_skip_stream(docs: DataFrame, out: str, checkpoint: str, buckets: int = 64, **trigger) -> StreamingQuery:
+    """Documents whose body differs from the stored one of their source, in ``out/changed``; as ``health.changed_only``.
+
+    The last hash of each source is kept in a table to upsert into, so a batch reads the buckets of its sources and no
+    earlier documents. Within a batch documents count in the sequence of (ts, check_id); the stored hash counts
+    before all of them.
+    """
+    schema = "source_id string, body_hash string, ts timestamp, check_id bigint"
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark, table = batch.sparkSession, f"{out}/last"
+        stored = checkpointed(batch.where(F.col("status") == "ok").withColumn("body_hash", F.substring(F.sha2("body", 256), 1, 32)))
+        newest = versioned.version_at(spark, table)
+        # A repeated batch starts from the version that the first attempt started from.
+        before = newest.number - (newest.done.get("stream", -1) >= batch_id)
+        known = versioned.read_version(spark, table, schema, before).join(stored.select("source_id").distinct(), "source_id", "left_semi")
+        rows = stored.select("source_id", "body_hash", "ts", "check_id", F.lit(1).alias("_new")).unionByName(known.withColumn("_new", F.lit(0)))
+        rows = rows.withColumn("_at", F.struct("_new", "ts", "check_id"))
+        chain = ordered.previous(rows, ["source_id"], "_at", "_new", {"_before": "body_hash"}).where("_new = 1")
+        changed = chain.where(F.col("_before").isNull() | (F.col("_before") != F.col("body_hash"))).select("source_id", "check_id")
+        append_once(stored.join(changed, ["source_id", "check_id"], "left_semi"), f"{out}/changed", batch_id)
+        versioned.upsert_table(
+            stored, table, schema, ["source_id"], ["ts", "check_id"], how="replace", buckets=buckets, writer="stream", batch=batch_id
+        )
+
+    return _start(docs, run, checkpoint, trigger)
+
+
 # ---------------------------------------------------------------- late rows
 
 #: Takes a batch's rows that are on time, the number of the batch and the output folder.
