@@ -11,15 +11,14 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -30,25 +29,25 @@ from wirepulse.session import checkpointed
 MAGIC = b"WPTOKEN1"
 #: Ones of the upper bits between two select samples.
 SAMPLE = 512
-#: Pieces of text whose ids a task remembers at a time.
-REMEMBERED = 600_000
+#: Pieces of text whose ids a worker remembers; beyond that it begins anew.
+REMEMBERED = 1_000_000
+#: Characters of new pieces that the library is given at once, and bytes of texts encoded at a time (a text at least).
+STRUNG, BLOCK = 1 << 17, 1 << 23
 #: Ids read back at a time (one document at least).
 READ_TOKENS = 1 << 21
 
 
 class Encoder:
-    """Ids of whole texts as bytes; ids of repeated pieces of text are remembered.
+    """Ids of whole texts, a column at a time; ids of repeated pieces of text are remembered.
 
     Where the tokenizer is byte-level BPE with the usual splitting pattern and no
     normalizer, no token crosses the start of a single space, or a single line feed,
-    between two characters that are not white space. Texts are cut there, and
+    between two characters that are not white space, or goes on from an ASCII letter to an ASCII character that
+    is none. Texts are cut there, in one pass over their bytes, and
     each distinct piece is encoded by the library once. Any other tokenizer, and a text that
     holds the string of an added token, is encoded whole.
     """
 
-    BOUNDARY = re.compile(r"(?<=[^\s\u180e])(?= [^\s\u180e])|(?<=[^\s\u180e])(?=\n[^\s\u180e])|(?<=[^\s\u180e]\n)(?=[^\s\u180e])")
-    IRREGULAR = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]|\u180e")
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -62,40 +61,146 @@ class Encoder:
             and settings.get("normalizer") is None and settings["model"]["type"] == "BPE" and not settings.get("post_processor")
         )
         self.added = [t["content"] for t in settings.get("added_tokens", [])]
-        self.dtype = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.known: dict[str, bytes] = {
-            mark: np.array(self.library.encode(mark, add_special_tokens=False).ids, self.dtype).tobytes() for mark in (".", ",")
-        }
-
-    def _ids(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces not yet known; a full stop or comma after an ASCII letter is a token's start, so it is taken off."""
-        stem = {p: p[:-1] if len(p) > 1 and p[-1] in ".," and p[-2].isascii() and p[-2].isalpha() else p for p in pieces}
-        new = list(set(stem.values()).difference(self.known))
-        encoded = self.library.encode_batch_fast(new, add_special_tokens=False)
-        ids = {p: array(self.code, e.ids).tobytes() for p, e in zip(new, encoded)}
-        found = {}
-        for piece, part in stem.items():
-            found[part] = ids[part] if part in ids else self.known[part]
-            found[piece] = found[part] if part == piece else found[part] + self.known[piece[-1]]
-        return found
+        count = self.library.get_vocab_size(with_added_tokens=True)
+        self.dtype = np.dtype("<u2" if count <= 1 << 16 else "<u4")
+        # A byte-level token has a letter for each of its bytes.
+        self.sizes = np.array([len(self.library.id_to_token(i) or "") for i in range(count)], np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.starts, self.counts, self.pool, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, self.dtype), 0
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def _remember(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        first, size = len(self.slots), len(self.slots) + len(pieces)
+        while len(self.counts) < size:
+            self.starts, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts))
+        while len(self.pool) < self.used + len(ids):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.counts[first:size] = counts
+        self.starts[first:size] = self.used + np.cumsum(counts) - counts
+        self.used += len(ids)
+        self.slots.update(zip(pieces, range(first, size)))
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces: those that begin with one space or none, strung together, and what is between cut apart by its bytes."""
+        held, size, alone = [], 0, []
+        for piece in pieces:
+            body = piece[1:] if piece[0] == " " else piece
+            if body and body == body.strip() and "\u180e" not in body:
+                held.append(piece)
+                size += len(piece)
+                if size >= STRUNG:
+                    self._learn_strung(held)
+                    held, size = [], 0
+            else:
+                alone.append(piece)
+        if held:
+            self._learn_strung(held)
+        for piece in alone:
+            ids = self._whole(piece)
+            self._remember([piece], ids, np.array([len(ids)]))
+
+    def _learn_strung(self, pieces: list[str]) -> None:
+        strung = [p if p[0] == " " else "\n" + p for p in pieces]
+        ids = self._whole("".join(strung))
+        ends = np.cumsum([len(p.encode()) for p in strung])
+        upto = np.searchsorted(np.cumsum(self.sizes[ids]), ends, side="right")
+        counts = np.diff(upto, prepend=0)
+        # The line feed put in front of a piece is a token of its own.
+        extra = np.array([p[0] != " " for p in pieces])
+        first = (upto - counts)[extra]
+        self._remember(pieces, np.delete(ids, first), counts - extra)
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Concatenated ids of a column of strings without nulls, and their number for each string."""
+        special = np.zeros(len(column), bool)
+        for token in self.added:
+            special |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
+        if not self.pieces:
+            special[:] = True
+        if not special.any():
+            return self._encode_pieces(column)
+        usual, counts = self._encode_pieces(column.filter(pa.array(~special)))
+        parts, rest, at = [], iter(counts.tolist()), 0
+        for text, whole in zip(column.to_pylist(), special.tolist()):
+            if whole:
+                parts.append(self._whole(text))
+            else:
+                size = next(rest)
+                parts.append(usual[at : at + size])
+                at += size
+        return np.concatenate([*parts, np.zeros(0, self.dtype)]), np.array([len(p) for p in parts], np.int64)
+
+    def _encode_pieces(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.slots) > REMEMBERED:
+            self._forget()
+        offsets, data = _bytes(column)
+        if not len(data):
+            return np.zeros(0, self.dtype), np.zeros(len(column), np.int64)
+        begins = _cuts(data, offsets)
+        ends = np.append(begins, len(data)).astype(np.int32)
+        found = pa.StringArray.from_buffers(len(begins), pa.py_buffer(ends), pa.py_buffer(data)).dictionary_encode()
+        distinct = found.dictionary.to_pylist()
+        known = self.slots.get
+        slots = np.array([known(p, -1) for p in distinct], np.int64)
+        new = np.flatnonzero(slots < 0)
+        pieces = [distinct[k] for k in new.tolist()]
+        self._learn(pieces)
+        slots[new] = np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))
+        slots = slots[found.indices.to_numpy()]
+        counts = self.counts[slots]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.pool[np.repeat(self.starts[slots] - upto[:-1], counts) + np.arange(upto[-1])]
+        return ids, np.diff(upto[np.searchsorted(begins, offsets)])
 
     def encode(self, text: str) -> bytes:
-        if not self.pieces or any(token in text for token in self.added):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        if self.IRREGULAR.search(text):
-            pieces = self.BOUNDARY.split(text)
-        else:
-            # Every space and line feed stands alone: cut before the former, around the latter.
-            pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in text else self.BOUNDARY.split(text)
-        known = self.known
-        parts = list(map(known.get, pieces))
-        if None in parts:
-            found = self._ids({piece for piece, part in zip(pieces, parts) if part is None})
-            if len(known) < REMEMBERED:  # common pieces come early; a full table keeps them
-                known.update(found)
-            parts = [found[piece] if part is None else part for piece, part in zip(pieces, parts)]
-        return b"".join(parts)
+        return self.encode_column(pa.array([text], pa.string()))[0].tobytes()
+
+
+#: Bytes of white space of one byte; longer characters of white space by their UTF-8 bytes (fixed values: the Unicode property, and U+180E).
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = True
+#: ASCII characters that are no letters.
+OTHER = ~LETTER & (np.arange(256) < 128)
+LONG_BLANKS = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a column of strings."""
+    _, where, what = column.buffers()
+    offsets = np.frombuffer(where, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(what, np.uint8)[offsets[0] : offsets[-1]] if what is not None else np.zeros(0, np.uint8)
+    return offsets - offsets[0], data
+
+
+def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces begin: texts, single spaces between other characters, such line feeds and what follows them, what follows letters."""
+    blank = BLANK[data]
+    for lead in {b[0] for b in LONG_BLANKS}:
+        at = np.flatnonzero(data == lead)
+        for code in LONG_BLANKS:
+            if code[0] == lead and len(at):
+                same = at[at + len(code) <= len(data)]
+                for k in range(1, len(code)):
+                    same = same[data[same + k] == code[k]]
+                for k in range(len(code)):
+                    blank[same + k] = True
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offsets] = True
+    at = np.flatnonzero((data == 32) | (data == 10))
+    at = at[(at > 0) & (at + 1 < len(data))]
+    at = at[~(blank[at - 1] | blank[at + 1] | cut[at] | cut[at + 1])]
+    cut[at] = True
+    cut[at[data[at] == 10] + 1] = True
+    cut[1:-1] |= LETTER[data[:-1]] & OTHER[data[1:]]
+    return np.flatnonzero(cut[:-1])
 
 
 @lru_cache(maxsize=2)
@@ -248,9 +353,15 @@ def write_tokens(
         def documents() -> Iterator[tuple[int | None, bytes]]:
             end = np.array([end_id], codec.dtype).tobytes()
             for batch in batches_left:
-                for start in range(0, batch.num_rows, 256):
-                    for name, text in zip(*(c.to_pylist() for c in batch.slice(start, 256).columns)):
-                        yield name, codec.encode(text) + end
+                offsets, start = _bytes(batch.column(1))[0], 0
+                while start < batch.num_rows:
+                    stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + BLOCK, side="right")) - 1)
+                    block = batch.slice(start, stop - start)
+                    ids, counts = codec.encode_column(block.column(1))
+                    ends = np.cumsum(counts)
+                    for name, a, b in zip(block.column(0).to_pylist(), (ends - counts).tolist(), ends.tolist()):
+                        yield name, ids[a:b].tobytes() + end
+                    start = stop
 
         batches_left = (b for b in batches if b.num_rows)
         first = next(batches_left, None)
