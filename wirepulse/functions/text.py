@@ -255,8 +255,8 @@ def strip_html(text: Column) -> Column:
     return squeeze(decode_entities(let(text, untagged)))
 
 
-def article_text(html: Column) -> Column:
-    """Main text of a page, or null when there are not more than 200 characters."""
+def article_text(html: Column, chars: int | None = config.SUMMARY_CHARS) -> Column:
+    """Main text of a page, at most ``chars`` of it (None: all), or null when there are not more than 200 characters."""
 
     def first_block(tag: str, otherwise: Column) -> Column:
         block = rf"(?i)<{tag}[^>]*>([\s\S]*?)</{tag}>"
@@ -268,7 +268,7 @@ def article_text(html: Column) -> Column:
         main = F.regexp_replace(main, rf"(?i)<{tag}[\s\S]*?</{tag}>", " ")
     return let(
         strip_html(main),
-        lambda text: F.when(F.length(text) > config.MIN_ARTICLE_CHARS, F.substring(text, 1, config.SUMMARY_CHARS)),
+        lambda text: F.when(F.length(text) > config.MIN_ARTICLE_CHARS, text if chars is None else F.substring(text, 1, chars)),
     )
 
 

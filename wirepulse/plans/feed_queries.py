@@ -32,6 +32,13 @@ def article_text(spark, d):
     return pages.select("page_id", tx.article_text(F.col("html")).alias("text"))
 
 
+@query(f"SELECT page_id, {V.article('html', None)} AS text FROM pages")
+def article_text_whole(spark, d):
+    """As ``article_text``, without its cut at 4,000 characters."""
+    pages = I.table(spark, d, "pages")
+    return pages.select("page_id", tx.article_text(F.col("html"), None).alias("text"))
+
+
 @query(V.query(V.HEADLINES, select="""
 SELECT item_id, title || ' ' || chr(CAST(161 + k % 5000 AS INT)) || chr(CAST(128512 + k % 60 AS INT)) || ' & £ € &unknown; &#163; ' || '—' AS text FROM headlines"""))
 def decode_entities(spark, d):

@@ -403,25 +403,50 @@ def enrichment_plan(spark, d):
     return queue.needs_enrichment(_packed(spark, d), permits).select("id", "batch_id", "fetch_article")
 
 
-@query(V.query(V.HEADLINES, V.CANDIDATES, _PACKED, select="""
+_REQUEST = """
 SELECT batch_id, count(*) AS n_items, 'Classify each of the following ' || count(*) || ' news item(s).' || chr(10) || chr(10) ||
   string_agg('--- ITEM id=' || item_no || ' ---' || chr(10) || 'Source: ' || source_id || chr(10) || 'Published: ' ||
-    COALESCE(strftime(published_at, '%Y-%m-%dT%H:%M:%S.%gZ'), 'unknown') || chr(10) || 'Title: ' || title || chr(10) || 'Body: ' || substr(summary, 1, 1500),
+    COALESCE(strftime(published_at, '%Y-%m-%dT%H:%M:%S.%gZ'), 'unknown') || chr(10) || 'Title: ' || title || chr(10) || 'Body: ' || {body},
     chr(10) || chr(10) ORDER BY rn) AS request
-FROM packed GROUP BY batch_id"""))
+FROM packed GROUP BY batch_id"""
+
+
+@query(V.query(V.HEADLINES, V.CANDIDATES, _PACKED, select=_REQUEST.replace("{body}", "substr(summary, 1, 1500)")))
 def render_request(spark, d):
     return queue.render_requests(_packed(spark, d).withColumn("body", F.col("summary")))
 
 
-@query(f"""WITH a AS (SELECT page_id, {V.canonical('url')} AS link, {V.article("html")} AS article FROM pages),
+@query(V.query(V.HEADLINES, V.CANDIDATES, _PACKED, "texts AS (SELECT doc_id, text FROM documents)", select=_REQUEST.replace("{body}", "COALESCE(text, summary)")
+    .replace("FROM packed", "FROM packed LEFT JOIN texts ON doc_id = id")))
+def render_request_whole(spark, d):
+    """As ``render_request``, over whole document texts where a candidate has one."""
+    texts = I.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    packed = _packed(spark, d).join(texts, "id", "left").withColumn("body", F.coalesce("text", "summary")).drop("text")
+    return queue.render_requests(packed, None)
+
+
+_BODY = """WITH a AS (SELECT page_id, {link} AS link, {article} AS article FROM pages),
 one AS (SELECT link, article FROM (SELECT *, row_number() OVER (PARTITION BY link ORDER BY page_id) AS rn FROM a) WHERE rn = 1)
-SELECT page_id, substr(CASE WHEN length(one.article) > length(text) THEN one.article ELSE text END, 1, 1500) AS body
-FROM a JOIN documents ON doc_id = page_id LEFT JOIN one USING (link)""")
-def choose_body(spark, d):
+SELECT page_id, {cut}(CASE WHEN length(one.article) > length(text) THEN one.article ELSE text END{to}) AS body
+FROM a JOIN documents ON doc_id = page_id LEFT JOIN one USING (link)"""
+
+
+def _bodies(spark, d, article_chars, body_chars):
     pages = I.table(spark, d, "pages").withColumn("link", tx.canonical_url(F.col("url")))
     articles = dedupe.first_per_key(
-        pages.select("link", "page_id", tx.article_text(F.col("html")).alias("article")), ["link"], ["page_id"]
+        pages.select("link", "page_id", tx.article_text(F.col("html"), article_chars).alias("article")), ["link"], ["page_id"]
     )
     docs = I.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.col("text").alias("summary"))
     cands = pages.select("page_id", "link").join(docs, "page_id")
-    return queue.choose_body(cands, articles).select("page_id", "body")
+    return queue.choose_body(cands, articles, body_chars).select("page_id", "body")
+
+
+@query(_BODY.format(link=V.canonical("url"), article=V.article("html"), cut="substr", to=", 1, 1500"))
+def choose_body(spark, d):
+    return _bodies(spark, d, config.SUMMARY_CHARS, config.BODY_CHARS)
+
+
+@query(_BODY.format(link=V.canonical("url"), article=V.article("html", None), cut="", to=""))
+def choose_body_whole(spark, d):
+    """As ``choose_body``, with whole articles and whole texts."""
+    return _bodies(spark, d, None, None)

@@ -206,7 +206,7 @@ def strip_html(expr: str) -> str:
     return f"trim(regexp_replace({expr}, '[\\s\\x{{00A0}}]+', ' ', 'g'))"
 
 
-def article(html: str) -> str:
+def article(html: str, chars: int | None = 4000) -> str:
     a, b = "(?is)<article[^>]*>(.*?)</article>", "(?is)<body[^>]*>(.*?)</body>"
     main = (
         f"CASE WHEN regexp_matches({html}, '{a}') THEN regexp_extract({html}, '{a}', 1) "
@@ -215,4 +215,4 @@ def article(html: str) -> str:
     for tag in ("nav", "header", "footer", "aside"):
         main = f"regexp_replace({main}, '(?is)<{tag}.*?</{tag}>', ' ', 'g')"
     text = strip_html(main)
-    return f"CASE WHEN length({text}) > 200 THEN substr({text}, 1, 4000) END"
+    return f"CASE WHEN length({text}) > 200 THEN {text if chars is None else f'substr({text}, 1, {chars})'} END"

@@ -69,7 +69,7 @@ class Arrivals:
     def land(self, count: int) -> DataFrame:
         """The stream over the folder after ``count`` more files, each a micro-batch of its own."""
         for k in range(self.landed, self.landed + count):
-            rows = self.spark.read.schema(self.schema).parquet(f"{self.folder}/all/_slice={k}")
+            rows = self.spark.read.parquet(f"{self.folder}/all").where(F.col("_slice") == k).select(*self.schema.names)
             rows.coalesce(1).write.mode("append").parquet(f"{self.folder}/in")
         self.landed += count
         return self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 1).parquet(f"{self.folder}/in")
