@@ -14,25 +14,25 @@ from __future__ import annotations
 
 import math
 import re
+from statistics import NormalDist
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from wirepulse.llm.rows import text_map
+from wirepulse.session import checkpointed
 
 #: Most labelled documents of either class that the model is fitted on (lowest hash of the id first).
 FIT_DOCUMENTS = 20_000
-#: Most scored tokens; the rest count as unknown. Bounds what is sent to the tasks.
-LEXICON = 20_000
 #: Occurrences among labelled documents from which a token is judged by itself.
 MIN_COUNT = 8
 #: Weight of the Dirichlet prior, in documents; drift taken from every token; letters of a stem.
 PRIOR, DRIFT, STEM = 5.0, 0.35, 4
 #: Largest log-odds a single token can carry either way.
 CLIP = 5.0
-#: Deviance from which a token counts as toxic: beyond what chance gives any of a million tested tokens.
-SURE = 26.0
+#: Tokens that chance may pass for toxic, expected among all tested ones; sets the deviance asked for.
+BY_CHANCE = 0.05
 #: A segment is reported when fewer than this many are expected by chance in its text.
 SIGNIFICANT = 0.05
 WORD = re.compile(r"[^\W\d_]+")
@@ -76,9 +76,9 @@ def _counts(text: str) -> tuple:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn the token scores and the extreme-value constants.
 
-    Counts and score histograms are aggregated by Spark; the driver receives at most
-    ``LEXICON`` tokens, a histogram of fixed size, and the scores of the bounded
-    labelled rows' classes as sums. Without labelled rows of both classes every
+    Counts and score histograms are aggregated by Spark; the driver receives the tokens
+    that ``MIN_COUNT`` of the bounded sample of labelled rows hold, a histogram of fixed size, and the
+    rows' classes as sums. Without labelled rows of both classes every
     document scores the same: near 0 or 1 by the class there is, and a half without any.
     """
     known = labelled(docs, labels)
@@ -105,12 +105,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     )
     scored = counts.select("token", "n", odds.alias("odds"), deviance.alias("deviance"))
     # Positive scores need a significant difference; the rest is background and only drifts.
-    chosen = scored.where((F.col("deviance") > SURE) & (F.col("odds") > 1.0)).orderBy(F.desc("deviance"), "token").limit(LEXICON).collect()
+    # All tokens come from the bounded sample of labelled documents, so their number is bounded, too.
+    tested = checkpointed(scored)
+    sure = _surely(tested.count())
+    chosen = tested.where((F.col("deviance") > sure) & (F.col("odds") > 1.0)).collect()
     words, stems = {}, {}
     for row in chosen:
         (stems if row.token.endswith("*") else words)[row.token.removesuffix("*")] = min(row.odds, CLIP)
-    common = scored.where(~F.col("token").endswith("*")).orderBy(F.desc("n"), "token").limit(LEXICON)
-    words = {r.token: 0.0 for r in common.select("token").collect()} | words
+    common = tested.where(~F.col("token").endswith("*")).select("token").collect()
+    words = {r.token: 0.0 for r in common} | words
     return calibrate(Model(words, stems, 1.0, 1.0, 0.0, 0.0), known)
 
 
@@ -150,6 +153,12 @@ def calibrate(model: Model, known: DataFrame) -> Model:
     return known_law._replace(weight=weight, bias=bias)
 
 
+def _surely(tested: int) -> float:
+    """Deviance that chance exceeds for ``BY_CHANCE`` of ``tested`` tokens: a quantile of the chi-squared law with one degree of freedom."""
+    tail = BY_CHANCE / max(tested, 1)
+    return NormalDist().inv_cdf(1 - tail / 2) ** 2
+
+
 def _logistic(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
     """Weight and bias of a logistic curve through counted ``(x, class)``, by Newton steps with a slight ridge."""
     x, y, n = (np.array([b[k] for b in bins], float) for k in range(3))
@@ -172,8 +181,8 @@ def token_scores(model: Model, text: str) -> np.ndarray:
     values = []
     for word in WORD.findall(text.lower()):
         value = words.get(word)
-        if not value:
-            value = max(value or 0.0, stems.get(word[:STEM], 0.0)) if len(word) > STEM else value or 0.0
+        if value is None:  # too rare to be judged by itself
+            value = stems.get(word[:STEM], 0.0) if len(word) > STEM else 0.0
         values.append(value)
     return np.asarray(values, dtype=np.float64) - DRIFT
 
