@@ -113,6 +113,21 @@ def test_secret_structures():
     assert kinds(base64.b64encode(bytes(broken)).decode()) == []
     assert kinds(".".join((b64url(b'{"typ":"JWT"}'), b64url(b"{}"), b64url(b"s" * 32)))) == []
     assert kinds("A" * 400) == [] and kinds("-----BEGIN X-----" * 2000) == []
+    # Glued to other characters of the alphabet, on either side; wrapped without armor; other white space after the brace.
+    for glued in (f"path/{key.rstrip('=')}", f"name_{key.rstrip('=')}", f"key-{ssh.rstrip('=')}", f"x/{key.rstrip('=')}/tail"):
+        text = f"see {glued} end"
+        (span,) = [(a, b) for k, a, b in secrets.find_secrets(text) if k == "key"]
+        assert text[span[0] : span[1]].rstrip("=") in (key.rstrip("="), ssh.rstrip("="))
+    for width, gap in ((64, "\n"), (76, "\r\n"), (64, "\n  ")):
+        wrapped = gap.join(key[k : k + width] for k in range(0, len(key), width))
+        text = f"begins here:\n{wrapped}\nnext line of prose"
+        assert [text[a:b] for k, a, b in secrets.find_secrets(text) if k == "key"] == [wrapped]
+        assert kinds(text.replace(wrapped, wrapped.replace("M", "N", 1))) == []
+    for space in (b"{\t", b"{\r\n", b"{ ", b"{\n"):
+        other = ".".join((b64url(space + b'"alg":"HS256"}'), b64url(b'{"sub":"1"}'), b64url(b"s" * 32)))
+        assert kinds(f"bearer {other}.") == ["jwt"]
+    assert kinds("every.day.counts eyes.are.open " * 50) == []
+    assert kinds("MI" * 50_000) == [] and kinds("AAAA" * 50_000) == [] and kinds(("q" * 64 + "\n") * 2000) == []
 
 
 def test_secrets(spark):

@@ -3,7 +3,8 @@
 Base patterns are reported as they match. Base64 and hexadecimal runs are reported
 only when their decoded bytes have the structure of a key: DER whose nested lengths
 add up, the length-prefixed fields of an SSH key, or a signed token whose header and
-payload are JSON objects. Rows are independent; nothing is shuffled.
+payload are JSON objects. Keys may be glued to other characters of the alphabet or go on over several lines.
+Rows are independent; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame, types as T
 
@@ -28,8 +30,15 @@ KINDS = ("assign", "access", "hex", "pem", "jwt", "key", "hexkey")
 ORDER = {kind: k for k, kind in enumerate(KINDS)}
 
 ARMOR = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[^-]|-(?!----))*)-----END \1-----")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+|ewo[A-Za-z0-9_-]+|eyA[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+#: A header begins with a brace: an e and one of sixteen letters. The JSON parser judges the rest.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[w-z0-9_-][A-Za-z0-9_-]{6,}+)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*)")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Lines of base64 below one another, and where a key can begin inside a run.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+={0,2})+")
+LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+BEGINS = re.compile(r"MI|AAAA|b3Bl")
+#: Longest key looked for inside a run, in bytes; a run that is a key as a whole may be longer.
+LONGEST = 1 << 16
 HEXRUN = re.compile(r"[0-9A-Fa-f]{64,}")
 SSH_KINDS = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 SSH_MAGIC = b"openssh-key-v1\0"
@@ -118,6 +127,60 @@ def is_key(data: bytes | None) -> bool:
     return data is not None and len(data) >= 30 and ((data[0] == 0x30 and is_der_key(data)) or (data[0] in (0, 0x6F) and is_ssh_key(data)))
 
 
+def key_at(run: str, start: int) -> int:
+    """Characters of the key that begins at a place of a base64 run, whatever follows it; 0 if there is none."""
+    head = decode64(run[start : start + 32])
+    if head is None or len(head) < 24:
+        return 0
+    if head[0] == 0x30:
+        size, length = 2, head[1]
+        if length & 0x80:
+            size += length & 0x7F
+            if not 3 <= size <= 5:
+                return 0
+            length = int.from_bytes(head[2:size], "big")
+        chars = ((size + length) * 8 + 5) // 6
+        if size + length > LONGEST or start + chars > len(run) or not is_key(decode64(run[start : start + chars])):
+            return 0
+        while run[start + chars : start + chars + 1] == "=":
+            chars += 1
+        return chars
+    # SSH: the magic of a private key, or the name of a kind, before anything more is decoded.
+    if head.startswith(SSH_MAGIC) or any(head[4:].startswith(kind[:20]) for kind in SSH_KINDS):
+        return len(run) - start if is_key(decode64(run[start:])) else 0
+    return 0
+
+
+def keys_inside(run: str) -> list[tuple[int, int]]:
+    """Keys that are glued to other characters of the alphabet, from the left, without overlap."""
+    found, free = [], 0
+    for begin in BEGINS.finditer(run):
+        if begin.start() >= free:
+            size = key_at(run, begin.start())
+            if size:
+                free = begin.start() + size
+                found.append((begin.start(), free))
+    return found
+
+
+def wrapped_keys(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Keys that go on over several lines of base64, as spans of the text."""
+    lines = [m.span() for m in LINE.finditer(text, start, end)]
+    joined, places = "".join(text[a:b] for a, b in lines), []
+    at = 0
+    for a, b in lines:
+        places.append((at, a))
+        at += b - a
+    starts = [p for p, _ in places]
+
+    def place(k: int) -> int:
+        line = bisect_right(starts, k) - 1
+        return places[line][1] + k - starts[line]
+
+    spans = [(place(a), place(b - 1) + 1) for a, b in keys_inside(joined)]
+    return [(a, b) for a, b in spans if "\n" in text[a:b]]
+
+
 def is_token(header: str, payload: str, signature: str) -> bool:
     """A JSON header that names its algorithm, a JSON payload, and a signature unless the algorithm is none."""
     try:
@@ -144,12 +207,20 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
             body = decode64("".join(line for line in lines if ":" not in line))
             if body and ("ENCRYPTED" in m[2] or is_key(body)):
                 spans.append(("pem", *m.span()))
-    if "ey" in text or "ewo" in text:
-        spans += [("jwt", *m.span()) for m in TOKEN.finditer(text) if is_token(*m.groups())]
+    spans += [("jwt", *m.span()) for m in TOKEN.finditer(text) if is_token(*m.groups())]
+    armored = [s for s in spans if s[0] == "pem"]
+    wrapped = []
+    for m in WRAPPED.finditer(text):
+        if not any(a <= m.start() and m.end() <= b + 1 for _, a, b in armored):
+            wrapped += wrapped_keys(text, *m.span())
+    spans += [("key", *w) for w in wrapped]
     for m in BASE64.finditer(text):
         if is_key(decode64(m[0])):
             spans.append(("key", *m.span()))
-        else:
+            continue
+        inside = keys_inside(m[0])
+        spans += [("key", m.start() + a, m.start() + b) for a, b in inside]
+        if not inside:
             for h in HEXRUN.finditer(text, *m.span()):
                 if len(h[0]) % 2 == 0 and is_key(bytes.fromhex(h[0])):
                     spans.append(("hexkey", *h.span()))
