@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +54,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder; survives lost executors."""
     scratch_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage through a new Parquet table in the shared folder, for use inside loops.
+
+    A checkpoint keeps the planner's size estimate, and a join's is the product of its
+    sides: in a loop that joins its own result its digits multiply every round, until
+    planning takes longer than the work. A table has the size of its files.
+    """
+    folder = f"{scratch_folder(df.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
