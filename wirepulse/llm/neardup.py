@@ -10,7 +10,10 @@
    full sets confirm it. Linked classes are merged into components.
 4. Only lists that then still hold several components are compared further, between
    components. Pairs inside a component cannot change the result and are never made, nor
-   are pairs that the shingles found in one class alone rule out.
+   are pairs that the shingles found in one class alone rule out. Long lists go through
+   rounds of a linear number of pairs first: each class meets its list's hub, the class
+   with fewest shingles of its own, and a few classes drawn by hash. Components found so
+   leave little of a large group for the comparison of all that remains.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from wirepulse.llm import bloom
 from wirepulse.llm.rows import text_map
 from wirepulse.llm.shingles import mix, shingles
-from wirepulse.session import checkpointed
+from wirepulse.session import checkpointed, written
 
 #: Words of a shingle, similarity in hundredths, hashes a sketch retains.
 WORDS, PERCENT, RETAINED = 5, 85, 64
@@ -41,6 +44,8 @@ SLACK = 6.0
 LONG_LIST = 64
 #: Most classes of the long lists that hold a shingle called rare.
 RARE = 16
+#: In a round, a class of a long list meets one class of each of ``DRAWS`` groups of about ``GROUP``.
+GROUP, DRAWS = 16, 4
 
 
 def overlap_floor(size: int, percent: int, retained: int) -> int:
@@ -128,18 +133,20 @@ def _full_sets(wanted: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     the scan, an exact join the rest.
     """
     probed = bloom.probe(texts, F.col("key"), bloom.build(wanted, F.col("key")), "possible").where("possible")
-    chosen = probed.select("key", "text").join(wanted.select("key").distinct(), "key").dropDuplicates(["key"])
+    chosen = probed.select("key", "text").join(wanted.select("key").distinct(), "key").dropDuplicates(["key", "text"])
     sets = text_map(chosen, "key", "text", [("items", T.ArrayType(T.LongType())), ("fp", T.BinaryType())], lambda: _sets(words))
     return wanted.join(sets, ["key", "fp"]).select("cid", "items")
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """Links: pairs whose full shingle sets reach the similarity."""
-    wanted = checkpointed(
-        pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(reps.select("cid", "key", "fp"), "cid")
-    )
-    ready = _full_sets(wanted, texts, words)
-    left, right = (ready.select(F.col("cid").alias(x), F.col("items").alias(f"items_{x}")) for x in ("a", "b"))
+def _sets_of(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """``(cid, items)`` of the classes in ``pairs (a, b)``."""
+    members = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    return _full_sets(checkpointed(members.join(reps.select("cid", "key", "fp"), "cid")), texts, words)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links: pairs whose full shingle sets, given as ``sets (cid, items)``, reach the similarity."""
+    left, right = (sets.select(F.col("cid").alias(x), F.col("items").alias(f"items_{x}")) for x in ("a", "b"))
     met = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("items_a", "items_b"))
     return met.select("a", "b", shared.alias("shared"), (F.size("items_a") + F.size("items_b")).alias("total")).where(
@@ -151,15 +158,15 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, label)``: the smallest node reachable, for every node in ``edges (a, b)``.
 
     Each round takes the least label among neighbours and then that label's own label,
-    so distances halve; labels are checkpointed between rounds.
+    so distances halve; labels are written out between rounds.
     """
-    both = checkpointed(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
+    both = written(edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct())
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("via"))
         hop = labels.select(F.col("node").alias("via"), F.col("label").alias("next"))
-        moved = checkpointed(lower.join(hop, "via").select("node", "was", F.least("via", "next").alias("label")))
+        moved = written(lower.join(hop, "via").select("node", "was", F.least("via", "next").alias("label")))
         changed = moved.where("label <> was").limit(1).count()
         labels = moved.select("node", "label")
         if not changed:
@@ -214,64 +221,110 @@ def class_labels(reps: DataFrame, texts: DataFrame, words: int, percent: int, re
     lists = checkpointed(_postings(reps, percent, retained))
     centres = lists.groupBy("value").agg(F.min("cid").alias("a"), F.max("cid").alias("last")).where("a <> last").select("value", "a")
     first = checkpointed(lists.join(centres, "value").where("cid <> a").select("a", F.col("cid").alias("b")).distinct())
-    links = checkpointed(_confirmed(checkpointed(_estimated(first, reps, percent, retained)), reps, texts, percent, words))
-    labels = components(links)
-    named = lists.join(labels, F.col("cid") == F.col("node"), "left").select("value", "cid", F.coalesce("label", "cid").alias("label"))
-    lists = checkpointed(_mixed(named))
-    sized = reps.select("cid", "n", F.lit(0).cast("long").alias("own"))
-    short = lists.where(F.col("length") <= LONG_LIST).drop("length").join(sized, "cid")
-    long, near = _prospects(lists.where(F.col("length") > LONG_LIST).drop("length"), reps, texts, percent, words)
-    rest = short.unionByName(long)
-    x = rest.where("label <> main").select("value", F.col("cid").alias("x"), F.col("label").alias("label_x"), F.col("n").alias("n_x"), F.col("own").alias("own_x"))
-    y = rest.select(
-        F.col("value").alias("value_y"), F.col("cid").alias("y"), F.col("label").alias("label_y"), F.col("n").alias("n_y"), F.col("own").alias("own_y"),
-        (F.col("label") == F.col("main")).alias("central"),
-    )
-    most = F.least(F.col("n_x") - F.col("own_x"), F.col("n_y") - F.col("own_y"))
-    possible = (
-        (F.col("value") == F.col("value_y")) & (F.col("label_x") != F.col("label_y")) & (F.col("central") | (F.col("x") < F.col("y")))
-        & (100 * most >= percent * (F.col("n_x") + F.col("n_y") - most))
-    )
-    across = x.join(y, possible)
-    paired = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(near)
-    second = paired.distinct().join(first, ["a", "b"], "left_anti")
-    more = _confirmed(checkpointed(_estimated(second, reps, percent, retained)), reps, texts, percent, words)
+    likely = checkpointed(_estimated(first, reps, percent, retained))
+    links = checkpointed(_confirmed(likely, _sets_of(likely, reps, texts, words), percent))
+    mixed = checkpointed(_mixed(_labelled(lists, components(links))))
+    long, merging = _merged(mixed.where(F.col("length") > LONG_LIST), reps, texts, percent, words, retained)
+    links = checkpointed(links.unionAll(merging))
+    short = mixed.where(F.col("length") <= LONG_LIST).join(reps.select("cid", "n", F.lit(0).cast("long").alias("own")), "cid")
+    columns = ["value", "cid", "n", "own"]
+    rest = checkpointed(_mixed(_labelled(short.select(columns).unionAll(long.select(columns)), components(links))))
+    x = rest.where("label <> main").select("value", *(F.col(c).alias(f"{c}_x") for c in ("cid", "label", "n", "own")))
+    y = rest.select("value", *(F.col(c).alias(f"{c}_y") for c in ("cid", "label", "n", "own")), (F.col("label") == F.col("main")).alias("central"))
+    across = x.join(y, "value").where((F.col("label_x") != F.col("label_y")) & (F.col("central") | (F.col("cid_x") < F.col("cid_y"))) & _possible(percent))
+    second = across.select(F.least("cid_x", "cid_y").alias("a"), F.greatest("cid_x", "cid_y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    likely = checkpointed(_estimated(second, reps, percent, retained))
+    more = _confirmed(likely, _sets_of(likely, reps, texts, words), percent)
     return components(checkpointed(links.unionAll(more)))
 
 
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the label of ``cid``, which is ``cid`` itself where it has no link."""
+    return rows.join(labels, F.col("cid") == F.col("node"), "left").select(*rows.columns, F.coalesce("label", "cid").alias("label"))
+
+
 def _mixed(named: DataFrame) -> DataFrame:
     """Rows of the lists that hold several components, with ``main``, the lowest of them, and the list's ``length``."""
-    columns = [c for c in named.columns if c != "main"]
+    columns = [c for c in named.columns if c not in ("main", "length")]
     ends = named.groupBy("value").agg(F.min("label").alias("main"), F.max("label").alias("other"), F.count("*").alias("length"))
     return named.select(*columns).join(ends.where("main <> other").drop("other"), "value")
 
 
-def _prospects(lists: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame]:
-    """What may still be linked in long mixed lists: rows with ``n`` and ``own``, and pairs ``(a, b)``.
+def _possible(percent: int) -> Column:
+    """Whether ``x`` and ``y`` may be similar, given that the ``own`` shingles of each are not the other's."""
+    most = F.least(F.col("n_x") - F.col("own_x"), F.col("n_y") - F.col("own_y"))
+    return 100 * most >= percent * (F.col("n_x") + F.col("n_y") - most)
+
 
-    A shingle held by at most ``RARE`` classes of these lists is rare. Pairs that share
-    one are few, and are returned as pairs. Any other pair has the rare shingles of both
-    in its union and none in common, so a class with too many of them (``own``) for the
-    smallest partner of a list cannot have a link there and leaves it, before any pair
-    is made. A large group of strongly edited copies goes this way.
-    """
-    members = lists.select("cid", "label").distinct()
-    wanted = checkpointed(members.join(reps.select("cid", "key", "n"), "cid"))
-    # A text that passes the filter by chance can only make a shingle less rare, which is safe.
-    passed = bloom.probe(texts, F.col("key"), bloom.build(wanted, F.col("key")), "possible").where("possible")
-    sets = text_map(passed.select("key", "text"), "key", "text", [("items", T.ArrayType(T.LongType()))], lambda: lambda text: (_sets(words)(text)[0],))
-    items = sets.select("key", F.explode("items").alias("item"))
-    rare = items.groupBy("item").agg(F.count("*").alias("holders")).where(F.col("holders") <= RARE)
-    held = checkpointed(items.join(rare, "item").select("item", "key", "holders").distinct())
-    own = held.groupBy("key").agg(F.count("*").alias("own"))
-    profile = wanted.join(own, "key", "left").select("cid", "n", F.coalesce("own", F.lit(0)).alias("own"))
-    known = lists.join(profile, "cid")
-    least = known.groupBy("value").agg(F.min("n").alias("least_n"))
+def _able(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows of mixed lists less those that have too many own shingles for any partner in their list."""
+    least = rows.groupBy("value").agg(F.min("n").alias("least_n"), F.min("own").alias("least_own"))
     shared = F.col("n") - F.col("own")
-    able = known.join(least, "value").where(100 * shared >= percent * (F.greatest("least_n", shared) + F.col("own"))).drop("least_n")
+    union = F.greatest(F.col("own") + F.col("least_n"), F.col("n") + F.col("least_own"))
+    return _mixed(rows.join(least, "value").where(100 * shared >= percent * union).drop("least_n", "least_own"))
 
-    tagged = held.where("holders > 1").join(wanted.select("key", "cid", "label"), "key")
+
+def _own_shingles(wanted: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(cid, own)``, the number of rare shingles of each class, and the pairs ``(a, b)`` that share a rare one.
+
+    A shingle held by at most ``RARE`` classes of ``wanted`` is rare, so the pairs are
+    few. Any other pair has the rare shingles of both in its union and none in common.
+    """
+    items = sets.select("cid", F.explode("items").alias("item"))
+    rare = items.groupBy("item").agg(F.count("*").alias("holders")).where(F.col("holders") <= RARE)
+    held = checkpointed(items.join(rare, "item"))
+    tagged = held.where("holders > 1").select("item", "cid").join(wanted.select("cid", "label"), "cid")
     left = tagged.select("item", F.col("cid").alias("a"), F.col("label").alias("label_a"))
-    right = tagged.select(F.col("item").alias("item_b"), F.col("cid").alias("b"), F.col("label").alias("label_b"))
-    near = left.join(right, (F.col("item") == F.col("item_b")) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")))
-    return checkpointed(_mixed(able).drop("length")), near.select("a", "b").distinct()
+    right = tagged.select("item", F.col("cid").alias("b"), F.col("label").alias("label_b"))
+    near = left.join(right, "item").where("a < b AND label_a <> label_b").select("a", "b").distinct()
+    return held.groupBy("cid").agg(F.count("*").alias("own")), near
+
+
+def _drawn(rows: DataFrame, hubs: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of a round, a bounded number for each row: with the list's hub and with classes drawn by hash.
+
+    Groups and draws do not depend on the list, so that two classes which share many lists mostly meet once.
+    """
+    groups = F.greatest(F.lit(1), F.pow(F.lit(2), F.floor(F.log2(F.col("length") / GROUP))).cast("long"))
+    dealt = rows.select("*", F.explode(F.array(*(F.lit(turn * DRAWS + k) for k in range(DRAWS)))).alias("draw"))
+    dealt = dealt.select("*", F.pmod(F.xxhash64("cid", "draw"), groups).alias("group"))
+    one = F.struct(F.col("cid").alias("cid_x"), F.col("label").alias("label_x"), F.col("n").alias("n_x"), F.col("own").alias("own_x"))
+    drawn = dealt.groupBy("value", "draw", "group").agg(F.min_by(one, F.struct(F.xxhash64("draw", "cid"), "cid")).alias("one"))
+    other = [F.col(c).alias(f"{c}_y") for c in ("cid", "label", "n", "own")]
+    met = dealt.join(drawn, ["value", "draw", "group"]).select("one.*", *other).unionAll(rows.join(hubs, "value").select("hub.*", *other))
+    return met.where((F.col("label_x") != F.col("label_y")) & _possible(percent)).select(
+        F.least("cid_x", "cid_y").alias("a"), F.greatest("cid_x", "cid_y").alias("b")
+    ).distinct()
+
+
+def _merged(lists: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, words: int, retained: int) -> tuple[DataFrame, DataFrame]:
+    """What the rounds leave of long mixed lists ``(value, cid, label)``, with ``n`` and ``own``, and the links they found.
+
+    The rounds go on while they at least halve the pairs left and these outnumber the
+    rows by more than ``LONG_LIST``. A hub has met its whole list and leaves it. Nothing is
+    lost: whatever rows remain are still to be compared with one another.
+    """
+    wanted = written(lists.select("cid", "label").distinct().join(reps.select("cid", "key", "fp", "n"), "cid"))
+    sets = written(_full_sets(wanted.select("cid", "key", "fp"), texts, words))
+    own, near = _own_shingles(wanted, sets)
+    profile = wanted.select("cid", "n").join(own, "cid", "left").select("cid", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    rows = written(_able(lists.select("value", "cid", "label").join(profile, "cid"), percent))
+    links, turn, before = _confirmed(near, sets, percent), 0, math.inf
+    while True:
+        size, left = rows.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("label") != F.col("main"), F.col("length"))), F.lit(0))).first()
+        if not size or turn and (left <= LONG_LIST * size or 2 * left > before):
+            return rows, links
+        one = F.struct(F.col("cid").alias("cid_x"), F.col("label").alias("label_x"), F.col("n").alias("n_x"), F.col("own").alias("own_x"))
+        hubs = checkpointed(rows.groupBy("value").agg(F.min_by(one, F.struct("own", "n", "cid")).alias("hub")))
+        pairs = checkpointed(_estimated(_drawn(rows, hubs, turn, percent), reps, percent, retained))
+        links = checkpointed(links.unionAll(_confirmed(pairs, sets, percent)))
+        unsettled = rows.join(hubs.select("value", F.col("hub.cid_x").alias("cid")), ["value", "cid"], "left_anti")
+        old = wanted.select("cid", "label")
+        merged = links.join(old.select(F.col("cid").alias("a"), F.col("label").alias("label_a")), "a").join(
+            old.select(F.col("cid").alias("b"), F.col("label").alias("label_b")), "b").where("label_a <> label_b")
+        renamed = components(merged.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
+        current = old.join(renamed.withColumnRenamed("label", "lowest"), F.col("label") == F.col("node"), "left").select(
+            "cid", F.coalesce("lowest", "label").alias("label")
+        )
+        rows = written(_able(_mixed(unsettled.drop("label").join(current, "cid")), percent))
+        turn, before = turn + 1, left
