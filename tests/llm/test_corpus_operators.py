@@ -304,6 +304,30 @@ def test_a_group_of_strongly_edited_copies(spark, monkeypatch):
         assert sorted(tuple(x) for x in neardup.near_duplicates(frame(spark, texts)).collect()) == want
 
 
+def test_a_filled_in_template(spark, monkeypatch):
+    r = random.Random(5)
+    words = [f"t{k}" for k in range(100)]
+    own = lambda k, n: [f"own{k}x{j}" for j in range(n)]
+    alone = [" ".join(words[:50] + own(k, 12) + words[50:]) for k in range(240)]
+    swapped = []
+    for k in range(240):  # alike only where the word that differs is at about the same place
+        at = r.randrange(100)
+        swapped.append(" ".join(f"s{j}" if j != at else f"other{k}" for j in range(100)))
+    tried = []
+    estimated = neardup._estimated
+
+    def counted(pairs, *rest):
+        tried.append(pairs.count())
+        return estimated(pairs, *rest)
+
+    monkeypatch.setattr(neardup, "_estimated", counted)
+    for texts in (alone + [" ".join(words)], swapped, alone + swapped):
+        tried.clear()
+        want = sorted(brute.near_duplicates(list(enumerate(texts))))
+        assert sorted(tuple(x) for x in neardup.near_duplicates(frame(spark, texts)).collect()) == want
+        assert sum(tried) < 40 * len(texts), tried  # far from all pairs
+
+
 def test_near_duplicates_null_and_repeated_ids(spark):
     text = " ".join(f"w{k}" for k in range(50))
     given = [(None, text), (4, text), (4, text), (9, text + " x"), (None, "alone here is a text of words"), (2, None), (2, None), (None, "")]
