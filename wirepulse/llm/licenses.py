@@ -111,16 +111,69 @@ TEXTS = (
     ("beerware", "beer ware license", "the beer ware license revision 42"),
 )
 BSD_CLAUSES = (("0", "zero"), ("1", "one"), ("2", "two"), ("3", "three"), ("4", "four"))
+# Exceptions of the SPDX list that may follow WITH, as words.
+EXCEPTIONS = (
+    "389 exception", "autoconf exception 2 0", "autoconf exception 3 0", "bison exception 2 2", "bootloader exception",
+    "classpath exception 2 0", "font exception 2 0", "gcc exception 2 0", "gcc exception 3 1", "libtool exception",
+    "linux syscall note", "llvm exception", "ocaml lgpl linking exception", "openjdk assembly exception 1 0",
+    "swift exception", "universal foss exception 1 0", "wxwindows exception 3 1",
+)
+# Short forms that are written with their version in one word, also without a v.
+GLUED = ("gpl", "lgpl", "agpl", "mpl", "epl")
+# Names whose grants and adjectives need no word "license".
+BARE = ("mit", "isc", "zlib", "x11", "unlicense")
+# A plus sign that closes a version; the word before it takes it in, so that words keep their numbers.
+PLUS = re.compile(r"(?<=[0-9])\+(?=[\x00-\x20)\],;\"'*]|$)")
 GRANT = r"(?:licensed|distributed|released|available|published|redistributed|covered|provided|use|modify it) (?:by \w+ )?under (?:the )?(?:terms of )?(?:the )?(?:conditions of the )?"
-LATER = r"(?: of the license)?(?: \w+)?(?: at your option)?(?: or)?(?: at your option)? any later(?: version)?"
+LATER = (
+    r"(?:plus|(?: of the license)?(?: (?![0-9])\w+)?(?: at your option)?(?: or)?(?: at your option)? any later(?: version)?"
+    r"|(?: of the license)? (?:or|and)(?: at your option)?(?: any)? (?:later|newer|higher|above|up|upwards?)(?: versions?)?)"
+)
 
 
 class Rule(NamedTuple):
+    """``scope``: an expression whose first group bounds where the pattern is tried; empty: everywhere."""
+
     name: str
     label: str
     priority: int
     keyword: str
     pattern: str
+    scope: str = ""
+
+
+def _version(version: str, listed: list[str]) -> str:
+    """The words of a version; a closing ``0`` may be missing or added where no other version begins alike."""
+    first, _, rest = version.partition(" ")
+    alone = sum(v.split(" ")[0] == first for v in listed) == 1
+    return f"{first}(?: 0)?" if alone and rest in ("", "0") else version
+
+
+def _identifiers() -> tuple[list[tuple[str, str]], str]:
+    """``(label, pattern)`` per identifier that an SPDX expression may hold, and one pattern of any of them."""
+    own, heads = [], {}
+    for family, _, versions, shorts in FAMILIES:
+        listed = [v for v in versions.split("|") if v]
+        for head in dict.fromkeys([*(s for s in shorts.split("|") if s and not s.startswith("gnu ")), family.replace("-", " ")]):
+            own.append((family, head))
+            heads.setdefault(head, set()).update(_version(v, listed) for v in listed)
+            for version in listed:
+                numbered = f"{head} {_version(version, listed)}"
+                own.append((f"{family}-{version}", f"{numbered}(?: only)?"))
+                own.append((f"{family}-{version}-or-later", f"{numbered}(?:plus| or later)"))
+    for term, _ in CC_TERMS:
+        head, label = f"cc {term}", f"cc-{term.replace(' ', '-')}"
+        own += [(label, head), *((f"{label}-{v}", f"{head} {v}") for v in CC_VERSIONS)]
+        heads[head] = set(CC_VERSIONS)
+    others = [(f"bsd-{digit}-clause", f"bsd {digit} clause") for digit, _ in BSD_CLAUSES] + [("bsd-0-clause", "0bsd"), ("mit-0", "mit 0")]
+    others += [(re.sub(r"(?<=\d) (?=\d)", ".", words).replace(" ", "-"), words) for words in EXCEPTIONS]
+    ways = [(words, "") for _, words in others]
+    for head, versions in heads.items():
+        numbers = "|".join(sorted(versions, key=lambda v: ("?" in v, -len(v), v)))  # 2 1 before 2
+        ways.append((head, f"(?: (?:{numbers})(?:plus| or later| only)?)?" if numbers else ""))
+    ways.sort(key=lambda w: (-len(w[0]), w))
+    unlisted = r"licenseref(?:(?: (?!(?:and|or|with) )\w+){1,8}(?= (?:and|or|with) )| \w+)"
+    return own + others, "|".join([*(f"{head}{tail}(?= )" for head, tail in ways), f"{unlisted}(?= )"])
 
 
 @lru_cache(maxsize=1)
@@ -128,25 +181,35 @@ def default_rules() -> tuple[Rule, ...]:
     """The rule set, highest priority first: identifiers, grants, versions, texts, names, short forms."""
     rules: list[Rule] = []
 
-    def add(name: str, label: str, priority: int, keyword: str, pattern: str) -> None:
-        rules.append(Rule(name, label.replace(" ", "."), priority, keyword, rf"(?<= )(?:{pattern})(?= )"))
+    def add(name: str, label: str, priority: int, keyword: str, pattern: str, scope: str = "") -> None:
+        rules.append(Rule(name, label.replace(" ", "."), priority, keyword, rf"(?<= )(?:{pattern})(?= )", scope))
 
     for family, name, versions, shorts in FAMILIES:
-        key = f"{family}:{name}"
+        key, listed = f"{family}:{name}", [v for v in versions.split("|") if v]
         add(f"{key}:grant", family, 70, name, f"{GRANT}{name}")
         add(f"{key}:name", family, 50, name, name)
-        for version in filter(None, versions.split("|")):
-            label = f"{family}-{version}"
-            with_version = f"{name}(?: \\w+)?(?: as published by the free software foundation)?(?: either)?(?: version| v)? {version}"
-            add(f"{key}:{version}:later", f"{label}-or-later", 95, name, with_version + LATER)
+        for version in listed:
+            label, number = f"{family}-{version}", f"(?:(?: version| v)? |(?: version)? v){_version(version, listed)}"
+            with_version = f"{name}(?: \\w+)?(?: as published by the free software foundation)?(?: either)?{number}"
+            add(f"{key}:{version}:later", f"{label}-or-later", 95, name, f"(?:{GRANT})?{with_version}{LATER}")
             add(f"{key}:{version}:grant", label, 90, name, f"{GRANT}{with_version}")
             add(f"{key}:{version}", label, 80, name, with_version)
         for short in filter(None, shorts.split("|")):
-            for version in filter(None, versions.split("|")):
-                add(f"{key}:{short}:{version}", f"{family}-{version}", 60, f" {short} ", f"{short}(?: license)?(?: version| v)? {version}")
-                add(f"{key}:{short}:v{version}", f"{family}-{version}", 60, f" {short} v{version}", f"{short} v{version}")
-                add(f"{key}:{short}:{version}:spdx", f"{family}-{version}", 100, "spdx license identifier", f"spdx license identifier {short} {version}(?: only| or later)?")
+            for version in listed:
+                label, words = f"{family}-{version}", _version(version, listed)
+                spaced = f"(?:{GRANT})?{short}(?: license)?(?:(?: version| v)? |(?: version)? v){words}"
+                add(f"{key}:{short}:{version}", label, 60, f" {short} ", f"{spaced}(?: only)?")
+                add(f"{key}:{short}:{version}:later", f"{label}-or-later", 65, f" {short} ", spaced + LATER)
+                if not short.startswith("gnu "):
+                    joint = f"(?:{GRANT})?{short}v" + ("?" if short in GLUED else "")
+                    keyword = f" {short}" if short in GLUED else f" {short}v"
+                    add(f"{key}:{short}:{version}:joint", label, 60, keyword, f"{joint}{words}(?: only)?")
+                    add(f"{key}:{short}:{version}:joint:later", f"{label}-or-later", 65, keyword, f"{joint}{words}{LATER}")
             add(f"{key}:{short}:license", family, 55, f" {short} ", f"(?:{GRANT}{short}|{short} licen[sc]ed?)")
+    identifiers, any_identifier = _identifiers()
+    scope = f"(?<= )spdx license identifier ((?:{any_identifier})(?: (?:and|or|with) (?:{any_identifier}))*)"
+    for label, pattern in identifiers:
+        add(f"spdx:{label}:{pattern}", label, 100, "spdx license identifier", pattern, scope)
     for term, words in CC_TERMS:
         add(f"cc:{term}", f"cc-{term.replace(' ', '-')}", 50, " cc by", f"cc {term}")
         add(f"cc:{term}:grant", f"cc-{term.replace(' ', '-')}", 70, " cc by", f"{GRANT}cc {term}")
@@ -159,8 +222,8 @@ def default_rules() -> tuple[Rule, ...]:
     for digit, word in BSD_CLAUSES:
         add(f"bsd:{digit}", f"bsd-{digit}-clause", 80, "clause", f"(?:bsd (?:{digit}|{word}) clause|(?:{digit}|{word}) clause bsd)(?: license)?")
     add("bsd:grant", "bsd", 70, " bsd ", f"(?:{GRANT}(?:a )?bsd|bsd (?:style )?license)")
-    add("mit:grant", "mit", 70, " mit ", f"{GRANT}mit")
-    add("mit:spdx", "mit", 100, "spdx license identifier", "spdx license identifier mit")
+    for name in BARE:
+        add(f"{name}:bare", name, 70, f" {name} ", f"(?:{GRANT}{name}|{name} licen[sc]ed)")
     for label, keyword, pattern in TEXTS:
         add(f"text:{label}:{keyword}", label, 75, keyword, pattern)
     return tuple(sorted(rules, key=lambda r: (-r.priority, r.name)))
@@ -194,8 +257,10 @@ def scanner(rules: tuple[Rule, ...]):
     compiled: dict[str, re.Pattern] = {}
 
     def scan(text: str) -> tuple:
-        words = WORD.findall(text.translate(LOWER))
+        lowered = text.translate(LOWER)
+        words = WORD.findall(PLUS.sub("plus", lowered) if "+" in lowered else lowered)
         joined = f" {' '.join(words)} "
+        regions = {"": [(0, len(joined))]}
         base = []
         for phrase, label in BASE:
             sought, at, count, counted = f" {phrase} ", joined.find(f" {phrase} "), 0, 0
@@ -209,7 +274,10 @@ def scanner(rules: tuple[Rule, ...]):
                 pattern = compiled.get(rule.name)
                 if pattern is None:
                     pattern = compiled[rule.name] = re.compile(rule.pattern)
-                found += [(m.start(), m.end(), rule.priority, rule.label, rule.name) for m in pattern.finditer(joined)]
+                if rule.scope not in regions:
+                    regions[rule.scope] = [(m.start(1), m.end(1) + 1) for m in re.finditer(rule.scope, joined)]
+                for start, end in regions[rule.scope]:
+                    found += [(m.start(), m.end(), rule.priority, rule.label, rule.name) for m in pattern.finditer(joined, start, end)]
         detections, count, counted = [], 0, 0
         for start, end, priority, label, name in suppress(found):
             count, counted = count + joined.count(" ", counted, start), start
@@ -236,7 +304,10 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``detections`` what the rules leave after suppression, with word positions from 0
     (``last`` inclusive). Null and empty texts give no words and empty arrays; a null
     id is carried along; repeated rows give repeated rows; an empty table an empty
-    result. Other columns of the input are not read.
+    result. Other columns of the input are not read. A text is scanned whole by one
+    task, however long, in memory of a few times its size. Of an SPDX expression every
+    listed license and exception is detected by itself; what is not listed ends the
+    expression, but for a ``LicenseRef``. Line ends are not seen.
     """
     chosen = rules or default_rules()
     fields = [("n_words", T.LongType()), ("base", BASE_TYPE), ("detections", FOUND_TYPE)]
