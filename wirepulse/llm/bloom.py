@@ -15,6 +15,15 @@ WORDS = tuple(f"bloom_word{k}" for k in range(4))
 BLOCK = "bloom_block"
 
 
+#: Blocks up to which a filter is sent to every task (10 MB).
+SENT = 1 << 18
+
+
+def sized(keys: int) -> int:
+    """Blocks for a number of keys: the least power of two with at most 16 keys a block, 64 at least."""
+    return max(64, 1 << max(0, -(-keys // 16) - 1).bit_length())
+
+
 def _block(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks))
 
@@ -39,9 +48,12 @@ def build(keys: DataFrame, key: Column, blocks: int = BLOCKS) -> DataFrame:
 def probe(df: DataFrame, key: Column, built: DataFrame, flag: str, blocks: int = BLOCKS) -> DataFrame:
     """``df`` with a boolean column ``flag``: false means the key is certainly not in the filter.
 
-    The filter has at most ``blocks`` rows of 40 bytes and is broadcast; ``df`` is not shuffled.
+    A filter of at most ``SENT`` blocks of 40 bytes is broadcast, and ``df`` is not shuffled.
+    A wider one is met partition by partition, in a join on the block's number; a key that
+    fills many rows is split by the planner's skew handling, as a block has one row.
     """
-    marked = df.withColumn(BLOCK, _block(key, blocks)).join(F.broadcast(built), BLOCK, "left")
+    filters = F.broadcast(built) if blocks <= SENT else built.hint("shuffle_hash")
+    marked = df.withColumn(BLOCK, _block(key, blocks)).join(filters, BLOCK, "left")
     hit = key.isNotNull()
     for mask, word in zip(_masks(key), WORDS):
         hit = hit & (F.col(word).bitwiseAND(mask) == mask)

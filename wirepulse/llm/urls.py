@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wirepulse.llm import bloom
+from wirepulse.session import checkpointed
 
 # The rules of the contract as (verdict, host, path).
 RULES = (
@@ -73,7 +74,7 @@ def listed_urls(pages: DataFrame, url_col: str = "url", html_col: str = "html",
 
 def filter_urls(
     pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url",
-    rules: Sequence[tuple[str, str, str]] = RULES, blocks: int = bloom.BLOCKS,
+    rules: Sequence[tuple[str, str, str]] = RULES, blocks: int | None = None,
 ) -> DataFrame:
     """One row per page: ``id, host, path, rule, verdict, canonical, listed``.
 
@@ -83,15 +84,19 @@ def filter_urls(
     canonical form, and is allowed. Repeated rows repeat; null ids are carried along;
     other columns of the pages are not read. Only possible hits are shuffled, and a
     URL that fills a third of them is split by the planner's skew handling, as the
-    listed side has one row a URL.
+    listed side has one row a URL. The list is evaluated once; ``blocks`` of the filter
+    follow its length unless given, and beyond ``bloom.SENT`` of them the filter is
+    partitioned instead of sent. A url of any length is one row's work.
     """
     narrow = pages.select(F.col(id_col).alias("row_id"), F.col(url_col).alias("row_url"))
-    listing = listed.select(F.col("canonical").alias("listed_url")).where(F.col("listed_url").isNotNull())
+    urls = listed.select(F.col("canonical").alias("listed_url")).where(F.col("listed_url").isNotNull())
+    listing = checkpointed(urls.distinct())
+    blocks = blocks or bloom.sized(listing.count())
     keyed = narrow.withColumn("canonical", canonical(F.col("row_url")))
     probed = bloom.probe(keyed, F.col("canonical"), bloom.build(listing, F.col("listed_url"), blocks), "possible", blocks)
     exact = (
         probed.where("possible")
-        .join(listing.distinct().hint("shuffle_hash"), F.col("canonical") == F.col("listed_url"), "left")
+        .join(listing.hint("shuffle_hash"), F.col("canonical") == F.col("listed_url"), "left")
         .withColumn("listed", F.col("listed_url").isNotNull())
     )
     columns = ["row_id", "row_url", "canonical", "listed"]
