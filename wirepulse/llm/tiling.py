@@ -22,8 +22,13 @@ from wirepulse.session import checkpointed
 
 #: Least words of a tile, and share of an item's words (in hundredths) that tiles must cover.
 TILE, PERCENT = 5, 50
-#: Bits of the seed filter sent to every task (two megabytes whatever the benchmark's size).
-FILTER_BITS = 1 << 24
+#: Bits of the seed filter sent to every task: two megabytes up to a quarter of a million seeds,
+#: then 64 bits a seed up to 32 megabytes, beyond which it only lets more through.
+FILTER_BITS, WIDEST_FILTER = 1 << 24, 1 << 28
+
+
+def _filter_bits(seeds: int) -> int:
+    return min(WIDEST_FILTER, max(FILTER_BITS, 1 << max(0, 64 * seeds - 1).bit_length()))
 
 
 def _filter(seeds: DataFrame, bits: int) -> tuple[dict[int, np.ndarray], list[int]]:
@@ -138,7 +143,7 @@ def tile_cover(pattern: list[str], text: list[str], least: int) -> list[tuple[in
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", tile: int = TILE, percent: int = PERCENT, filter_bits: int = FILTER_BITS,
+    item_text_col: str = "text", tile: int = TILE, percent: int = PERCENT, filter_bits: int | None = None,
 ) -> DataFrame:
     """``(id, row_key, item, covered, n_words, key, tiles)`` for every text that holds enough of an item.
 
@@ -147,7 +152,9 @@ def contaminated(
     never reported; repeated texts and items each count; null ids are carried along
     (``row_key`` tells rows apart, ``key`` hashes text and id); other columns are not read; an empty table on
     either side gives an empty result. Words are runs of ASCII letters and digits
-    and of other characters, A-Z folded.
+    and of other characters, A-Z folded. A text is read whole by one task, however long;
+    only its stretches that may be shared go further. The filter's size follows the
+    number of seeds unless given.
     """
     fields = [("item_words", T.ArrayType(T.StringType())), ("size", T.IntegerType()), ("seeds", T.ArrayType(T.LongType()))]
     numbered = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
@@ -155,7 +162,8 @@ def contaminated(
         text_map(numbered, "item", "text", fields, lambda: _item_words(tile)).where("size > 0").withColumn("item_key", F.monotonically_increasing_id())
     )
     seeds = items.select("item_key", "size", F.explode("seeds").alias("seed"))
-    tables, sizes = _filter(seeds, filter_bits)
+    filter_bits = filter_bits or _filter_bits(items.agg(F.sum(F.size("seeds"))).first()[0] or 0)
+    tables, _ = _filter(seeds, filter_bits)
     content = F.xxhash64(F.col(text_col).cast("string"), F.col(id_col)).alias("key")
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row_key"), content).alias("of"), F.col(text_col).alias("text"))
     found_fields = [("parts", T.ArrayType(T.StringType())), ("found", T.ArrayType(T.LongType()))]
