@@ -44,7 +44,7 @@ def test_urls(spark):
     ]
     pages = spark.createDataFrame([(k, u, "x", u) for k, u in enumerate(given)], "page_id long, url string, html string, host string").repartition(3)
     listed = spark.createDataFrame([("spam.com/p",), ("spam.com/p",), (None,)], "canonical string")
-    for blocks in (1, 1 << 10):  # a filter that lets everything through changes nothing
+    for blocks in (1, None, 1 << 19):  # one that lets everything through, one by length, one too wide to be sent
         got = {r.page_id: r for r in urls.filter_urls(pages, listed, blocks=blocks).collect()}
         assert len(got) == len(given)
         for k, url in enumerate(given):
@@ -65,6 +65,13 @@ def test_bloom_has_no_false_negatives(spark):
     assert found.where("hit and int(k) < 500").count() == 500
 
 
+def test_bloom_follows_the_number_of_keys(spark):
+    assert [bloom.sized(n) for n in (0, 1, 1024, 1025, 1 << 20, (1 << 20) + 1)] == [64, 64, 64, 128, 1 << 16, 1 << 17]
+    keys, blocks = spark.range(20_000).select(F.col("id").cast("string").alias("k")), bloom.sized(20_000)
+    others = spark.range(20_000, 60_000).select(F.col("id").cast("string").alias("k"))
+    assert bloom.probe(others, F.col("k"), bloom.build(keys, F.col("k"), blocks), "hit", blocks).where("hit").count() < 400
+
+
 def test_url_filter_stays_native(spark):
     pages = spark.createDataFrame([(1, "http://a", "b")], "page_id long, url string, html string")
     plan = urls.filter_urls(pages, urls.listed_urls(pages))._jdf.queryExecution().executedPlan().toString()
@@ -218,6 +225,38 @@ def test_license_rules():
     assert labels("SPDX-License-Identifier: MIT") == {"mit"}
     assert labels("Licensed under CC BY-NC 4.0.") == {"cc-by-nc-4.0"}
     assert labels("the committee met on an apache helicopter") == set()
+    assert labels("run apache2 and version 2 or later of it") == set()
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2-or-later"),
+        ("// SPDX-License-Identifier: GPL-3.0-or-later OR MIT", "gpl-3-or-later mit"),
+        ("SPDX-License-Identifier: GPL-2.0+", "gpl-2-or-later"),
+        ("SPDX-License-Identifier: LGPL-2.1-only", "lgpl-2.1"),
+        ("SPDX-License-Identifier: (Apache-2.0 WITH LLVM-exception) AND BSD-3-Clause", "apache-2.0 llvm-exception bsd-3-clause"),
+        ("SPDX-License-Identifier: GPL-2.0 WITH Classpath-exception-2.0", "gpl-2 classpath-exception-2.0"),
+        ("SPDX-License-Identifier: ISC", "isc"),
+        ("SPDX-License-Identifier: ISC OR 0BSD OR CC-BY-SA-4.0 OR CC0-1.0", "isc bsd-0-clause cc-by-sa-4.0 cc0-1.0"),
+        ("SPDX-License-Identifier: LicenseRef-Own-Terms OR MIT", "mit"),
+        ("SPDX-License-Identifier: MIT this and apache met", "mit"),
+        ("Licensed under the GNU General Public License version 3 or later.", "gpl-3-or-later"),
+        ("GNU Lesser General Public License v2.1+", "lgpl-2.1-or-later"),
+        ("This is GPLv3 software", "gpl-3"),
+        ("GPLv2+", "gpl-2-or-later"),
+        ("LGPLv2.1 or any later version", "lgpl-2.1-or-later"),
+        ("under GPL-3.0 only", "gpl-3"),
+        ("GPL3", "gpl-3"),
+        ("released under the ISC terms", "isc"),
+        ("Mozilla Public License 2", "mpl-2.0"),
+        ("gpl 30 and gplx3", ""),
+    ],
+)
+def test_license_forms(text, expected):
+    scan = licenses.scanner(licenses.default_rules())
+    for around in ("{}", "some words before {} \n and more after"):
+        assert {d["label"] for d in scan(around.format(text))[2]} == set(expected.split())
 
 
 def test_suppression():
@@ -234,7 +273,7 @@ def test_suppression():
 
 
 def test_licenses(spark):
-    given = AWKWARD + ["The MIT-License and cc.by cc by; GNU General Public\nLicense", "mit license mit license", "ApAcHe LiCeNsE é", "commit license summit"]
+    given = AWKWARD + ["The MIT-License and cc.by cc by; GNU General Public\nLicense", "mit license mit license", "ApAcHe LiCeNsE é", "commit license summit", "1+ 2+ x 3+y 4+ cc by 5+", "6+"]
     rows = licenses.license_report(frame(spark, given)).collect()
     assert len(rows) == len(given)
     for row in rows:
