@@ -94,6 +94,21 @@ def test_trailing_percentiles_equal_sorting(spark):
     assert got == want
 
 
+def test_blocks_looked_for_keep_a_small_size_estimate(spark, monkeypatch):
+    """Otherwise the planner broadcasts the counts they are joined with."""
+    sizes, real = [], reports._blocks_at
+
+    def noted(blocks):
+        wanted = real(blocks)
+        sizes.append(int(str(wanted._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+        return wanted
+
+    monkeypatch.setattr(reports, "_blocks_at", noted)
+    counts = spark.range(300).select(F.date_add(F.lit(START).cast("date"), (F.col("id") % 9).cast("int")).alias("day"), (F.col("id") * 70_000).alias("value"), F.lit(1).cast("long").alias("n"))
+    assert reports.trailing_percentiles(counts).count() == 27
+    assert len(sizes) == 3 and max(sizes) < 100_000
+
+
 # ---------------------------------------------------------------- state machine
 
 

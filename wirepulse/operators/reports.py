@@ -16,7 +16,7 @@ from wirepulse import config
 from wirepulse.functions import text as tx, times as tm
 from wirepulse.operators.deals import cooldown
 from wirepulse.operators.ordered import nearest_rank, running
-from wirepulse.session import checkpointed
+from wirepulse.session import written
 
 COUNTERS = ("requests", "cycles", "wall_ms", "cpu_ms", "items_seen", "candidates", "alerts")
 
@@ -343,36 +343,36 @@ def trailing_percentiles(histogram: DataFrame, windows: Sequence[int] = (1, 7, 3
 
     From day histograms alone (``day_histogram``, parts of one day may come several times), no row is read again. A value at a rank is
     located 21 bits at a time, as in ``ordered.nearest_rank``, here for all days and windows at once: a day's counts go to the windows
-    that hold it, and each round orders at most 2^21 counts per day, window and percentile.
+    that hold it, and each round orders at most 2^21 counts per day, window and percentile. Between rounds the blocks looked for, a few
+    rows per day of any size, are dealt to the days of their windows, so counts are met by day and block and never multiplied before.
     """
-    whole = checkpointed(histogram.groupBy("day", "value").agg(F.sum("n").alias("n")))
+    whole = written(histogram.groupBy("day", "value").agg(F.sum("n").alias("n")))
     days = whole.select("day").distinct()
     spans = F.explode(F.array(*[F.struct(F.lit(w).alias("days"), F.lit(i).alias("ahead")) for w in windows for i in range(w)]))
-
-    def spread(blocks: DataFrame) -> DataFrame:
-        """Counts of days as counts of the windows that end on a day with data."""
-        moved = blocks.select("*", spans.alias("_s")).withColumn("end", F.date_add("day", F.col("_s.ahead"))).withColumn("days", F.col("_s.days"))
-        return moved.drop("_s").join(days.withColumnRenamed("day", "end"), "end", "left_semi")
-
     rank = F.greatest(F.ceil(F.col("p") * F.col("whole") / 100.0), F.lit(1)).cast("bigint")
-    top = spread(whole.groupBy("day", F.shiftright("value", 42).alias("block")).agg(F.sum("n").alias("n")))
-    blocks = top.groupBy("end", "days", "block").agg(F.sum("n").alias("n"))
-    totals = checkpointed(blocks.groupBy("end", "days").agg(F.sum("n").alias("whole")))
+    # Counts of days as counts of the windows that end on a day with data.
+    moved = whole.groupBy("day", F.shiftright("value", 42).alias("block")).agg(F.sum("n").alias("n")).select("*", spans.alias("_s"))
+    top = moved.select(F.date_add("day", F.col("_s.ahead")).alias("end"), F.col("_s.days").alias("days"), "block", "n").join(
+        days.withColumnRenamed("day", "end"), "end", "left_semi"
+    )
+    blocks = written(top.groupBy("end", "days", "block").agg(F.sum("n").alias("n")))
+    totals = written(blocks.groupBy("end", "days").agg(F.sum("n").alias("whole")))
     ranks = totals.withColumn("p", F.explode(F.array(*map(F.lit, percents)))).select("end", "days", "p", rank.alias("rank"))
     wanted = _blocks_at(blocks.join(ranks, ["end", "days"]))
+    ahead = F.explode(F.sequence(F.lit(0), F.col("days") - 1))
     for low in (21, 0):
+        asked = written(wanted.select("*", ahead.alias("_a")).withColumn("day", F.expr("date_sub(end, _a)")).drop("_a"))
         finer = whole.groupBy("day", F.shiftright("value", low).alias("block")).agg(F.sum("n").alias("n")).withColumn("prefix", F.shiftright("block", 21))
-        here = spread(finer.join(wanted.select("prefix").distinct(), "prefix", "left_semi"))
-        met = here.join(wanted, ["end", "days", "prefix"]).groupBy("end", "days", "p", "rank", "block").agg(F.sum("n").alias("n"))
+        met = finer.join(asked, ["day", "prefix"]).groupBy("end", "days", "p", "rank", "block").agg(F.sum("n").alias("n"))
         wanted = _blocks_at(met)
     found = wanted.groupBy("end", "days").agg(*[F.max(F.when(F.col("p") == p, F.col("prefix"))).alias(f"p{p}") for p in percents])
     return found.join(totals, ["end", "days"]).select(F.col("end").alias("day"), "days", F.col("whole").alias("n"), *[f"p{p}" for p in percents])
 
 
 def _blocks_at(blocks: DataFrame) -> DataFrame:
-    """Per window and percentile the block its rank falls in, and the rank inside it; cut off from what led there."""
+    """Per window and percentile the block its rank falls in, and the rank inside it; a table, so that the planner knows how few they are."""
     upto = Window.partitionBy("end", "days", "p").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = blocks.withColumn("_upto", F.sum("n").over(upto))
     before = F.col("_upto") - F.col("n")
     hit = (F.col("_upto") >= F.col("rank")) & (before < F.col("rank"))
-    return checkpointed(ranked.where(hit).select("end", "days", "p", (F.col("rank") - before).alias("rank"), F.col("block").alias("prefix")))
+    return written(ranked.where(hit).select("end", "days", "p", (F.col("rank") - before).alias("rank"), F.col("block").alias("prefix")))
