@@ -76,3 +76,32 @@ def test_duplicate_counts_ignore_repeats_inside_a_payload(spark):
     kept = spark.createDataFrame([("s", 1, "u1"), ("s", 2, "u2")], frame.schema)
     got = dedupe.duplicate_counts(frame, kept, ["source_id", "payload"])
     assert sorted((r.payload, r.n_items, r.duplicates) for r in got.collect()) == [(1, 1, 0), (2, 2, 1)]
+
+
+def test_a_chain_keeps_a_small_size_estimate(spark, monkeypatch):
+    """Estimates that multiply from join to join fill the driver before the chain ends."""
+    rows = [(i, f"c{(i + 1) // 2}", f"d{i // 2}") for i in range(600)]
+    sizes, settled = [], dedupe._settled
+
+    def noted(undecided):
+        winners = settled(undecided)
+        sizes.append(int(str(winners._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+        return winners
+
+    monkeypatch.setattr(dedupe, "_settled", noted)
+    frame = spark.createDataFrame(rows, "seq int, url_key string, title_key string")
+    assert sorted(r.seq for r in dedupe.dedupe_two_key(frame, ["seq"]).collect()) == sequential(rows)
+    assert sizes and max(sizes) < 10_000_000
+
+
+def test_chain_ends_of_trees(spark):
+    rnd = random.Random(3)
+    to = {i: i - 1 if i % 90 else rnd.randrange(i) for i in range(1, 500) if i % 200}
+    got = dedupe.chain_ends(spark.createDataFrame([(n, t, n % 3 != 0) for n, t in to.items()], "node long, to long, opposite boolean"))
+    want = {}
+    for node in to:
+        at, opposite = node, False
+        while at in to:
+            opposite, at = opposite != (at % 3 != 0), to[at]
+        want[node] = (at, opposite)
+    assert {r.node: (r.to, r.opposite) for r in got.collect()} == want and got.count() == len(want)

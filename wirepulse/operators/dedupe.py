@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wirepulse.functions import text as tx
-from wirepulse.session import checkpointed
+from wirepulse.session import discard, written
 
 
 def with_keys(items: DataFrame) -> DataFrame:
@@ -75,7 +75,9 @@ def dedupe_two_key(items: DataFrame, order: Sequence[str], seen: DataFrame | Non
 
     A dropped row reserves nothing, so this is a greedy matching and not two
     chained dedupes. ``order`` must be a total order. Rows equal on both keys
-    collapse to their earliest first, on the map side. Then, in rounds:
+    collapse to their earliest first, on the map side, and what is left is sorted
+    once, so that one number stands for a row and its rank. Then, in rounds over
+    the keys and that number:
 
     1. a row that is the earliest on both keys is kept;
     2. where the round before left more than half of its rows: a row with exactly one
@@ -83,75 +85,99 @@ def dedupe_two_key(items: DataFrame, order: Sequence[str], seen: DataFrame | Non
        rows are settled from their end by pointer doubling;
     3. rows that share a key with a kept row go.
 
-    Every step joins against one row per key or per undecided row, at any size;
-    an alternating chain takes as many joins as its length has bits.
+    Every step joins against one row per key or per undecided row, at any size.
     """
-    pairs = first_per_key(items, ["url_key", "title_key"], order).select(
-        "url_key", "title_key", F.struct(*order).alias("rank")
-    )
+    rank = F.struct(*order).alias("rank")
+    pairs = items.select("url_key", "title_key", rank).groupBy("url_key", "title_key").agg(F.min("rank").alias("rank"))
     if seen is not None:
         pairs = anti_seen(pairs, seen)
-    undecided = checkpointed(pairs.withColumn("node", F.monotonically_increasing_id()))
-    kept, before, left = undecided.limit(0), 0, undecided.count()
-    while left:
-        winners = checkpointed(_settled(undecided) if before and 2 * left > before else _earliest(undecided))
-        kept = kept.unionByName(winners)
-        undecided = checkpointed(anti_seen(undecided, winners))
-        before, left = left, undecided.count()
-    # The rank identifies a row: fetch the kept rows back in full.
-    names = ["url_key", "title_key", *order]
-    flat = kept.select(
-        F.col("url_key").alias("_url_key"), F.col("title_key").alias("_title_key"),
-        *[F.col(f"rank.{c}").alias(f"_{c}") for c in order],
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranked = written(
+        pairs.repartitionByRange(parts, "rank").sortWithinPartitions("rank").withColumn("node", F.monotonically_increasing_id())
     )
-    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names])
-    return items.join(flat, same, "left_semi")
+    undecided, kept = ranked.drop("rank"), []
+    before, left = 0, undecided.count()
+    while left:
+        winners = written(_settled(undecided) if before and 2 * left > before else _earliest(undecided))
+        kept.append(winners.select("node"))
+        rest = written(anti_seen(undecided, winners))
+        if before:
+            discard(undecided)
+        undecided, before, left = rest, left, rest.count()
+    if not kept:
+        return items.limit(0)
+    # The rank identifies a row (a code of its keys would tell equal ranks apart): fetch the kept rows back in full.
+    code = F.xxhash64("url_key", "title_key")
+    found = ranked.select("node", "rank", code.alias("_code")).join(reduce(DataFrame.unionByName, kept), "node", "left_semi")
+    flat = found.select(F.col("_code").alias("__code"), *[F.col(f"rank.{c}").alias(f"_{c}") for c in order])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ["_code", *order]])
+    return items.withColumn("_code", code).join(flat, same, "left_semi").select(*items.columns)
 
 
 def _earliest(rows: DataFrame) -> DataFrame:
     """Rows that are the earliest on both of their keys."""
-    by_url = rows.groupBy("url_key").agg(F.min(F.struct("rank", "title_key", "node")).alias("w"))
-    by_title = rows.groupBy("title_key").agg(F.min(F.struct("rank", "url_key")).alias("w"))
-    left = by_url.select("url_key", "w.title_key", "w.rank", "w.node")
-    return left.join(by_title.select("w.url_key", "title_key"), ["url_key", "title_key"]).select(*rows.columns)
+    by_url = rows.groupBy("url_key").agg(F.min("node").alias("node"))
+    by_title = rows.groupBy("title_key").agg(F.min("node").alias("node"))
+    return by_url.join(by_title, "node").select(*rows.columns)
 
 
-def _two_earliest(rows: DataFrame, key: str) -> DataFrame:
-    """Per key the node of its earliest row and of the one after it."""
-    first = rows.groupBy(key).agg(F.min(F.struct("rank", "node")).alias("one"))
-    rest = rows.join(first, key).where(F.col("node") != F.col("one.node"))
-    second = rest.groupBy(key).agg(F.min(F.struct("rank", "node")).alias("two"))
-    return first.join(second, key, "left").select(key, F.col("one.node").alias("one"), F.col("two.node").alias("two"))
+def _places(rows: DataFrame, key: str) -> DataFrame:
+    """The earliest row of every key, and the one after it with the earliest as its rival."""
+    first = rows.groupBy(key).agg(F.min("node").alias("one"))
+    rest = rows.select(key, "node").join(first, key).where(F.col("node") != F.col("one"))
+    second = rest.groupBy(key).agg(F.min("node").alias("node"), F.min("one").alias("rival"))
+    return first.select(F.col("one").alias("node"), F.lit(None).cast("bigint").alias("rival")).unionByName(second.select("node", "rival"))
 
 
 def _settled(rows: DataFrame) -> DataFrame:
     """Rows of ``rows`` that are certainly kept, at least the earliest one."""
-    by_url = _two_earliest(rows, "url_key").select("url_key", F.col("one").alias("u1"), F.col("two").alias("u2"))
-    by_title = _two_earliest(rows, "title_key").select("title_key", F.col("one").alias("t1"), F.col("two").alias("t2"))
-    ranked = rows.join(by_url, "url_key").join(by_title, "title_key")
-    node = F.col("node")
-    rival = F.when((node == F.col("u2")) & (node == F.col("t1")), F.col("u1")).when(
-        (node == F.col("t2")) & (node == F.col("u1")), F.col("t1")
+    places = _places(rows, "url_key").unionByName(_places(rows, "title_key"))
+    known = written(
+        places.groupBy("node").agg(F.count_if(F.col("rival").isNull()).alias("firsts"), F.max("rival").alias("rival")).where("firsts > 0")
+        .where("firsts = 2 or rival is not null").select("node", "rival")
     )
-    free = (node == F.col("u1")) & (node == F.col("t1"))
-    known = checkpointed(ranked.select(*rows.columns, free.alias("free"), rival.alias("rival")).where("free or rival is not null"))
-    chains = known.where("rival is not null").select("node", F.col("rival").alias("to"), F.lit(True).alias("opposite"))
-    # Each pass doubles the distance covered; a pointer stops at a row that is not in a chain.
+    free = known.where("rival is null").select("node")
+    ends = chain_ends(known.where("rival is not null").select("node", F.col("rival").alias("to"), F.lit(True).alias("opposite")))
+    even = ends.where("not opposite").join(free.withColumnRenamed("node", "to"), "to", "left_semi").select("node")
+    return rows.join(free.unionByName(even), "node", "left_semi").select(*rows.columns)
+
+
+def chain_ends(chains: DataFrame) -> DataFrame:
+    """For pointers (node, to, opposite) without cycles: the node where each one's way ends, and whether it is opposite to it.
+
+    By pointer doubling. Every pass over all pointers would shuffle them as many times as the longest way has bits; so
+    they first only go on to the next post, one node in sixteen by hash, and the rest of the way is between posts.
+    """
+    to_post = _doubled(chains, _is_post)
+    posts = _doubled(to_post.where(_is_post("node")), lambda _: F.lit(False))
+    return _onward(to_post, posts).drop("went")
+
+
+def _is_post(node: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(16)) == 0
+
+
+def _doubled(chains: DataFrame, stop: Callable[[str], Column]) -> DataFrame:
+    """Pointers moved on until they come to a node that has none, or one where ``stop`` holds."""
+    moved = written(chains.withColumn("went", F.lit(True)))
+    done: list[DataFrame] = []
     while True:
-        ahead = chains.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("opposite").alias("then"))
-        moved = checkpointed(
-            chains.join(ahead, "to", "left").select(
-                "node", F.coalesce("next", "to").alias("to"),
-                F.when(F.col("next").isNull(), F.col("opposite")).otherwise(F.col("opposite") != F.col("then")).alias("opposite"),
-                F.col("next").isNotNull().alias("went"),
-            )
-        )
-        chains = moved.drop("went")
-        if moved.where("went").isEmpty():
-            break
-    ends = known.where("free").select(F.col("node").alias("to"))
-    even = chains.where("not opposite").join(ends, "to", "left_semi").select("node")
-    return known.where("free").select(*rows.columns).unionByName(known.join(even, "node", "left_semi").select(*rows.columns))
+        moving = F.col("went") & ~stop("to")
+        done.append(moved.where(~moving).drop("went"))
+        active = moved.where(moving).drop("went")
+        if active.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        known = reduce(DataFrame.unionByName, [active, *done])
+        moved = written(_onward(active, known.where(~stop("node"))))
+
+
+def _onward(pointers: DataFrame, known: DataFrame) -> DataFrame:
+    """Pointers replaced by what their targets point at, where these point at something."""
+    ahead = known.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("opposite").alias("then"))
+    return pointers.join(ahead, "to", "left").select(
+        "node", F.coalesce("next", "to").alias("to"), (F.col("opposite") != F.coalesce("then", F.lit(False))).alias("opposite"),
+        F.col("next").isNotNull().alias("went"),
+    )
 
 
 def bootstrap_gate(items: DataFrame, fresh: DataFrame | None = None, by: str = "fetched_at") -> DataFrame:

@@ -66,3 +66,11 @@ def written(df: DataFrame) -> DataFrame:
     folder = f"{scratch_folder(df.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of :func:`written` that nothing will read any more."""
+    context = df.sparkSession.sparkContext
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
