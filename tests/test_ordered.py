@@ -133,3 +133,17 @@ def test_row_numbers_of_a_hot_key_span_slices(spark):
     got = ordered.numbered_within(rows, F.col("k"), "t").collect()
     want = {(k, t): n for key in ("hot", None) for n, (k, t) in enumerate(sorted((g for g in given if g[0] == key), key=lambda g: g[1]), 1)}
     assert {(x.k, x.t): x.rn for x in got} == want and len(got) == 1000
+
+
+def test_emissions_keep_a_small_size_estimate(spark):
+    from wirepulse.operators import deals
+
+    times = sorted({(k, (i * i * 37 + i * 11) % 9000) for k in ("a", "b") for i in range(300)})
+    got = deals.emissions(spark.createDataFrame([(k, 50, t) for k, t in times], "k string, w long, t long"))
+    want, last = [], {}
+    for k, t in times:
+        if k not in last or t >= last[k] + 50:
+            last[k] = t
+            want.append((k, 50, t))
+    assert sorted(map(tuple, got.collect())) == want
+    assert int(str(got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 10_000_000

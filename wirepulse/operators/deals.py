@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wirepulse import config
 from wirepulse.functions import text as tx, times as tm
 from wirepulse.operators.ordered import sliced_by
-from wirepulse.session import checkpointed
+from wirepulse.session import discard, written
 
 
 
@@ -27,7 +27,7 @@ def cooldown(
     a key are a window apart, so at most one falls into each window-wide bucket.
     """
     rows = df.withColumn("_ms", F.unix_millis(ts)).withColumn("_w", window_ms.cast("bigint"))
-    moments = checkpointed(
+    moments = written(
         rows.groupBy(F.col(key).alias("k"), "_w", "_ms").agg(F.min(tie).alias("_tie"))
     )
     emitted = emissions(moments.select("k", F.col("_w").alias("w"), F.col("_ms").alias("t")))
@@ -60,18 +60,24 @@ def emissions(moments: DataFrame) -> DataFrame:
     so the work shrinks from round to round.
     """
     spans = moments.groupBy("k", "w").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    spans = checkpointed(spans.withColumn("steps", F.floor((F.col("hi") - F.col("lo")) / F.col("w"))))
-    pointers = checkpointed(_next_emission(moments).join(spans.select("k", "steps"), "k"))
+    spans = written(spans.withColumn("steps", F.floor((F.col("hi") - F.col("lo")) / F.col("w"))))
+    pointers = written(_next_emission(moments).join(spans.select("k", "steps"), "k"))
     marked = spans.select("k", "w", F.col("lo").alias("t"), "steps")
     most = spans.agg(F.max("steps")).first()[0] or 0
     reach = 1
     while reach <= most:
+        # What is marked lies fewer than ``reach`` emissions from the first, so a jump by ``reach`` always marks new ones.
         jumped = marked.where(F.col("steps") >= reach).join(pointers.drop("steps"), ["k", "t"]).select("k", "w", F.col("nxt").alias("t"), "steps")
-        marked = checkpointed(marked.unionByName(jumped).distinct())
+        marked = marked.unionByName(written(jumped))
         reach *= 2
+        if reach > most:
+            break
         open_keys = pointers.where(F.col("steps") >= reach)
         far = open_keys.select("k", F.col("t").alias("nxt"), F.col("nxt").alias("far"))
-        pointers = checkpointed(open_keys.join(far, ["k", "nxt"]).select("k", "t", F.col("far").alias("nxt"), "steps"))
+        farther = written(open_keys.join(far, ["k", "nxt"]).select("k", "t", F.col("far").alias("nxt"), "steps"))
+        discard(pointers)
+        pointers = farther
+    discard(pointers)
     return marked.select("k", "w", "t")
 
 
