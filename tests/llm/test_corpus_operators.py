@@ -402,3 +402,23 @@ def test_registered_with_sql(spark, sf_dir):
     con = compare.duck(sf_dir)
     for name, sql in queries.ORACLES.items():
         assert compare.compare(con, queries.QUERIES[name](spark, sf_dir), sql) is None
+
+
+@pytest.mark.parametrize("pieces, held", [(300, 1 << 40), (1 << 40, 3000)])
+def test_encoder_forgets_what_is_not_met_again(monkeypatch, pieces, held):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "REMEMBERED", pieces)
+    monkeypatch.setattr(tokens, "REMEMBERED_IDS", held)
+    codec = tokens.Encoder(tokens.default_tokenizer())
+    library = codec.library
+    for block in range(8):
+        long = "".join(chr(97 + (block * 7 + i * i) % 26) for i in range(3000))  # one piece of many ids
+        texts = [f"the same words come again {block * 100 + i} q{block * 977 + i * 31}z" for i in range(80)] + [long]
+        ids, counts = codec.encode_column(pa.array(texts, pa.string()))
+        whole = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == [i for w in whole for i in w] and counts.tolist() == [len(w) for w in whole]
+        # At most what may stay and what one block adds.
+        assert len(codec.slots) <= pieces + 200 and codec.used <= held + 3000
+        if block > 2:
+            assert {"the", " same", " words"} <= set(codec.slots)

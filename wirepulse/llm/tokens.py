@@ -29,10 +29,10 @@ from wirepulse.session import checkpointed
 MAGIC = b"WPTOKEN1"
 #: Ones of the upper bits between two select samples.
 SAMPLE = 512
-#: Pieces of text whose ids a worker remembers; beyond that it begins anew.
-REMEMBERED = 1_000_000
+#: Pieces of text whose ids a worker remembers, and their ids in all; beyond that only pieces met again in a later block stay.
+REMEMBERED, REMEMBERED_IDS = 400_000, 3_200_000
 #: Characters of new pieces that the library is given at once, and bytes of texts encoded at a time (a text at least).
-STRUNG, BLOCK = 1 << 17, 1 << 23
+STRUNG, BLOCK = 1 << 17, 1 << 21
 #: Ids read back at a time (one document at least).
 READ_TOKENS = 1 << 21
 
@@ -70,6 +70,23 @@ class Encoder:
     def _forget(self) -> None:
         self.slots: dict[str, int] = {}
         self.starts, self.counts, self.pool, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, self.dtype), 0
+        self.again = np.zeros(1 << 12, bool)
+
+    def _full(self) -> bool:
+        return len(self.slots) > REMEMBERED or self.used > REMEMBERED_IDS
+
+    def _thin(self) -> None:
+        """Keep the pieces met again since the last time, the oldest of them, up to half of what is remembered."""
+        kept = np.flatnonzero(self.again[: len(self.slots)])[: REMEMBERED // 2]
+        kept = kept[np.cumsum(self.counts[kept]) <= REMEMBERED_IDS // 2]
+        stays = np.zeros(len(self.slots), bool)
+        stays[kept] = True
+        pieces = [piece for piece, stay in zip(self.slots, stays.tolist()) if stay]  # slots count in the order of the dictionary
+        counts = self.counts[kept]
+        ends = np.cumsum(counts)
+        ids = self.pool[np.repeat(self.starts[kept] - ends + counts, counts) + np.arange(counts.sum())]
+        self._forget()
+        self._remember(pieces, ids, counts)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
@@ -77,7 +94,7 @@ class Encoder:
     def _remember(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         first, size = len(self.slots), len(self.slots) + len(pieces)
         while len(self.counts) < size:
-            self.starts, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts))
+            self.starts, self.counts, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts, self.again))
         while len(self.pool) < self.used + len(ids):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(ids)] = ids
@@ -137,8 +154,8 @@ class Encoder:
         return np.concatenate([*parts, np.zeros(0, self.dtype)]), np.array([len(p) for p in parts], np.int64)
 
     def _encode_pieces(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.slots) > REMEMBERED:
-            self._forget()
+        if self._full():
+            self._thin()
         offsets, data = _bytes(column)
         if not len(data):
             return np.zeros(0, self.dtype), np.zeros(len(column), np.int64)
@@ -149,6 +166,7 @@ class Encoder:
         known = self.slots.get
         slots = np.array([known(p, -1) for p in distinct], np.int64)
         new = np.flatnonzero(slots < 0)
+        self.again[slots[slots >= 0]] = True
         pieces = [distinct[k] for k in new.tolist()]
         self._learn(pieces)
         slots[new] = np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))
