@@ -105,3 +105,13 @@ def test_chain_ends_of_trees(spark):
             opposite, at = opposite != (at % 3 != 0), to[at]
         want[node] = (at, opposite)
     assert {r.node: (r.to, r.opposite) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_rounds_run_over_numbers(spark, monkeypatch):
+    """The rounds shuffle no strings; a null key is shared with no other row."""
+    types, earliest = [], dedupe._earliest
+    monkeypatch.setattr(dedupe, "_earliest", lambda undecided: types.append(dict(undecided.dtypes)) or earliest(undecided))
+    rows = [(1, None, "x"), (2, None, "y"), (3, "a", None), (4, "b", "y"), (5, "b", "z"), (6, None, None), (7, "a", "w")]
+    frame = spark.createDataFrame(rows, "seq int, url_key string, title_key string")
+    assert sorted(r.seq for r in dedupe.dedupe_two_key(frame, ["seq"]).collect()) == [1, 2, 3, 5, 6]
+    assert types and all(t == {"url_key": "bigint", "title_key": "bigint", "node": "bigint"} for t in types)

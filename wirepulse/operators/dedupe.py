@@ -76,8 +76,8 @@ def dedupe_two_key(items: DataFrame, order: Sequence[str], seen: DataFrame | Non
     A dropped row reserves nothing, so this is a greedy matching and not two
     chained dedupes. ``order`` must be a total order. Rows equal on both keys
     collapse to their earliest first, on the map side, and what is left is sorted
-    once, so that one number stands for a row and its rank. Then, in rounds over
-    the keys and that number:
+    once, so that one number stands for a row and its rank; a key becomes the number of
+    its earliest row, so the strings are shuffled no more. Then, in rounds over numbers:
 
     1. a row that is the earliest on both keys is kept;
     2. where the round before left more than half of its rows: a row with exactly one
@@ -95,14 +95,13 @@ def dedupe_two_key(items: DataFrame, order: Sequence[str], seen: DataFrame | Non
     ranked = written(
         pairs.repartitionByRange(parts, "rank").sortWithinPartitions("rank").withColumn("node", F.monotonically_increasing_id())
     )
-    undecided, kept = ranked.drop("rank"), []
+    undecided, kept = written(_numbered(ranked.drop("rank"))), []
     before, left = 0, undecided.count()
     while left:
         winners = written(_settled(undecided) if before and 2 * left > before else _earliest(undecided))
         kept.append(winners.select("node"))
         rest = written(anti_seen(undecided, winners))
-        if before:
-            discard(undecided)
+        discard(undecided)
         undecided, before, left = rest, left, rest.count()
     if not kept:
         return items.limit(0)
@@ -114,6 +113,14 @@ def dedupe_two_key(items: DataFrame, order: Sequence[str], seen: DataFrame | Non
     return items.withColumn("_code", code).join(flat, same, "left_semi").select(*items.columns)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows (url_key, title_key, node) with the number of its earliest row in place of each key, their own for a null key."""
+    for key in ("url_key", "title_key"):
+        firsts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("node").alias("_first"))
+        rows = rows.join(firsts, key, "left").withColumn(key, F.coalesce("_first", "node")).drop("_first")
+    return rows.select("url_key", "title_key", "node")
+
+
 def _earliest(rows: DataFrame) -> DataFrame:
     """Rows that are the earliest on both of their keys."""
     by_url = rows.groupBy("url_key").agg(F.min("node").alias("node"))
