@@ -37,3 +37,9 @@ def test_entry(spark):
 def test_every_family_occurs(spark, sf_dir):
     hits = {r.hit for r in catalog.QUERIES["prefilter_family"](spark, sf_dir).select("hit").distinct().collect()}
     assert {"funding", "acquisition", "launch", "expansion", "rebrand", "partnership", None} <= hits
+
+
+def test_funnel_finds_its_unique_items_once(spark, sf_dir):
+    """Both counts come from one written table, not from the dedupe's last join made twice."""
+    plan = catalog.QUERIES["funnel"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan

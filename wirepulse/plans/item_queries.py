@@ -10,6 +10,7 @@ from wirepulse.operators import dedupe, prefilter as pf, queue, reports
 from wirepulse.plans import inputs as I, oracle_views as V
 from wirepulse.plans.inputs import ntz
 from wirepulse.plans.registered import query
+from wirepulse.session import written
 from wirepulse.sources import registry, sinks
 
 T = f"TIMESTAMP '{I.NOW_ITEMS}'"
@@ -302,7 +303,9 @@ FROM counts c""")))
 def funnel(spark, d):
     items = _keyed(spark, d)
     unique = dedupe.dedupe_two_key(items, I.ORDER)
-    return reports.funnel(items, unique, pf.prefilter(unique))
+    # One narrow row for each unique item, written once: it gives both counts.
+    outcomes = written(pf.prefilter(unique).select("pass", "reason"))
+    return reports.funnel(items, outcomes, outcomes)
 
 
 # ---------------------------------------------------------------- registry
