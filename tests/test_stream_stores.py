@@ -4,6 +4,8 @@ import random
 import tempfile
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +126,103 @@ def test_waiting_rows_are_pruned():
     assert need({5: 1}, 0, None) == {5: 1}
 
 
+class Cell:
+    """A state variable of one key; ``sent`` counts the bytes written, ``asked`` the values read."""
+
+    def __init__(self):
+        self.map, self.sent, self.asked = {}, 0, 0
+
+    def exists(self):
+        return bool(self.map)
+
+    def get(self):
+        return self.map[()]
+
+    def update(self, value):
+        self.map[()] = value
+
+    def clear(self):
+        self.map = {}
+
+    def keys(self):
+        return iter(list(self.map))
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.map[key]
+
+    def updateValue(self, key, value):
+        self.sent += len(value[0])
+        self.map[key] = value
+
+    def removeKey(self, key):
+        del self.map[key]
+
+
+class Handle:
+    def __init__(self):
+        self.cells, self.timers = {}, set()
+
+    def getValueState(self, name, *schema):
+        return self.cells.setdefault(name, Cell())
+
+    getMapState = getValueState
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+
+class Mark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+@pytest.mark.parametrize("window, gathered", [(7_000, 64), (3_600_000, 1 << 18), (90_000_000, 100)])
+def test_waiting_rows_of_a_hot_key_are_neither_read_nor_written_again(monkeypatch, window, gathered):
+    """Batches of a key with equal times and null ties; what waits is left alone until the watermark reaches it."""
+    monkeypatch.setattr(cooling, "GATHERED", gathered)
+    r, hour = np.random.default_rng(window), 3_600_000
+    handle, work = Handle(), cooling.CoolDown(window)
+    work.init(handle)
+    base, newest, mark, rows, late, got = 1_700_000_000_000, 0, 0, {}, [], []
+    for batch in range(7):
+        n = 30 if batch == 2 else 3000
+        ms = base + 20 * hour * batch + r.integers(-40 * hour, 20 * hour, n) // 1000 * 1000
+        tie, untied = np.arange(n) + 10_000 * batch, r.random(n) < 0.1
+        sent, asked = handle.cells["waiting"].sent, handle.cells["waiting"].asked
+        frame = pd.DataFrame({"ms": ms, "tie": np.where(untied, 0, tie), "untied": untied})
+        for out in work.handleInputRows(("k",), iter([frame[: n // 3], frame[n // 3 :]]), Mark(mark)):
+            late += list(out.itertuples(index=False))
+        assert handle.cells["waiting"].asked == asked
+        assert handle.cells["waiting"].sent - sent <= n * cooling.ROW.itemsize
+        for at, t, null in zip(ms.tolist(), tie.tolist(), untied.tolist()):
+            if not mark or at > mark:
+                known = rows.get(at, (True, 0))
+                rows[at] = min(known, (null, 0 if null else t)) if at in rows else (null, 0 if null else t)
+        for due in sorted(t for t in handle.timers if t <= mark):
+            handle.timers.remove(due)
+            for out in work.handleExpiredTimer(("k",), Mark(mark), None):
+                got += list(out.itertuples(index=False))
+        newest = max(newest, int(ms.max()))
+        mark = newest - 30 * hour
+    while handle.timers:
+        due = min(handle.timers)
+        handle.timers.remove(due)
+        for out in work.handleExpiredTimer(("k",), Mark(base + 1000 * hour), None):
+            got += list(out.itertuples(index=False))
+    want, free = [], None
+    for at in sorted(rows):
+        if free is None or at >= free:
+            want.append((at, rows[at][1], rows[at][0]))
+            free = at + window
+    assert [(x.ms, x.tie, x.untied) for x in got] == want and not any(x.late for x in got)
+    assert late and all(x.late for x in late)
+    assert not handle.cells["waiting"].map and not handle.cells["last"].map and not handle.cells["first"].map
+
+
 # ---------------------------------------------------------------- late rows
 
 
