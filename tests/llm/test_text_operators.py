@@ -211,6 +211,13 @@ def test_quality_stays_native(spark):
     assert not re.search("Python|ArrowEval|Pandas", plan)
 
 
+def test_quality_model_is_not_in_the_plan(spark):
+    """Every rendering of a plan copies its literals; with 65,536 numbers that fills the driver."""
+    docs = frame(spark, ["a b c"])
+    plans = [quality.judge(docs, json.dumps([0.5] * size), buckets=size)._jdf.queryExecution().toString() for size in (16, 1 << 12)]
+    assert len(plans[1]) < len(plans[0]) + 500
+
+
 # ---------------------------------------------------------------- op8
 
 
