@@ -53,6 +53,42 @@ def test_seen_store_forgets_merges_and_opens_few_parts(spark):
     assert store.known(keys([some]).limit(0), 9).count() == 0
 
 
+def test_a_large_batch_is_not_probed_and_written_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(seen, "PROBED", 3)
+    store, place = seen.SeenStore(spark, folder(), buckets=1), "spark.sql.adaptive.coalescePartitions.enabled"
+    given = [("url", f"k{i}", START) for i in range(400)]
+    before = spark.conf.get(place)
+    spark.conf.set(place, "false")
+    try:
+        store.add(spark.createDataFrame(given, seen.KEYS), 0)
+    finally:
+        spark.conf.set(place, before)
+    part = spark.read.schema(seen.KEYS).parquet(f"{store.path}/keys/batch=0/bucket=0")
+    assert len(part.inputFiles()) > 1 and part.distinct().count() == part.count() == 400
+    asked = lambda names: spark.createDataFrame([("url", n) for n in names], "kind string, key string")
+    assert store.may_hold(asked(["other"]), 1) == []  # few keys: the filter rules the part out
+    many = [f"k{i}" for i in range(0, 800, 2)]
+    assert len(store.may_hold(asked([f"x{i}" for i in range(4)]), 1)) == 1  # beyond PROBED a bucket nothing is probed
+    assert {r.key for r in store.known(asked(many + many), 1).collect()} == {n for n in many if int(n[1:]) < 400}
+
+
+def test_arrivals_are_batches_of_several_files(spark):
+    from wirepulse.plans import catalog, stream_queries  # noqa: F401
+
+    files = stream_queries.Arrivals(spark.range(40), F.expr("case when id < 30 then 0 when id = 30 then 1 else 3 end"), 4, file_rows=5)
+    assert files.files == 2
+    got, place = {}, folder()
+
+    def run(batch, number):
+        got[number] = sorted(r.id for r in batch.collect())
+
+    for _ in range(2):
+        rows = files.land(2)
+        assert len(spark.read.schema("id long").parquet(f"{files.folder}/in").inputFiles()) == 2 * files.landed
+        rows.writeStream.foreachBatch(run).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
+    assert got == {0: list(range(30)), 1: [30], 2: [], 3: list(range(31, 40))}
+
+
 ITEM = "id int, url_key string, title_key string, at timestamp"
 
 

@@ -58,21 +58,28 @@ def stream_daily(spark, d):
 
 
 class Arrivals:
-    """A table that arrives in ``slices`` files, one after the other; ``land`` adds some of them to the stream's folder."""
+    """A table that arrives in ``slices`` parts, one after the other; ``land`` adds some of them to the stream's folder.
 
-    def __init__(self, rows: DataFrame, slice_of, slices: int = 12):
+    Every part comes in the same number of files, as many as one part of average size asks for, so that a micro-batch of
+    that many files is one part, and no task writes or reads a part alone.
+    """
+
+    def __init__(self, rows: DataFrame, slice_of, slices: int = 12, file_rows: int = 20_000):
         self.spark, self.folder = rows.sparkSession, f"{scratch_folder(rows.sparkSession)}/arrivals-{uuid.uuid4().hex}"
-        self.schema = rows.schema
-        rows.withColumn("_slice", slice_of).write.partitionBy("_slice").parquet(f"{self.folder}/all")
+        self.schema, self.rows = rows.schema, rows.withColumn("_slice", slice_of)
+        self.files = max(1, rows.count() // (slices * file_rows))
         self.slices, self.landed = slices, 0
 
     def land(self, count: int) -> DataFrame:
-        """The stream over the folder after ``count`` more files, each a micro-batch of its own."""
+        """The stream over the folder after ``count`` more parts, each a micro-batch of its own."""
         for k in range(self.landed, self.landed + count):
-            rows = self.spark.read.parquet(f"{self.folder}/all").where(F.col("_slice") == k).select(*self.schema.names)
-            rows.coalesce(1).write.mode("append").parquet(f"{self.folder}/in")
+            rows = self.rows.where(F.col("_slice") == k).select(*self.schema.names)
+            rows.repartition(self.files, *self.schema.names).write.mode("append").parquet(f"{self.folder}/in")
+            missing = (k + 1) * self.files - len(self.spark.read.schema(self.schema).parquet(f"{self.folder}/in").inputFiles())
+            for _ in range(missing):  # partitions without rows write no file
+                rows.limit(0).coalesce(1).write.mode("append").parquet(f"{self.folder}/in")
         self.landed += count
-        return self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 1).parquet(f"{self.folder}/in")
+        return self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", self.files).parquet(f"{self.folder}/in")
 
 
 #: Files by time, twelve in a month; every tenth event comes one to three files later.

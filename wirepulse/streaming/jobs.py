@@ -18,7 +18,7 @@ from wirepulse import config
 from wirepulse.functions import times as tm
 from wirepulse.operators import deals as dl, dedupe, ordered, prefilter as pf, queue, verdicts as vd
 from wirepulse.plans import flow
-from wirepulse.session import checkpointed
+from wirepulse.session import checkpointed, discard, written
 from wirepulse.sources import feeds, versioned
 from wirepulse.sources.sinks import append_once, appended
 from wirepulse.streaming.cooling import all_emissions, emit_with_cooldown  # noqa: F401
@@ -113,19 +113,21 @@ def dedupe_two_key_stream(
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        items = checkpointed(batch)
+        items = written(batch)
         store = SeenStore(spark, f"{out}/seen", buckets, merge_after)
         after = None
         if memory_days is not None:
             newest = items.agg(F.max(ts)).first()[0]
             after = None if newest is None else newest - timedelta(days=memory_days)
-        known = checkpointed(store.known(dedupe.both_keys(items), batch_id, after))
+        known = written(store.known(dedupe.both_keys(items), batch_id, after))
         seen = known.select(
             F.when(F.col("kind") == "url", F.col("key")).alias("url_key"), F.when(F.col("kind") == "title", F.col("key")).alias("title_key")
         )
         append_once(dedupe.dedupe_two_key(items, order, seen=seen), f"{out}/kept", batch_id)
         kept = spark.read.schema(items.schema).parquet(f"{out}/kept/batch={batch_id}")
         store.add(dedupe.both_keys(kept, F.col(ts).alias("at")), batch_id, after)
+        discard(known)
+        discard(items)
 
     return _start(stream, run, checkpoint, trigger)
 
